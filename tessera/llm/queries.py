@@ -7,14 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import warc
-from tessera.llm.common import scratch_dir
+from tessera.llm import quality, secrets, warc
+from tessera.llm.common import cut, scratch_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(id_col: str, mod: int):
+    """crc32 of the id as text, modulo ``mod``: the folds of the labelled rows."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
+
+
+def _labels(spark: SparkSession, sf_dir: str, name: str, mod: int, held_out: int) -> DataFrame:
+    """``(id, y)``: one label for each id outside the held-out fold."""
+    labels = _read(spark, sf_dir, "labels").where(_remainder("doc_id", mod) != held_out)
+    return labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(name).cast("int").alias("y")).where("y is not null")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents."""
+    model = secrets.train(secrets.default_samples(spark))
+    found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), model, "text", "s")
+    count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.listed(F.col("s"), base_only=True), 256).alias("base_sha256"),
+        secrets.listed(F.col("s")).alias("spans"),
+        count("markov"),
+    )
+
+
+def fit_quality(spark: SparkSession, sf_dir: str, stats: DataFrame):
+    """The quality model, from labelled rows outside the held-out fold."""
+    return quality.fit(cut(stats.join(_labels(spark, sf_dir, "quality", 3, 1), "id"), "labelled"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    stats = cut(quality.with_statistics(_read(spark, sf_dir, "documents")), "statistics")
+    scored = quality.score(stats, fit_quality(spark, sf_dir, stats))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (_remainder("id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read the archives back and report every record."""
     out = scratch_dir(spark, "warc")
@@ -34,6 +78,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
+    "op8_quality": op8_quality,
     "op10_warc": op10_warc,
 }
 
