@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, secrets, warc
+from tessera.llm import jaccard, packing, quality, secrets, tokenfile, warc
 from tessera.llm.common import cut, scratch_dir
 
 
@@ -42,6 +42,37 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents into token files, read the files back and report every document."""
+    out = scratch_dir(spark, "tokens")
+    manifest = tokenfile.write_tokens(_read(spark, sf_dir, "documents"), out, _tokenizer()).orderBy("file").collect()
+    names = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    if not manifest:
+        return spark.createDataFrame([], names)
+    starts, total = {}, 0
+    for r in manifest:  # a row for each file
+        starts[r["file"]] = total
+        total += r["tokens"]
+    return tokenfile.read_tokens(spark, out, starts, with_tokens=False).drop("tokens")
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 80 per cent of their five-word shingles."""
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 4096 tokens."""
+    cut_up = cut(packing.pieces(_read(spark, sf_dir, "documents"), _tokenizer()), "pieces")
+    return packing.pack_pieces(cut_up).withColumnRenamed("id", "doc_id")
+
+
 def fit_quality(spark: SparkSession, sf_dir: str, stats: DataFrame):
     """The quality model, from labelled rows outside the held-out fold."""
     return quality.fit(cut(stats.join(_labels(spark, sf_dir, "quality", 3, 1), "id"), "labelled"))
@@ -79,7 +110,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
+    "op4_tokens": op4_tokens,
+    "op6_jaccard": op6_jaccard,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
 
