@@ -246,3 +246,18 @@ def score(stats: DataFrame, model: Model | float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.score(_matrix(b)))], ["id", "score"])
 
     return stats.select("id", "x").mapInArrow(run, "id long, score double")
+
+
+def keep(docs: DataFrame, model: Model | float, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``least``."""
+    if not isinstance(model, Model):
+        return docs.where(F.lit(model >= least))
+    text = "__text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, text):
+                good = model.score(statistics(*text_bytes(b.column(text)))) >= least
+                yield b.filter(pa.array(good)).select([c for c in b.schema.names if c != text])
+
+    return docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, docs.schema)

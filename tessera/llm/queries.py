@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, packing, quality, secrets, tokenfile, warc
+from tessera.llm import decontaminate, jaccard, neardup, packing, quality, secrets, suffixes, tokenfile, toxicity, warc
 from tessera.llm.common import cut, scratch_dir
 
 
@@ -42,7 +42,37 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tokenizer() -> str:
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.93, within labels."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that all documents hold parts of."""
+    found = decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = _read(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    net = toxicity.train(texts.join(_labels(spark, sf_dir, "toxic", 5, 0), "id"))
+    return toxicity.score(docs, net).select(
+        F.col("id").alias("doc_id"),
+        (_remainder("id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that all documents share."""
+    return suffixes.repeated_passages(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the packing and token-file queries."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -51,7 +81,7 @@ def _tokenizer() -> str:
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into token files, read the files back and report every document."""
     out = scratch_dir(spark, "tokens")
-    manifest = tokenfile.write_tokens(_read(spark, sf_dir, "documents"), out, _tokenizer()).orderBy("file").collect()
+    manifest = tokenfile.write_tokens(_read(spark, sf_dir, "documents"), out, tokenizer_path()).orderBy("file").collect()
     names = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not manifest:
         return spark.createDataFrame([], names)
@@ -69,7 +99,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 4096 tokens."""
-    cut_up = cut(packing.pieces(_read(spark, sf_dir, "documents"), _tokenizer()), "pieces")
+    cut_up = cut(packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
     return packing.pack_pieces(cut_up).withColumnRenamed("id", "doc_id")
 
 
@@ -109,9 +139,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_secrets": op2_secrets,
+    "op3_decontamination": op3_decontamination,
     "op4_tokens": op4_tokens,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
