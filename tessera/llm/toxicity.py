@@ -6,9 +6,10 @@ read a window of words in both directions; attention pools their states; a
 logistic unit gives the window's score.  A document's score is that of its
 highest window, over all windows of the whole text, which overlap by half.
 
-Training sees labelled documents only and knows no window labels: each round
-scores the sampled windows, then learns from the highest window of a toxic
-document and the highest and a random one of a clean document.  The sample is
+Training sees labelled documents only and knows no window labels: after some
+rounds over random windows, each round scores the sampled windows, then learns
+from the highest window of a toxic document and the highest and a random one of
+a clean document.  The sample is
 bounded: ``docs_per_label`` documents of each label, picked by a hash of the
 id, and ``windows_per_doc`` windows of each.
 
@@ -35,6 +36,9 @@ DIM, HIDDEN = 8, 8
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
+#: Rounds of training over random windows, and how many of each document in one.
+WARM_ROUNDS, WARM_WINDOWS = 4, 8
+
 f32 = np.float32
 
 
@@ -92,6 +96,7 @@ class Network:
             "out": normal(2 * HIDDEN, scale=0.3),
             "bias": np.zeros(1, f32),
         }
+        self.slope, self.offset = 1.0, 0.0  # calibration of documents' scores
         for d in "fb":
             self.p["x" + d] = normal(2 * DIM, 3 * HIDDEN, scale=0.3)
             self.p["h" + d] = normal(HIDDEN, 3 * HIDDEN, scale=0.3)
@@ -197,7 +202,7 @@ class Network:
 
 
 def highest(net: Network, raw: np.ndarray, at: np.ndarray, batch: int = 2048) -> np.ndarray:
-    """The score of each text: that of its highest window."""
+    """The score of each text: that of its highest window, calibrated."""
     words, tri, owner, which, row = vocabulary(raw, at)
     a = net.projected(net.inputs(words, tri, owner))
     n = len(at) - 1
@@ -214,14 +219,34 @@ def highest(net: Network, raw: np.ndarray, at: np.ndarray, batch: int = 2048) ->
         for i in range(0, len(idx), batch):
             np.maximum.at(best, done + of[i : i + batch], net.forward(a, idx[i : i + batch]))
         done = end
-    return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(net.slope * best + net.offset, -30, 30)))
+
+
+def calibrate(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic fit, with the targets drawn in a little (Platt)."""
+    low, high = 1 / (2 + (y == 0).sum()), 1 - 1 / (2 + (y == 1).sum())
+    target = np.where(y == 1, high, low)
+    x = np.column_stack([logit, np.ones(len(logit))])
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (p - target)))
+        w -= step / max(1.0, np.abs(step).max())
+    return float(max(w[0], 1e-3)), float(w[1])
 
 
 # ---------------------------------------------------------------- training
 
 
-def fit(texts: list[list[str]], y: np.ndarray, rounds: int = 14, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
-    """Train on documents given as lists of windows' texts, and their labels."""
+def fit(
+    texts: list[list[str]], y: np.ndarray, share: float | None = None, rounds: int = 9, batch: int = 128, rate: float = 0.01, decay: float = 0.01, seed: int = 5
+) -> Network:
+    """Train on documents given as lists of windows' texts, and their labels.
+
+    A fifth of them is left out of the rounds and calibrates the scores for a
+    population with a ``share`` of label 1.
+    """
     net = Network(seed)
     rng = np.random.default_rng(seed)
     flat = pa.array([w for doc in texts for w in doc])
@@ -231,37 +256,56 @@ def fit(texts: list[list[str]], y: np.ndarray, rounds: int = 14, batch: int = 12
     doc_of = doc_of[of]
     tri_at = np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
     balance = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum()))).astype(f32)
+    held = np.arange(len(y)) % 5 == 4
+    mine = np.flatnonzero(~held[doc_of])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
+
+    def one_of_each() -> np.ndarray:
+        other = rng.permutation(mine)
+        return other[np.unique(doc_of[other], return_index=True)[1]]
+
+    def all_windows() -> np.ndarray:
+        a = net.projected(net.inputs(words, tri, owner))
+        return np.concatenate([net.forward(a, idx[i : i + 2048]) for i in range(0, len(idx), 2048)])
+
     for r in range(rounds):
-        if r == 0:  # before anything is known, a random window of each document
-            logit = rng.random(len(idx))
+        if r < WARM_ROUNDS:  # little is known of windows yet: random ones of each document
+            pick = np.concatenate([one_of_each() for _ in range(WARM_WINDOWS)])
         else:
-            a = net.projected(net.inputs(words, tri, owner))
-            logit = np.concatenate([net.forward(a, idx[i : i + 2048]) for i in range(0, len(idx), 2048)])
-        order = np.lexsort((logit, doc_of))
-        top = order[np.append(np.flatnonzero(doc_of[order][1:] != doc_of[order][:-1]), len(order) - 1)]
-        other = rng.permutation(len(idx))
-        other = other[np.unique(doc_of[other], return_index=True)[1]]
-        pick = np.concatenate([top, other[y[doc_of[other]] == 0]]) if r > 1 else np.arange(len(idx))
+            logit = all_windows()[mine]
+            order = mine[np.lexsort((logit, doc_of[mine]))]
+            top = order[np.append(np.flatnonzero(doc_of[order][1:] != doc_of[order][:-1]), len(order) - 1)]
+            other = one_of_each()
+            pick = np.concatenate([top, other[y[doc_of[other]] == 0]])
         pick = rng.permutation(pick)
+        lr = rate * (1 - 0.9 * r / rounds)
         for i in range(0, len(pick), batch):
             some = pick[i : i + batch]
-            used, local = np.unique(idx[some], return_inverse=True)
+            seen = np.where(rng.random((len(some), WINDOW)) < 0.1, len(words), idx[some])  # some words are left out
+            used, local = np.unique(seen, return_inverse=True)
             local = local.reshape(len(some), WINDOW)
-            has_pad = len(used) and used[-1] == len(words)
-            used = used[:-1] if has_pad else used
+            if used[-1] < len(words):
+                used = np.append(used, len(words))
+            used = used[:-1]
             size = tri_at[used + 1] - tri_at[used]
             at = np.repeat(tri_at[used] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             d = doc_of[some]
             g, _ = net.gradients(words[used], tri[at], np.repeat(np.arange(len(used)), size), local, y[d].astype(f32), balance[d])
             step += 1
-            lr = rate * (1 - 0.9 * r / rounds)
             for k, v in g.items():
                 m, s = moment[k]
                 m += 0.1 * (v - m)
                 s += 0.01 * (v * v - s)
+                net.p[k] *= 1 - lr * decay
                 net.p[k] -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(f32)
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, doc_of, all_windows())
+    ones = int(y[held].sum())
+    if 0 < ones < held.sum():
+        share = y.mean() if share is None else share
+        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+        net.slope, net.offset = calibrate(best[held], y[held], weight[held])
     return net
 
 
@@ -282,7 +326,7 @@ def _sampled_windows(windows_per_doc: int):
     return run
 
 
-def train(labelled: DataFrame, docs_per_label: int = 1000, windows_per_doc: int = 24, **how) -> Network | float:
+def train(labelled: DataFrame, docs_per_label: int = 1500, windows_per_doc: int = 24, **how) -> Network | float:
     """Fit on ``(id, text, y)``; a float is the constant score where there is nothing to learn."""
     usable = labelled.where("y in (0, 1) and id is not null").select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
     picks = [
@@ -296,7 +340,8 @@ def train(labelled: DataFrame, docs_per_label: int = 1000, windows_per_doc: int
         return 0.5
     if y.min() == y.max():
         return float(y[0])
-    return fit([list(r["w"]) for r in rows], y, **how)
+    n = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    return fit([list(r["w"]) for r in rows], y, n[1] / (n[0] + n[1]), **how)
 
 
 def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
