@@ -4,7 +4,7 @@ A file holds the ids of consecutive documents::
 
     magic, counts         fixed header
     documents             ids and token counts of the documents, deflated
-    table                 counts of the ids of this file, deflated
+    table                 the ids that occur and their counts, deflated
     lengths, checksums    words and crc32 of every block
     words                 the range coder's output, block after block
 
@@ -46,15 +46,14 @@ MAGIC = b"TIDS\x01\0\0\0"
 HEADER = struct.Struct("<8sQIIIIII")  # magic, ids, documents, block length, blocks, bytes of documents, of table, spare
 NO_ID = -(1 << 63)
 
-BLOCK = 4096
-MOST_LANES = 2048
+BLOCK = 1024
+MOST_LANES = 8192
 SCALE = 24  # a distribution has 2**SCALE parts
-SLOTS = 4096  # contexts of a block and order
+SLOT_BITS = 9  # contexts of a block and order: 2**SLOT_BITS
 LEARN = 4  # rate of the weights: the error divided by 2**LEARN
-UP = np.minimum(np.arange(8) + 1, 7).astype(np.uint32)
-DOWN = (np.arange(8) >> 1).astype(np.uint32)
+LEAST = 64  # parts of 2**SCALE that an id of the table has at least
 
-u32, u64 = np.uint32, np.uint64
+u32, u64, i32 = np.uint32, np.uint64, np.int32
 
 
 class FileError(ValueError):
@@ -65,30 +64,34 @@ class FileError(ValueError):
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Cumulative parts of the order-0 distribution; each id that occurs has some."""
-    least = 64
-    seen = counts > 0
-    free = (1 << SCALE) - least * int(seen.sum())
-    share = counts.astype(np.int64) * free // max(1, int(counts.sum())) + least * seen
-    if len(share):
-        share[int(np.argmax(share))] += (1 << SCALE) - int(share.sum())
+    """Cumulative parts of the order-0 distribution over ids that all occur."""
+    if not len(counts):
+        return np.zeros(1, np.int64)
+    free = (1 << SCALE) - LEAST * len(counts)
+    share = counts.astype(np.int64) * free // int(counts.sum()) + LEAST
+    share[int(np.argmax(share))] += (1 << SCALE) - int(share.sum())
     return np.append(0, np.cumsum(share))
 
 
 class Mixer:
-    """Adaptive state of all blocks: one lane each."""
+    """Adaptive state of all blocks: one lane each.
+
+    Symbols are the places of ids in the file's table.  A context's slot holds
+    the symbol that followed it, shifted by 3, and a confidence of 0 to 7.
+    """
 
     def __init__(self, lanes: int, table: np.ndarray):
         self.table = table.astype(u64)
+        # where a search for a part begins: the symbol at the start of each 256 parts
+        self.begin = (np.searchsorted(table, np.arange(0, 1 << SCALE, 256), "right") - 1).astype(np.int64)
         lane = np.arange(lanes, dtype=np.int64)
-        self.slot = lane * SLOTS
-        self.of2, self.of1 = lane * 128, lane * 8
-        # a slot holds a candidate id, shifted by 3, and its confidence
-        self.seen1 = np.full(lanes * SLOTS, 0xFFFFFFF8, u32)
-        self.seen2 = np.full(lanes * SLOTS, 0xFFFFFFF8, u32)
-        start = np.array([400, 6000, 16000, 26000, 36000, 44000, 52000, 60000], np.int32)
-        self.weight2 = np.tile(np.repeat(start, 16), lanes)
-        self.weight1 = np.tile(start // 2, lanes)
+        self.slot = lane << SLOT_BITS
+        # a lane's weights: 16 of order 2, by its confidence and whether order 1 bears it out, and 8 of order 1
+        self.of2, self.of1 = lane * 24, lane * 24 + 16
+        self.seen1 = np.full(lanes << SLOT_BITS, 0xFFFFFFF8, u32)
+        self.seen2 = np.full(lanes << SLOT_BITS, 0xFFFFFFF8, u32)
+        start = np.array([400, 6000, 16000, 26000, 36000, 44000, 52000, 60000], i32)
+        self.weight = np.tile(np.concatenate([np.repeat(start, 2), start // 2]), lanes)
         self.last = np.zeros(lanes, u32)
         self.before = np.zeros(lanes, u32)
 
@@ -96,56 +99,63 @@ class Mixer:
         """Find both candidates and the parts that each order gets."""
         h1 = self.last * u32(0x9E3779B1)
         h2 = (h1 ^ (self.before * u32(0x85EBCA77))) * u32(0xC2B2AE3D)
-        self.i1 = self.slot + (h1 >> u32(20))
-        self.i2 = self.slot + (h2 >> u32(20))
-        s1, s2 = self.seen1[self.i1], self.seen2[self.i2]
-        self.k1, self.k2 = s1 & u32(7), s2 & u32(7)
-        self.c1, self.c2 = s1 >> u32(3), s2 >> u32(3)
+        self.i1 = self.slot + (h1 >> u32(32 - SLOT_BITS))
+        self.i2 = self.slot + (h2 >> u32(32 - SLOT_BITS))
+        self.s1, self.s2 = self.seen1.take(self.i1), self.seen2.take(self.i2)
+        self.k1, self.k2 = self.s1 & u32(7), self.s2 & u32(7)
+        self.c1, self.c2 = self.s1 >> u32(3), self.s2 >> u32(3)
         same = self.c1 == self.c2
-        self.j2 = self.of2 + ((self.k2 << u32(4)) | (self.k1 << u32(1)) | same)
+        self.j2 = self.of2 + ((self.k2 << u32(1)) + same)
         self.j1 = self.of1 + self.k1
-        self.w2, self.w1 = self.weight2[self.j2], self.weight1[self.j1]
-        # order 0 keeps 1/64 at least, so that every id of the table has a part
-        p2 = np.minimum(self.w2, 63488).astype(u64)
-        p1 = np.minimum(((u64(65536) - p2) * self.w1.astype(u64)) >> u64(16), u64(64512) - p2)
-        p1[same] = 0
-        self.part2 = p2 << u64(SCALE - 16)
-        self.part1 = p1 << u64(SCALE - 16)
-        self.taken = self.part2 + self.part1
-        self.rest = u64(1 << SCALE) - self.taken
-
-    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each id's interval starts in the mixed distribution, and its width."""
-        low = self.taken + ((self.table[ids] * self.rest) >> u64(SCALE))
-        high = self.taken + ((self.table[ids + u32(1)] * self.rest) >> u64(SCALE))
-        by1 = (ids == self.c1) & (self.part1 > 0)
-        by2 = (ids == self.c2) & (self.part2 > 0)
-        low = np.where(by1, self.part2, low)
-        high = np.where(by1, self.taken, high)
-        low[by2] = 0
-        high = np.where(by2, self.part2, high)
+        self.w2, self.w1 = self.weight.take(self.j2), self.weight.take(self.j1)
+        # order 0 keeps 1/64 at least, so that every symbol has a part
+        p2 = np.minimum(self.w2, i32(63488)).view(u32)
+        p1 = np.minimum(((u32(65536) - p2) * self.w1.view(u32)) >> u32(16), u32(64512) - p2) * ~same
+        self.part2 = p2 << u32(SCALE - 16)
+        self.taken = (p1 + p2) << u32(SCALE - 16)
+        self.rest = (u32(1 << SCALE) - self.taken).astype(u64)
+
+    def place(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each symbol's interval starts in the mixed distribution, and its width."""
+        at = sym.astype(np.int64)
+        low = ((self.table.take(at) * self.rest) >> u64(SCALE)) + self.taken
+        high = ((self.table.take(at + 1) * self.rest) >> u64(SCALE)) + self.taken
+        by1 = (sym == self.c1) & (self.taken > self.part2)
+        by2 = (sym == self.c2) & (self.part2 > 0)
+        np.copyto(low, self.part2, where=by1)
+        np.copyto(high, self.taken, where=by1)
+        np.copyto(low, u64(0), where=by2)
+        np.copyto(high, self.part2, where=by2)
         return low, high - low
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The ids in whose intervals the points ``v`` lie."""
+        """The symbols in whose intervals the points ``v`` lie."""
         by2 = v < self.part2
         by1 = v < self.taken
         y = np.where(by1, u64(0), v - self.taken)
         point = (((y + u64(1)) << u64(SCALE)) - u64(1)) // self.rest
-        ids = (np.searchsorted(self.table, point, "right") - 1).astype(u32)
-        ids = np.where(by1, self.c1, ids)
-        return np.where(by2, self.c2, ids)
-
-    def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.c2, ids == self.c1
-        self.weight2[self.j2] = self.w2 + ((np.where(hit2, 65535, 0) - self.w2) >> LEARN)
+        sym = self.begin.take((point >> u64(8)).astype(np.int64))
+        while True:  # a symbol has 64 parts at least, so this ends after a few steps
+            more = self.table.take(sym + 1) <= point
+            if not more.any():
+                break
+            sym += more
+        sym = sym.astype(u32)
+        np.copyto(sym, self.c1, where=by1)
+        np.copyto(sym, self.c2, where=by2)
+        return sym
+
+    def learn(self, sym: np.ndarray) -> None:
+        hit2, hit1 = sym == self.c2, sym == self.c1
+        self.weight[self.j2] = self.w2 + ((hit2 * i32(65535) - self.w2) >> i32(LEARN))
         # order 1 answers for what order 2 missed
-        self.weight1[self.j1] = self.w1 + np.where(hit2, 0, (np.where(hit1, 65535, 0) - self.w1) >> LEARN)
-        fresh = ids << u32(3)
-        for seen, i, c, k, hit in ((self.seen2, self.i2, self.c2, self.k2, hit2), (self.seen1, self.i1, self.c1, self.k1, hit1)):
-            kept = (c << u32(3)) | np.where(hit, UP[k], DOWN[k])
-            seen[i] = np.where(hit | (k > 1), kept, fresh)
-        self.before, self.last = self.last, ids
+        self.weight[self.j1] = self.w1 + ((hit1 * i32(65535) - self.w1) >> i32(LEARN)) * ~hit2
+        fresh = sym << u32(3)
+        for seen, i, s, k, hit in ((self.seen2, self.i2, self.s2, self.k2, hit2), (self.seen1, self.i1, self.s1, self.k1, hit1)):
+            new = np.where(k > 1, s - k + (k >> u32(1)), fresh)
+            np.copyto(new, s + (k < 7), where=hit)
+            seen[i] = new
+        self.before, self.last = self.last, sym
 
 
 # ----------------------------------------------------------------- the coder
@@ -159,15 +169,15 @@ def _carry(out: np.ndarray, lanes: np.ndarray, at: np.ndarray) -> None:
         lanes, at = lanes[more], at[more] - 1
 
 
-def encode_blocks(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code a (blocks, length) matrix; gives all words and the blocks' numbers of words."""
-    lanes, length = ids.shape
+def encode_blocks(symbols: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code a (blocks, length) matrix of symbols; gives all words and the blocks' numbers of words."""
+    lanes, length = symbols.shape
     model = Mixer(lanes, table)
     out = np.zeros((lanes, length + 8), u32)
     at = np.zeros(lanes, np.int64)
     low = np.zeros(lanes, u64)
     span = np.full(lanes, (1 << 64) - 1, u64)
-    steps = np.ascontiguousarray(ids.T)
+    steps = np.ascontiguousarray(symbols.T)
     for i in range(length):
         model.predict()
         start, width = model.place(steps[i])
@@ -193,7 +203,7 @@ def encode_blocks(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def decode_blocks(words: np.ndarray, counts: np.ndarray, length: int, table: np.ndarray) -> np.ndarray:
-    """The (blocks, length) matrix of ids from the blocks' words."""
+    """The (blocks, length) matrix of symbols from the blocks' words."""
     lanes = len(counts)
     model = Mixer(lanes, table)
     words = np.append(words, np.zeros(2, u32)).astype(u64)
@@ -206,10 +216,10 @@ def decode_blocks(words: np.ndarray, counts: np.ndarray, length: int, table: np.
     for i in range(length):
         model.predict()
         unit = span >> u64(SCALE)
-        ids = model.find(np.minimum(code // unit, top))
-        if int(ids.max(initial=0)) >= len(table) - 1:
-            raise FileError("an id beyond the table")
-        start, width = model.place(ids)
+        symbols = model.find(np.minimum(code // unit, top))
+        if int(symbols.max(initial=0)) >= len(table) - 1:
+            raise FileError("a symbol beyond the table")
+        start, width = model.place(symbols)
         code = code - unit * start
         span = unit * width
         small = np.flatnonzero(span < u64(1 << 32))
@@ -217,8 +227,8 @@ def decode_blocks(words: np.ndarray, counts: np.ndarray, length: int, table: np.
             code[small] = (code[small] << u64(32)) | words[np.minimum(at[small], len(words) - 1)]
             at[small] += 1
             span[small] <<= u64(32)
-        model.learn(ids)
-        out[i] = ids
+        model.learn(symbols)
+        out[i] = symbols
     return np.ascontiguousarray(out.T)
 
 
@@ -232,17 +242,19 @@ def pack_file(doc_ids: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, block:
     padded = np.zeros(blocks * block, u32)
     padded[:total] = ids
     padded[total:] = ids[-1] if total else 0
+    counts = np.bincount(padded, minlength=1)
+    known = np.flatnonzero(counts)
+    counts, symbol_of = counts[known], (np.cumsum(counts > 0) - 1).astype(u32)
     padded = padded.reshape(blocks, block)
-    counts = np.bincount(padded.reshape(-1)) if total else np.zeros(0, np.int64)
-    table = frequencies(counts)
+    symbols, table = symbol_of[padded], frequencies(counts)
     words, n_words = [], []
     for i in range(0, blocks, MOST_LANES):
-        w, n = encode_blocks(padded[i : i + MOST_LANES], table)
+        w, n = encode_blocks(symbols[i : i + MOST_LANES], table)
         words.append(w)
         n_words.append(n)
     sums = np.array([zlib.crc32(np.ascontiguousarray(b.astype("<u4"))) for b in padded], "<u4")
     docs = zlib.compress(np.diff(doc_ids.astype("<i8"), prepend=0).astype("<i8").tobytes() + n_tokens.astype("<u8").tobytes(), 1)
-    counted = zlib.compress(counts.astype("<u4").tobytes(), 1)
+    counted = zlib.compress(known.astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 1)
     head = HEADER.pack(MAGIC, total, len(doc_ids), block, blocks, len(docs), len(counted), 0)
     body = [docs, counted]
     if blocks:
@@ -263,7 +275,8 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc_ids = np.cumsum(np.frombuffer(raw[: 8 * n_docs], "<i8"))
     n_tokens = np.frombuffer(raw[8 * n_docs :], "<u8").astype(np.int64)
     at += doc_bytes
-    table = frequencies(np.frombuffer(zlib.decompress(data[at : at + table_bytes]), "<u4").astype(np.int64))
+    known, counts = np.frombuffer(zlib.decompress(data[at : at + table_bytes]), "<u4").reshape(2, -1)
+    table = frequencies(counts)
     at += table_bytes
     n_words = np.frombuffer(data, "<u4", blocks, at).astype(np.int64)
     sums = np.frombuffer(data, "<u4", blocks, at + 4 * blocks)
@@ -274,6 +287,7 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(0, blocks, MOST_LANES):
         j = min(blocks, i + MOST_LANES)
         out[i:j] = decode_blocks(words[first[i] : first[j]], n_words[i:j], block, table)
+    out = known[out] if total else out
     for k, row in enumerate(out):
         if zlib.crc32(np.ascontiguousarray(row.astype("<u4"))) != sums[k]:
             raise FileError(f"block {k} does not match its checksum")
