@@ -66,18 +66,18 @@ def sql_area(ring: str) -> str:
 
 def sql_clipped(source: str, window: str = "wring", subject: str = "sring", name: str = "clip") -> str:
     """CTEs ``name0 .. name4`` that clip ``subject`` of ``source`` by the four-cornered ``window``; ``p`` is the result."""
-    out = [f"{name}0 AS (SELECT *, {subject} AS p FROM {source})"]
+    out = [f"{name}0 AS MATERIALIZED (SELECT *, {subject} AS p FROM {source})"]
     for k in range(1, 5):
         ax, ay, bx, by = (f"{window}[{i}].{c}" for i, c in ((k, "x"), (k, "y"), (k % 4 + 1, "x"), (k % 4 + 1, "y")))
         side = f"(({bx} - {ax}) * (e.y - {ay}) - ({by} - {ay}) * (e.x - {ax}))"
-        out.append(f"{name}{k}d AS (SELECT * EXCLUDE (p), p AS q, list_transform(p, lambda e: {side}) AS d FROM {name}{k - 1})")
+        out.append(f"{name}{k}d AS MATERIALIZED (SELECT * EXCLUDE (p), p AS q, list_transform(p, lambda e: {side}) AS d FROM {name}{k - 1})")
         t = "(d[i] / (d[i] - d[i % len(q) + 1]))"
         meet = f"{{'x': q[i].x + (q[i % len(q) + 1].x - q[i].x) * {t}, 'y': q[i].y + (q[i % len(q) + 1].y - q[i].y) * {t}}}"
         step = (
             f"CASE WHEN d[i] >= 0 AND d[i % len(q) + 1] >= 0 THEN [q[i % len(q) + 1]] WHEN d[i] >= 0 THEN [{meet}] "
             f"WHEN d[i % len(q) + 1] >= 0 THEN [{meet}, q[i % len(q) + 1]] ELSE [] END"
         )
-        out.append(f"{name}{k} AS (SELECT * EXCLUDE (q, d), flatten(list_transform(range(1, len(q) + 1), lambda i: {step})) AS p FROM {name}{k}d)")
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT * EXCLUDE (q, d), flatten(list_transform(range(1, len(q) + 1), lambda i: {step})) AS p FROM {name}{k}d)")
     return ",\n  ".join(out)
 
 

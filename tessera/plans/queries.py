@@ -534,8 +534,7 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label": F.lit(None).cast("string"), "class_name": F.col("class_id").cast("string"), "source_tile": F.lit(None).cast("string"),
         "image": F.col("image").cast("string"),
     })
-    feature = geojson.COLLECTION["features"].dataType.elementType
-    f = b.select("ordinal", F.from_json(geojson.feature_json(), feature).alias("f"))
+    f = b.select("ordinal", F.from_json(geojson.feature_json(), geojson.FEATURE).alias("f"))
     r = f.select("ordinal", "f.properties.*", geojson.open_ring(F.col("f.geometry.coordinates")[0]).alias("ring"))
     return r.select(
         F.col("source_image").alias("image"), "ordinal", "class_id", "confidence", micro(F.col("ring")[2]["x"]).alias("x3"), F.size("ring").alias("corners")

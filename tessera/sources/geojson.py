@@ -8,11 +8,18 @@ from pyspark.sql import types as T
 
 from tessera.functions.geometry import RING, area, point
 
-PROPERTIES = "label string, class_id int, class_name string, confidence double, source_tile string, source_image string, ground_truth int, deleted boolean"
-COLLECTION = T._parse_datatype_string(
-    f"type string, metadata map<string,long>, features array<struct<type:string,properties:struct<{PROPERTIES.replace(' ', ':').replace(',:', ',')}>,"
-    "geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+PROPERTIES = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("label", "class_name", "source_tile", "source_image")]
+    + [T.StructField(n, T.IntegerType()) for n in ("class_id", "ground_truth")]
+    + [T.StructField("confidence", T.DoubleType()), T.StructField("deleted", T.BooleanType())]
 )
+GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
+FEATURE = T.StructType([T.StructField("type", T.StringType()), T.StructField("properties", PROPERTIES), T.StructField("geometry", GEOMETRY)])
+COLLECTION = T.StructType([
+    T.StructField("type", T.StringType()),
+    T.StructField("metadata", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("features", T.ArrayType(FEATURE)),
+])
 
 
 def stem(path: Column) -> Column:
