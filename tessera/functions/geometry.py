@@ -38,11 +38,16 @@ def _positions(r: Column) -> Column:
 def signed_area(r: Column) -> Column:
     """Shoelace area, positive for counter-clockwise rings; 0 for fewer than three points."""
 
-    def term(acc: Column, i: Column) -> Column:
-        p, q = F.element_at(r, i), _next(r, i)
-        return acc + (p["x"] * q["y"] - q["x"] * p["y"])
+    def summed(v: Column) -> Column:
+        def term(acc: Column, i: Column) -> Column:
+            return let(
+                F.struct(F.element_at(v, i).alias("p"), _next(v, i).alias("q")),
+                lambda e: acc + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]),
+            )
+
+        return F.when(F.size(v) < 3, F.lit(0.0)).otherwise(F.aggregate(_positions(v), F.lit(0.0), term) / 2.0)
 
-    return F.when(F.size(r) < 3, F.lit(0.0)).otherwise(F.aggregate(_positions(r), F.lit(0.0), term) / 2.0)
+    return let(r, summed)
 
 
 def area(r: Column) -> Column:
@@ -73,9 +78,13 @@ def centroid(r: Column) -> Column:
 
 
 def bounds(r: Column) -> Column:
-    xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
-    return F.struct(
-        F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")
+    axis = lambda k: F.transform(r, lambda p: p[k])
+    both = F.struct(axis("x").alias("x"), axis("y").alias("y"))
+    return let(
+        both,
+        lambda v: F.struct(
+            F.array_min(v["x"]).alias("x0"), F.array_min(v["y"]).alias("y0"), F.array_max(v["x"]).alias("x1"), F.array_max(v["y"]).alias("y1")
+        ),
     )
 
 
@@ -113,13 +122,12 @@ def clip(subject: Column, window: Column) -> Column:
 
     The area of the result is exact for any simple subject.
     """
-    return F.aggregate(
-        _positions(window), subject.cast(RING), lambda r, i: _cut_by_edge(r, F.element_at(window, i), _next(window, i))
-    )
+    edges = F.transform(_positions(window), lambda i: F.struct(F.element_at(window, i).alias("a"), _next(window, i).alias("b")))
+    return F.aggregate(edges, subject.cast(RING), lambda r, e: _cut_by_edge(r, e["a"], e["b"]))
 
 
 def overlap_area(subject: Column, window: Column) -> Column:
-    return area(clip(subject, counter_clockwise(window)))
+    return let(counter_clockwise(window), lambda w: area(clip(subject, w)))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -129,7 +137,7 @@ def iou(a: Column, b: Column) -> Column:
         union = v["a"] + v["b"] - v["both"]
         return F.when(union > 0, v["both"] / union).otherwise(F.lit(0.0))
 
-    apart = ~boxes_meet(bounds(a), bounds(b))
+    apart = let(F.struct(bounds(a).alias("a"), bounds(b).alias("b")), lambda v: ~boxes_meet(v["a"], v["b"]))
     values = F.struct(area(a).alias("a"), area(b).alias("b"), overlap_area(a, b).alias("both"))
     return F.when(apart, F.lit(0.0)).otherwise(let(values, ratio))
 

@@ -133,16 +133,16 @@ def labelled(predictions: DataFrame, truths: DataFrame, matches: DataFrame) -> t
     return mark(predictions, p, "FP"), mark(truths, t, "FN")
 
 
-def centroid_key(ring: Column) -> list[Column]:
-    c = centroid(ring)
-    return [F.round(c["x"], 8).alias("__x"), F.round(c["y"], 8).alias("__y")]
+def with_centroid(boxes: DataFrame) -> DataFrame:
+    """Add the centroid to 8 decimals as ``__x, __y``."""
+    c = boxes.withColumn("__c", centroid(F.col("ring")))
+    return c.withColumns({"__x": F.round("__c.x", 8), "__y": F.round("__c.y", 8)}).drop("__c")
 
 
 def deleted(raw: DataFrame, survivors: DataFrame) -> DataFrame:
     """Rows of ``raw`` whose class and centroid, to 8 decimals, no survivor of the image has."""
-    keyed = raw.select("*", *centroid_key(F.col("ring")))
-    keys = survivors.select(*KEY, *centroid_key(F.col("ring"))).distinct()
-    return keyed.join(keys, [*KEY, "__x", "__y"], "left_anti").drop("__x", "__y")
+    keys = with_centroid(survivors.select(*KEY, "ring")).select(*KEY, "__x", "__y").distinct()
+    return with_centroid(raw).join(keys, [*KEY, "__x", "__y"], "left_anti").drop("__x", "__y")
 
 
 def evaluation_rows(predictions: DataFrame, truths: DataFrame, removed: DataFrame) -> DataFrame:

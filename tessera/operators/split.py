@@ -71,7 +71,7 @@ def assign(images: DataFrame, profile: DataFrame, cfg: SplitConfig = SplitConfig
     each = images.select("image").distinct().join(
         profile.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("p")), "image", "left"
     )
-    rows = each.select("image", F.to_json("p").alias("p"))
+    rows = each.select("image", F.to_json("p").alias("p"), F.lit(0).alias("all"))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         import json
@@ -79,7 +79,7 @@ def assign(images: DataFrame, profile: DataFrame, cfg: SplitConfig = SplitConfig
         found = {r.image: {int(k): v for k, v in json.loads(r.p).items()} if isinstance(r.p, str) else {} for r in df.itertuples()}
         return pd.DataFrame(list(greedy(found, cfg, ties).items()), columns=["image", "split"])
 
-    return rows.groupBy(F.lit(1)).applyInPandas(run, "image string, split string")
+    return rows.groupBy("all").applyInPandas(run, "image string, split string")
 
 
 def greedy(found: dict[str, dict[int, int]], cfg: SplitConfig, ties: str) -> dict[str, str]:

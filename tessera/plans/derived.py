@@ -25,7 +25,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = lambda i: F.when(k == 0, TURNS[0][i]).when(k == 1, TURNS[1][i]).when(k == 2, TURNS[2][i]).otherwise(TURNS[3][i])
     d = li.select(
         F.col("l_partkey").alias("image"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + F.col("l_suppkey") % 1000) * 64 + F.col("l_quantity").cast("long")).alias("ordinal"),
         (F.col("l_linenumber") % 3).cast("int").alias("class_id"),
         (((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 1000) / 1000.0).alias("confidence"),
         ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % 37).cast("double").alias("cx"),
@@ -48,7 +48,7 @@ def _sql_corner(sx: str, sy: str) -> str:
 
 
 BOXES = f"""
-  lines AS (SELECT l_partkey AS image, l_orderkey * 8 + l_linenumber AS ordinal, (l_linenumber % 3)::INT AS class_id,
+  lines AS (SELECT l_partkey AS image, ((l_orderkey * 8 + l_linenumber) * 1000 + l_suppkey % 1000) * 64 + l_quantity::BIGINT AS ordinal, (l_linenumber % 3)::INT AS class_id,
       ((l_orderkey * 31 + l_linenumber * 17) % 1000) / 1e3 AS confidence,
       ((l_orderkey * 7 + l_suppkey) % 37)::DOUBLE AS cx, ((l_suppkey * 3 + l_linenumber * 5) % 29)::DOUBLE AS cy,
       4e0 + l_quantity % 9 AS w, (3 + l_suppkey % 5)::DOUBLE AS h, {_sql_turn(0)} AS c, {_sql_turn(1)} AS s,

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.operators import detections, masks, metrics
+from tessera.operators import annotate, detections, masks, metrics, raster, split, tiling
 
 Tables = dict[str, DataFrame]
 
@@ -136,6 +137,51 @@ def _buildings(tables: Tables, cfg: Config) -> Tables:
     return {"predictions": masks.buildings_filter(tables["predictions"], tables["masks"], cfg.get("max_overlap_fraction", 0.3))}
 
 
+preprocessing = Registry()
+
+
+@preprocessing.stage("radiometric")
+def _radiometric(tables: Tables, cfg: Config) -> Tables:
+    bands = cfg.get("bands")
+    return {"blocks": raster.radiometric(tables["blocks"], cfg.get("lo_percentile", 1.0), cfg.get("hi_percentile", 99.9), cfg.get("gamma", 1.0), tuple(bands) if bands else None)}
+
+
+@preprocessing.stage("spatial")
+def _spatial(tables: Tables, cfg: Config) -> Tables:
+    scale, method = cfg.get("upscale_ratio", 1.0), cfg.get("interpolation", "cubic")
+    images = raster.scaled_meta(tables["images"], scale)
+    images = images.withColumns({"width": F.col("new_width"), "height": F.col("new_height")}).drop("new_width", "new_height", "sx", "sy")
+    return {"images": images, "blocks": raster.resample_tiles(tables["blocks"], scale, method)}
+
+
+@preprocessing.stage("annotations")
+def _annotations(tables: Tables, cfg: Config) -> Tables:
+    settings = annotate.AnnotationConfig(
+        {int(k): int(v) for k, v in cfg.get("class_map", {}).items()}, tuple(cfg.get("skip_classes", ())), cfg.get("min_visible", 0.1), cfg.get("min_size_px", 2.0)
+    )
+    return {"labels": annotate.convert(tables["annotations"], tables["images"], settings).withColumnRenamed("ordinal", "line_no")}
+
+
+@preprocessing.stage("split")
+def _split(tables: Tables, cfg: Config) -> Tables:
+    settings = split.SplitConfig(
+        (cfg.get("train_ratio", 0.7), cfg.get("val_ratio", 0.15), cfg.get("test_ratio", 0.15)),
+        tuple(cfg.get("priority_class_ids", ())), cfg.get("priority_weight", 3.0), cfg.get("random_seed", 42),
+    )
+    assigned = split.assign(tables["images"], split.profiles(tables["labels"]), settings)
+    return {"images": tables["images"].drop("split").join(assigned, "image")}
+
+
+@preprocessing.stage("tiling")
+def _tiling(tables: Tables, cfg: Config) -> Tables:
+    size, overlap = cfg.get("tile_size", 640), cfg.get("overlap", 64)
+    images = tables["images"]
+    if "splits" in cfg.to_dict():
+        images = images.where(F.col("split").isin(*cfg.get("splits")))
+    tiles = tiling.tile_grid(images, size, overlap)
+    return {"tiles": tiles, "tile_labels": tiling.project_labels(tables["labels"], tiles, size, overlap, cfg.get("min_visible_frac", 0.1))}
+
+
 def predict(tables: Tables, detector: Callable, config: Config) -> DataFrame:
     """Detections of all tiles by a user's ``detector``, then global suppression.
 

@@ -209,7 +209,7 @@ def best_truth_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COVERED = f"""WITH {BOXES}, {COASTLINES}, met AS (SELECT b.image, b.ordinal, mring AS sring, ring AS wring FROM boxes b JOIN masks m ON b.image = m.image),
   {sql_clipped('met')},
   inside AS (SELECT image, ordinal, sum({sql_area('p')}) AS area_in FROM clip4 GROUP BY ALL),
-  share AS (SELECT b.*, least(1e0, area_in / {sql_area('b.ring')}) AS fraction FROM boxes b LEFT JOIN inside USING (image, ordinal))"""
+  share AS (SELECT b.*, CASE WHEN area_in IS NOT NULL THEN least(1e0, area_in / {sql_area('b.ring')}) END AS fraction FROM boxes b LEFT JOIN inside USING (image, ordinal))"""
 
 
 @query(f"{_COVERED} SELECT image, ordinal, {sql_micro('coalesce(fraction, 0e0)')} AS fraction, fraction IS NOT NULL AS has_mask FROM share")

@@ -369,3 +369,49 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["ordinal"] for r in got.collect()) == nms_of(rows, 0.2)
+
+
+def test_preprocessing_stages(spark):
+    from tessera.plans.pipeline import preprocessing
+
+    cfg = Config.from_yaml(
+        "stages:\n  - name: spatial\n  - name: annotations\n  - name: split\n  - name: tiling\nspatial:\n  upscale_ratio: 2\n  interpolation: bilinear\n"
+        "annotations:\n  class_map: {0: 0}\nsplit:\n  priority_class_ids: [0]\ntiling:\n  tile_size: 64\n  overlap: 0\n  splits: [train]\n"
+    )
+    affine = "affine struct<a:double,b:double,c:double,d:double,e:double,f:double>"
+    images = spark.createDataFrame([("a", 50, 40, "EPSG:4326", (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))], f"image string, width int, height int, crs string, {affine}")
+    rows = [("a", 0, 0, pts((10, 10), (20, 10), (20, 16), (10, 16)))]
+    tables = {
+        "images": images,
+        "annotations": spark.createDataFrame(rows, f"image string, ordinal int, class_id int, ring {RING}"),
+        "blocks": spark.createDataFrame([("a", 0, 0, 0, 40, 50, [3] * 2000)], rasters.BLOCKS),
+    }
+    out = preprocessing.run(tables, cfg)
+    assert out["blocks"].first()["w"] == 100 and {round(v) for v in out["blocks"].first()["pixels"]} == {3}
+    assert out["tiles"].count() == 4 and {r["split"] for r in out["tiles"].collect()} == {"train"}
+    got = out["tile_labels"].collect()
+    assert [r["tile"] for r in got] == ["a_0_0"]
+    assert sorted((round(p["x"] * 64, 6), round(p["y"] * 64, 6)) for p in got[0]["corners"]) == [(20, 20), (20, 32), (40, 20), (40, 32)]
+
+
+def test_reports(spark, tmp_path):
+    from tessera.operators import reports
+
+    runs = grid.runs(spark)
+    failed = spark.createDataFrame([("preproc", "up1_cl6", True)], "stage string, key string, oom boolean")
+    lines = [r[0] for r in reports.run_summary(grid.outcomes(runs, failed)).collect()]
+    assert len(lines) == 36 and lines[0] == "oom     up1_t640_cl6_std at preproc"
+    assert reports.dataset_description("/d", {0: "a", 1: "b"}, "k")["names"] == ["a", "b"]
+    with pytest.raises(ValueError):
+        reports.dataset_description("/d", {1: "a"}, "k")
+    (tmp_path / "s.csv").write_text("Model, Image, Class,TP\n30, west , Small , 5\n")
+    r = reports.read_summary(spark, str(tmp_path / "s.csv")).first()
+    assert (r["Model"], r["Image"], r["Class"], r["TP"]) == (30.0, "west", "Small", 5.0)
+    reports.write_csv(metrics.table(spark.createDataFrame([(0, 1, 2, 3)], "class_id int, TP long, FP long, FN long")), str(tmp_path / "o"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "o")).columns[-1] == "Bias (%)"
+    a = spark.createDataFrame([("EPSG:32739",), ("EPSG:4326",)], "crs string")
+    assert [r["crs"] for r in reports.shared_systems(a, a.where("crs like '%39'")).collect()] == ["EPSG:32739"]
+    world = F.struct(*[F.lit(v).alias(k) for k, v in zip("abcdef", (0.01, 0.0, 40.0, 0.0, -0.01, -10.0))])
+    df = spark.createDataFrame([(pts((0, 0), (1, 0), (1, 1), (0, 1)),)], f"r {RING}")
+    got = df.select(reports.tile_to_wgs84(F.col("r"), F.lit(100.0), F.lit(200.0), 100, world, "EPSG:4326").alias("t"), reports.image_to_wgs84(F.col("r"), F.lit(100.0), F.lit(50.0), world, "WGS84").alias("i")).first()
+    assert (got["t"][2]["x"], got["t"][2]["y"]) == pytest.approx((42.0, -13.0)) and (got["i"][2]["x"], got["i"][2]["y"]) == pytest.approx((41.0, -10.5))
