@@ -1,11 +1,14 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Every node of a tree splits by the projection on a random direction at the
-median of a sample; vectors near the split go down both sides.  Vectors that
-meet in a leaf of any tree are compared by cosine in double precision, so no
-link is false; a true link is missed only where every tree parts it.  With the
-defaults that is about one in 10,000 of pairs right at a cosine of 0.93 in 64
-dimensions, and far fewer above it.
+median of a sample; vectors near the split go down both sides.  How near is set
+by how far the ends of a link can lie apart, so that a split parts few links
+whatever the data's spread; a node that would send most of its vectors down
+both sides splits no further.  Vectors that meet in a leaf of any tree are
+compared by cosine in double precision, so no link is false; a true link is
+missed only where every tree parts it.  With the defaults a split parts about
+1 in 40 of the links right at the threshold, and fewer above it; ten trees of
+six levels then miss fewer than one in a million.
 
 Trees are fitted on at most ``sample_rows`` vectors; every vector is routed
 through them.  Equal vectors with equal labels are one vertex with a weight.  A
@@ -39,20 +42,25 @@ from tessera.llm.components import components
 
 
 class Tree:
-    """A complete binary tree; node k has children 2k+1 and 2k+2."""
+    """A complete binary tree; node k has children 2k+1 and 2k+2.
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator):
+    A node that doesn't split sends everything to its left child.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, margin: float, rng: np.random.Generator):
         nodes, d = (1 << depth) - 1, sample.shape[1]
-        self.depth = depth
-        self.direction = rng.normal(size=(nodes, d)) / math.sqrt(d)
-        self.at, self.margin = np.zeros(nodes), np.zeros(nodes)
+        self.depth, self.margin = depth, margin
+        self.direction = rng.normal(size=(nodes, d))
+        self.direction /= np.linalg.norm(self.direction, axis=1, keepdims=True)
+        self.at, self.splits = np.zeros(nodes), np.ones(nodes, bool)
         here = {0: np.arange(len(sample))}
         for k in range(nodes):
             rows = here.pop(k)
             p = sample[rows] @ self.direction[k]
-            if len(p):
-                self.at[k], self.margin[k] = np.median(p), spill * p.std()
-            here[2 * k + 1], here[2 * k + 2] = rows[p <= self.at[k]], rows[p > self.at[k]]
+            self.at[k] = np.median(p) if len(p) else 0.0
+            self.splits[k] = len(p) > 1 and (np.abs(p - self.at[k]) <= margin).mean() <= 0.5
+            left = p <= self.at[k] if self.splits[k] else np.ones(len(p), bool)
+            here[2 * k + 1], here[2 * k + 2] = rows[left], rows[~left]
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaf numbers; a row may reach several leaves."""
@@ -67,9 +75,12 @@ class Tree:
                 rows.append(r)
                 leaves.append(np.full(len(r), k - inner))
                 continue
+            if not self.splits[k]:
+                stack.append((2 * k + 1, r))
+                continue
             p = x[r] @ self.direction[k] - self.at[k]
-            stack.append((2 * k + 1, r[p <= self.margin[k]]))
-            stack.append((2 * k + 2, r[p >= -self.margin[k]]))
+            stack.append((2 * k + 1, r[p <= self.margin]))
+            stack.append((2 * k + 2, r[p >= -self.margin]))
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(leaves)
@@ -154,13 +165,17 @@ def near_duplicates(
     label_col: str = "label",
     cosine: float = 0.93,
     trees: int = 10,
-    spill: float = 0.15,
+    spill: float = 0.5,
     leaf_rows: int = 1024,
     block_rows: int = 2048,
     sample_rows: int = 16384,
     seed: int = 11,
 ) -> DataFrame:
-    """``(id, n_links, component_id, kept)`` for every row of ``vectors``."""
+    """``(id, n_links, component_id, kept)`` for every row of ``vectors``.
+
+    Vectors go down both sides within ``spill`` times the typical distance of
+    a link's ends along a direction.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(
         F.col(id_col).cast("long").cast("string").alias("id"),
@@ -190,7 +205,8 @@ def near_duplicates(
         depth = min(12, max(0, math.ceil(math.log2(n / leaf_rows)))) if n > leaf_rows else 0
         sample = np.array([r["x"] for r in own.orderBy(F.xxhash64("key", F.lit(seed))).limit(sample_rows).select("x").collect()])
         rng = np.random.default_rng(seed)
-        forest = [Tree(sample, depth, spill, rng) for _ in range(trees if depth else 1)]
+        margin = spill * math.sqrt(2 - 2 * cosine) / math.sqrt(d)
+        forest = [Tree(sample, depth, margin, rng) for _ in range(trees if depth else 1)]
         parts.append(own.mapInPandas(_router(forest, 1 << depth), "rep long, label string, weight long, x array<double>, d int, leaves array<int>"))
     if not parts:
         found = spark.createDataFrame([], "rep long, links long, least long")

@@ -72,7 +72,7 @@ def test_damage_is_found():
         tokenfile.unpack_file(bytes(data[:-7]))
     # a block's own checksum holds where the file's has been forged
     bad = bytearray(data)
-    bad[-12] ^= 1
+    bad[-60] ^= 1
     bad[-4:] = struct.pack("<I", zlib.crc32(bad[:-4]))
     with pytest.raises(tokenfile.FileError):
         tokenfile.unpack_file(bytes(bad))
