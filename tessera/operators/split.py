@@ -55,7 +55,7 @@ def scores(profile: DataFrame, wanted: DataFrame, cfg: SplitConfig) -> DataFrame
     """Score of each image for each empty split: ``image, split, score``."""
     weight = F.when(F.col("class_id").isin(*cfg.priority), cfg.priority_weight).otherwise(1.0) if cfg.priority else F.lit(1.0)
     long = wanted.select("class_id", F.explode(F.create_map(*[c for s in SPLITS for c in (F.lit(s), F.col(s))])).alias("split", "target"))
-    return profile.join(F.broadcast(long), "class_id").groupBy("image", "split").agg(
+    return profile.join(long, "class_id").groupBy("image", "split").agg(
         F.sum(deficit(F.col("target"), F.lit(0.0), F.col("n").cast("double"), weight)).alias("score")
     )
 
