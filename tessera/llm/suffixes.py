@@ -1,21 +1,20 @@
-"""Passages repeated across documents, by sparse suffix arrays.
-
-Of all word suffixes of the texts only those at minimiser positions are kept:
-the positions whose hashed ``gram`` of words is least in some window.  Any two
-copies of a passage of ``min_words`` words pick the same positions in it.
-Suffixes whose gram occurs in several documents are sorted by the words that
-follow, and within a gram also by the words before; each is compared with its
-nearest neighbours from other documents in both orders, and a match is extended
-to the right and to the left, word by word.  Matches of at
-least ``min_words`` are united within each document.
-
-The suffix order needs equal words together, not any alphabet, so words are
-compared by 32-bit hashes in the contexts and by 64-bit hashes in the grams.
-A suffix carries ``min_words - gram + 10`` words to the right and
-``min_words - gram + 2`` to the left; longer passages are covered by the
-matches of several suffixes, which follow each other within that reach.  A gram
-with more than ``group_rows`` suffixes is sorted in several parts, dealt by the
-document id: each part still holds many copies of what is that frequent.
+"""Passages repeated across documents, by hashed windows at minimisers.
+
+Of all word positions of the texts only minimisers are kept: those whose hashed
+``gram`` of words is least in some window of ``min_words`` words.  Equal windows
+have equal minimisers, so a window can only repeat in another document if its
+least gram does.  For each anchor with a gram of several documents the windows
+of ``min_words`` words that contain it, and of which it is the least gram, are
+hashed (64 bits over 64-bit word hashes); there are at most
+``min_words - gram + 1``.  Equal hashes in different documents of a gram are
+repeated windows, and these are united within each document.  No other
+comparison is needed: a word is covered exactly if some window of ``min_words``
+words around it is in another document.
+
+A gram with more than ``group_rows`` anchors is not one group: its windows are
+dealt one by one, by their own hash and a part of the document ids.  What has
+no second document in its part is compared again across all parts, where a
+window has at most one document of each part.
 
 Defined results: words are runs of bytes other than space and 9 to 13, compared
 as they are; null, empty and short texts have no suffix; passages repeated only
@@ -37,6 +36,7 @@ from tessera.llm.common import cut
 from tessera.llm.textnum import U64, hash_spans, mix, powers, slices, text_bytes, words
 
 ROW_SEED = 0xC2B2AE3D27D4EB4F
+ROW_INVERSE = pow(ROW_SEED, -1, 1 << 64)
 
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -50,27 +50,32 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return out
 
 
-def minimisers(code: np.ndarray, row: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Selected word positions and their gram hashes; ``span`` grams make a window."""
+def _least(code: np.ndarray, row: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gram hashes, and the least of each window of ``span`` grams; 0 where a window leaves its text."""
     n = len(code)
-    if n < gram + span - 1:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
     h = np.zeros(n - gram + 1, U64)
     step = powers(ROW_SEED, gram)
     for j in range(gram):
         h += code[j : n - gram + 1 + j] * step[j]
     h = mix(h) | U64(1)
     inside = row[: n - gram - span + 2] == row[gram + span - 2 :]  # windows within one text
-    low = np.where(inside, _sliding(h, span, True), U64(0))
+    return h, np.where(inside, _sliding(h, span, True), U64(0))
+
+
+def minimisers(code: np.ndarray, row: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Selected word positions and their gram hashes; ``span`` grams make a window."""
+    if len(code) < gram + span - 1:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    h, low = _least(code, row, gram, span)
     # a position is selected if it equals the least of a window that it lies in
     padded = np.concatenate([np.zeros(span - 1, U64), low, np.zeros(span - 1, U64)])
     chosen = _sliding(padded, span, False) == h
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & chosen[:-1] & (row[1 : len(h)] == row[: len(h) - 1])
-    # of a run of equal grams, the first and one in every span
+    again = np.zeros(len(h) + 1, bool)
+    again[1:-1] = (h[1:] == h[:-1]) & chosen[:-1] & chosen[1:] & (row[1 : len(h)] == row[: len(h) - 1])
+    # of a run of equal grams, the first, the last and one in every span: every window has one of its own
     place = np.arange(len(h))
-    first = np.maximum.accumulate(np.where(chosen & ~again, place, 0))
-    at = np.flatnonzero(chosen & ((place - first) % span == 0))
+    first = np.maximum.accumulate(np.where(chosen & ~again[:-1], place, 0))
+    at = np.flatnonzero(chosen & (((place - first) % span == 0) | ~again[1:]))
     return at, h[at]
 
 
@@ -97,75 +102,89 @@ def _anchors(gram: int, span: int):
     return run
 
 
-def _contexts(gram: int, left: int, right: int):
-    """Suffixes of the listed positions, with the hashed words on both sides; 0 is beyond the text."""
+def _windows(gram: int, span: int):
+    """The hashed windows around the listed anchors: a row for each anchor, or for each window of a frequent gram."""
+    words_in = gram + span - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
                 raw, at = text_bytes(b.column("text"))
                 start, end, row = words(raw, at)
-                short = (hash_spans(raw, start, end) >> U64(32)).astype(np.uint32) | np.uint32(1)
+                code, n = hash_spans(raw, start, end), len(start)
+                if n < words_in:
+                    continue
+                _, low = _least(code, row, gram, span)
+                total = np.zeros(n + 1, U64)
+                np.cumsum(code * powers(ROW_SEED, n), out=total[1:])
+                whole = mix((total[words_in:] - total[:-words_in]) * powers(ROW_INVERSE, n)[: n - words_in + 1]) | U64(1)
                 marks = b.column("marks")
                 of = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(marks.offsets)))
                 m = marks.flatten()
-                pos = np.asarray(m.field("pos"), np.int64)
-                first = np.searchsorted(row, np.arange(b.num_rows + 1))
-                lo, hi = first[of][:, None], first[of + 1][:, None]
-
-                def around(p: np.ndarray, lo=lo, hi=hi, short=short) -> pa.Array:
-                    ok = (p >= lo) & (p < hi)
-                    x = np.where(ok, short[np.where(ok, p, 0)] if len(short) else 0, np.uint32(0)).astype(">u4")
-                    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
-
-                here = (lo[:, 0] + pos)[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [m.field("g"), m.field("salt"), around(here + gram + np.arange(right)), around(here - 1 - np.arange(left)),
-                     b.column("id").take(pa.array(of)), m.field("pos"), m.field("first_id")],
-                    ["g", "salt", "after", "before", "id", "pos", "first_id"],
-                )
+                g, pos, parts = np.asarray(m.field("g")), np.asarray(m.field("pos"), np.int64), np.asarray(m.field("parts"))
+                ids, first_id = np.asarray(b.column("id"))[of], np.asarray(m.field("first_id"))
+                first = np.searchsorted(row, np.arange(b.num_rows))[of]
+                s = (first + pos)[:, None] - np.arange(span)[::-1]
+                ok = (s >= first[:, None]) & (s < len(low))
+                s = np.where(ok, s, 0)
+                ok &= low[s] == g.view(U64)[:, None]
+                found = np.where(ok, whole[s], U64(0))
+                few = parts == 1
+                one, j = np.nonzero(ok & ~few[:, None])
+                salt = (mix(ids[one].astype(np.int64).view(U64)) % parts[one].astype(U64)).astype(np.int32) + 1
+                hashes = found[one, j]
+                for key, deal, hashed, i, p in (
+                    (g[few], np.zeros(few.sum(), np.int32), found[few], few, pos[few] - span + 1),
+                    (hashes.view(np.int64), salt, hashes[:, None], one, s[one, j] - first[one]),
+                ):
+                    size = 8 * hashed.shape[1]
+                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(hashed), [None, pa.py_buffer(np.ascontiguousarray(hashed).tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key), pa.array(deal), data.cast(pa.binary()), pa.array(ids[i]), pa.array(p.astype(np.int32)), pa.array(first_id[i])],
+                        ["g", "salt", "windows", "id", "pos", "first_id"],
+                    )
 
     return run
 
 
-def _common(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Words that rows i and j of a context matrix have in common from the start."""
-    same = (x[i] == x[j]) & (x[i] != 0)
-    return np.where(same.all(1), x.shape[1], same.argmin(1))
+def _repeated(span: int, min_words: int):
+    """Windows that other documents of their group have too, one row for each anchor.
 
-
-def _neighbours(gram: int, left: int, right: int, min_words: int):
-    """Compare sorted suffixes with the nearest ones of other documents, group by group."""
+    A window of a frequent gram without another document in its part comes out
+    with its hash, to be compared across parts.
+    """
 
     def matches(t: pa.Table) -> pa.RecordBatch:
-        n = t.num_rows
-        g, salt, ids, pos = (np.asarray(t[c]) for c in ("g", "salt", "id", "pos"))
-        after = np.frombuffer(b"".join(t["after"].to_pylist()), ">u4").reshape(n, right)
-        before = np.frombuffer(b"".join(t["before"].to_pylist()), ">u4").reshape(n, left)
-        # the nearest by what follows, then the nearest by what comes before
+        g, salt, ids, pos, first_id = (np.asarray(t[c]) for c in ("g", "salt", "id", "pos", "first_id"))
         group = np.cumsum(np.append(False, (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])))
-        back = np.lexsort((pos, ids, before.reshape(-1).view(f"S{4 * left}"), group))
-        rows, starts_at, ends_at, others = [], [], [], []
-        for order in (np.arange(n), back):
-            of, doc = group[order], ids[order]
-            new_run = np.append(True, (of[1:] != of[:-1]) | (doc[1:] != doc[:-1]))
-            run = np.cumsum(new_run) - 1
-            starts = np.append(np.flatnonzero(new_run), n)
-            for j, ok in ((starts[run] - 1, starts[run] > 0), (starts[run + 1], starts[run + 1] < n)):
-                a, b = order[ok], order[j[ok]]
-                same = group[a] == group[b]
-                a, b = a[same], b[same]
-                r, w = _common(after, a, b), _common(before, a, b)
-                long = r + w + gram >= min_words
-                rows.append(a[long])
-                starts_at.append((pos[a] - w)[long])
-                ends_at.append((pos[a] + gram + r)[long])
-                others.append(ids[b[long]])
-        rows = np.concatenate(rows)
+        width = np.where(salt == 0, span, 1)
+        key = np.frombuffer(b"".join(t["windows"].to_pylist()), U64)
+        of = np.repeat(np.arange(len(g)), width)
+        start = pos[of].astype(np.int64) + np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+        some = key != 0
+        key, of, start = key[some], of[some], start[some]
+        order = np.lexsort((ids[of], key, group[of]))
+        key, of, start = key[order], of[order], start[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (group[of[1:]] != group[of[:-1]]))[: len(key)]
+        run = np.cumsum(new) - 1
+        begins = np.append(np.flatnonzero(new), len(key))
+        least, most = (ids[of[begins[:-1]]][run], ids[of[begins[1:] - 1]][run]) if len(key) else (ids[of], ids[of])
+        both = least != most
+        other = np.where(ids[of] == least, most, least)
+        # windows of one anchor overlap, so together they are one span
+        by = np.argsort(of[both], kind="stable")
+        rows, s, o = of[both][by], start[both][by], other[both][by]
+        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])[: len(rows)])
+        lo, hi, o = (f.reduceat(x, at) if len(at) else x for f, x in ((np.minimum, s), (np.maximum, s), (np.minimum, o)))
+        alone = ~both & (salt[of] > 0)
+        rows = np.concatenate([rows[at], of[alone]])
+        is_open = np.arange(len(rows)) >= len(at)
+        fill = np.zeros(int(alone.sum()), np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[rows]), pa.array(np.concatenate(starts_at).astype(np.int64)), pa.array(np.concatenate(ends_at).astype(np.int64)),
-             pa.array(np.concatenate(others)), pa.array(np.asarray(t["first_id"])[rows])],
-            ["id", "start_word", "end_word", "other_id", "first_id"],
+            [pa.array(ids[rows]), pa.array(np.concatenate([lo, start[alone]])), pa.array(np.concatenate([hi, start[alone]]) + min_words),
+             pa.array(np.concatenate([o, fill]), mask=is_open), pa.array(first_id[rows]),
+             pa.array(np.concatenate([np.zeros(len(at), np.int64), key[alone].view(np.int64)]), mask=~is_open)],
+            ["id", "start_word", "end_word", "other_id", "first_id", "open"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,26 +214,31 @@ def repeated_passages(
     ``other_id`` is a document that shares some of the span, ``first_id`` the
     least id that shares a gram of it; a span is ``kept`` in that document.
     """
-    left, right = min_words - gram + 2, min_words - gram + 10
+    span = min_words - gram + 1
     texts = _texts(docs, id_col, text_col)
-    anchors = cut(texts.mapInArrow(_anchors(gram, min_words - gram + 1), "g long, id long, pos int"), "anchors")
+    anchors = cut(texts.mapInArrow(_anchors(gram, span), "g long, id long, pos int"), "anchors")
     repeated = cut(
         anchors.groupBy("g").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
         .where("first_id < last_id").drop("last_id"),
         "repeated",
     )
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / group_rows)).cast("int")
     marks = (
-        anchors.join(repeated, "g").withColumn("salt", salt)
-        .groupBy("id").agg(F.collect_list(F.struct("g", "salt", "pos", "first_id")).alias("marks"))
+        anchors.join(repeated, "g").withColumn("parts", F.ceil(F.col("n") / group_rows).cast("int"))
+        .groupBy("id").agg(F.collect_list(F.struct("g", "pos", "parts", "first_id")).alias("marks"))
     )
-    context = "g long, salt int, after binary, before binary, id long, pos int, first_id long"
-    suffixes = texts.join(cut(marks, "marks"), "id").mapInArrow(_contexts(gram, left, right), context)
+    windows = texts.join(cut(marks, "marks"), "id").mapInArrow(
+        _windows(gram, span), "g long, salt int, windows binary, id long, pos int, first_id long"
+    )
     found = (
-        suffixes.repartition("g", "salt").sortWithinPartitions("g", "salt", "after", "id", "pos")
-        .mapInArrow(_neighbours(gram, left, right, min_words), "id long, start_word long, end_word long, other_id long, first_id long")
+        windows.repartition("g", "salt").sortWithinPartitions("g", "salt")
+        .mapInArrow(_repeated(span, min_words), "id long, start_word long, end_word long, other_id long, first_id long, open long")
     )
     found = cut(found, "matches")
+    alone = found.where("open IS NOT NULL").drop("other_id")
+    across = alone.groupBy("open").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    other = F.when(F.col("id") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    names = ["id", "start_word", "end_word", "other_id", "first_id"]
+    found = found.where("open IS NULL").select(names).unionByName(alone.join(across, "open").withColumn("other_id", other).select(names))
     by_doc = Window.partitionBy("id").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     island = found.withColumn("new", F.coalesce((F.col("start_word") > reach).cast("int"), F.lit(0)))

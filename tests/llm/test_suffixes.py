@@ -79,6 +79,18 @@ def test_hot_passage_in_parts(spark):
     assert got == {(i, k) for i in range(300) for k in range(2, 72)}
 
 
+def test_rare_passages_around_a_hot_gram(spark):
+    """Pairs share 50 words each, whose only anchor may be a gram that all 240 documents have."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    hot = rng.choices(vocab, k=34)
+    rows = []
+    for k in range(120):
+        p = " ".join(rng.choices(vocab, k=8) + hot + rng.choices(vocab, k=8))
+        rows += [(2 * k, f"x{k} {p} y{k}"), (2 * k + 1, f"z{k} {p}")]
+    assert covered(spark, rows, group_rows=20) == {(d, p) for d in range(240) for p in range(1, 51)}
+
+
 def test_empty(spark):
     assert covered(spark, []) == set()
 
