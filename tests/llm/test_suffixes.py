@@ -91,6 +91,20 @@ def test_rare_passages_around_a_hot_gram(spark):
     assert covered(spark, rows, group_rows=20) == {(d, p) for d in range(240) for p in range(1, 51)}
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_nothing_is_missed(spark, seed):
+    """Runs of one word up to their edges, and passages whose two sides other documents match longer."""
+    rng = random.Random(seed)
+    rows = corpus(seed) + [(120, "q " + "for " * 77 + "r " * 60), (121, "s t " + "for " * 77 + "r " * 55), (122, "for " * 50), (123, "u " + "for " * 51 + "v")]
+    vocab = [f"v{i}" for i in range(4000)]
+    for k in range(40):
+        left, mid, right = rng.choices(vocab, k=15), rng.choices(vocab, k=20), rng.choices(vocab, k=15)
+        texts = [left + mid + right, left + mid + right, left + mid + right[:5], left[5:] + mid + right]
+        texts += [rng.choices(vocab, k=40) + left[-d:] + mid + right + rng.choices(vocab, k=d) for d in (1, 2, 3)]
+        rows += [(1000 + 10 * k + i, " ".join([*rng.choices(vocab, k=3), *t, *rng.choices(vocab, k=3)])) for i, t in enumerate(texts)]
+    assert covered(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert covered(spark, []) == set()
 
