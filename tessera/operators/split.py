@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,48 +65,61 @@ def assign(images: DataFrame, profile: DataFrame, cfg: SplitConfig = SplitConfig
     """``image, split``: greedy assignment in order of priority content, then name.
 
     Each image goes to the split with room that its classes lack most.  Every
-    choice depends on all before it, so this is one group with one row for each
-    image: names and class counts, no image data.  Ties are drawn by CPython's
-    ``random.Random(seed)``, once for every image, or go to the first split.
+    choice depends on all before it, so one task makes them, in an order that
+    Spark sorts (on disk where needed); it reads names and class counts batch
+    by batch and holds only a count for each class and split.  Ties are drawn
+    by CPython's ``random.Random(seed)``, once for every image, or go to the
+    first split.
     """
-    each = images.select("image").distinct().join(
-        profile.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("p")), "image", "left"
-    )
-    rows = each.select("image", F.to_json("p").alias("p"), F.lit(0).alias("all"))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        import json
+    names = images.select("image").distinct()
+    first = F.sum(F.when(F.col("class_id").isin(*cfg.priority), F.col("n")).otherwise(0)) if cfg.priority else F.lit(0)
+    counts = profile.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("class_id", "n"))).alias("p"), first.alias("first"))
+    each = names.join(counts, "image", "left").select("image", "p", F.coalesce("first", F.lit(0)).alias("first"))
+    n = names.count()
+    total = {r["class_id"]: r["n"] for r in profile.join(names, "image", "left_semi").groupBy("class_id").agg(F.sum("n").alias("n")).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choose = _chooser(n, total, cfg, ties)
+        for b in batches:
+            image = b.column("image")
+            out = [choose({q["class_id"]: q["n"] for q in p or []}) for p in b.column("p").to_pylist()]
+            yield pa.RecordBatch.from_arrays([image.cast(pa.string()), pa.array(out, pa.string())], ["image", "split"])
+
+    return each.repartition(1).sortWithinPartitions(F.desc("first"), "image").select("image", "p").mapInArrow(run, "image string, split string")
+
+
+def _chooser(n: int, total: dict[int, int], cfg: SplitConfig, ties: str) -> Callable[[dict[int, int]], str]:
+    """The greedy rule over ``n`` images with these class totals, called once for each image in order."""
+    exact = [n * r for r in cfg.ratios]
+    room = [int(e) for e in exact]
+    for i in sorted(range(3), key=lambda i: int(exact[i]) - exact[i])[: n - sum(room)]:
+        room[i] += 1
+    have = [dict.fromkeys(total, 0) for _ in SPLITS]
+    rng = random.Random(cfg.seed)
+    weight = lambda c: cfg.priority_weight if c in cfg.priority else 1.0
 
-        found = {r.image: {int(k): v for k, v in json.loads(r.p).items()} if isinstance(r.p, str) else {} for r in df.itertuples()}
-        return pd.DataFrame(list(greedy(found, cfg, ties).items()), columns=["image", "split"])
+    def choose(found: dict[int, int]) -> str:
+        open_ = [i for i in range(3) if room[i] > 0]
+        value = {i: sum(weight(c) * min(total[c] * cfg.ratios[i] - have[i][c], k) for c, k in found.items()) for i in open_}
+        best = [i for i in open_ if value[i] == max(value.values())]
+        k = rng.choice(best) if ties == "random" else best[0]
+        room[k] -= 1
+        for c, m in found.items():
+            have[k][c] += m
+        return SPLITS[k]
 
-    return rows.groupBy("all").applyInPandas(run, "image string, split string")
+    return choose
 
 
 def greedy(found: dict[str, dict[int, int]], cfg: SplitConfig, ties: str) -> dict[str, str]:
     names = sorted(found)
     names.sort(key=lambda s: -sum(found[s].get(c, 0) for c in cfg.priority))
-    exact = [len(names) * r for r in cfg.ratios]
-    room = [int(e) for e in exact]
-    for i in sorted(range(3), key=lambda i: int(exact[i]) - exact[i])[: len(names) - sum(room)]:
-        room[i] += 1
     total: dict[int, int] = {}
     for p in found.values():
         for c, n in p.items():
             total[c] = total.get(c, 0) + n
-    have = [dict.fromkeys(total, 0) for _ in SPLITS]
-    rng, out = random.Random(cfg.seed), {}
-    weight = lambda c: cfg.priority_weight if c in cfg.priority else 1.0
-    for name in names:
-        open_ = [i for i in range(3) if room[i] > 0]
-        value = {i: sum(weight(c) * min(total[c] * cfg.ratios[i] - have[i][c], n) for c, n in found[name].items()) for i in open_}
-        best = [i for i in open_ if value[i] == max(value.values())]
-        k = rng.choice(best) if ties == "random" else best[0]
-        out[name] = SPLITS[k]
-        room[k] -= 1
-        for c, n in found[name].items():
-            have[k][c] += n
-    return out
+    choose = _chooser(len(names), total, cfg, ties)
+    return {name: choose(found[name]) for name in names}
 
 
 def distribution(profile: DataFrame, assigned: DataFrame) -> DataFrame:

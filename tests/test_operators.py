@@ -218,6 +218,24 @@ def test_split(spark):
         split.SplitConfig(ratios=(0.5, 0.2, 0.2))
 
 
+@pytest.mark.parametrize("ties", ["random", "first"])
+def test_split_in_batches(spark, ties):
+    """The global order of the greedy rule, read in batches and never as one group."""
+    rng = random.Random(3)
+    found = {f"i{k:03d}": {c: rng.randint(1, 6) for c in rng.sample(range(5), rng.randint(0, 3))} for k in range(90)}
+    images = spark.createDataFrame([(k,) for k in found], "image string")
+    profile = spark.createDataFrame([(k, c, n) for k, p in found.items() for c, n in p.items()], "image string, class_id int, n long")
+    cfg = split.SplitConfig(priority=(0, 3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = split.assign(images, profile, cfg, ties)
+        got = dict(out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == split.greedy({k: dict(sorted(p.items())) for k, p in found.items()}, cfg, ties)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_seeded_ties():
     """All images without labels tie everywhere, so the draws are those of the seeded generator."""
     got = split.greedy({f"i{k}": {} for k in range(8)}, split.SplitConfig(ratios=(0.34, 0.33, 0.33)), "random")
