@@ -258,6 +258,14 @@ def halo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("image", *[F.col(c).cast("int").alias(c) for c in ("core_x", "core_w", "read_x", "read_w", "out_w")])
 
 
+@query()
+def halo_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both axes of every tile; ``halo_grid`` is the x axis of its first row, as far as its SQL goes."""
+    t = tiling.output_window(tiling.halo_grid(images(spark, sf_dir), 256, 32), 0.3)
+    names = [f"{k}_{c}" for k in ("core", "read", "out") for c in "xywh"]
+    return t.select("image", *[F.col(c).cast("int").alias(c) for c in names])
+
+
 @query(f"""WITH {_GRID} SELECT image::VARCHAR || '_' || x_off || '_' || y_off AS tile, image::VARCHAR AS source_image, x_off, y_off FROM grid""")
 def tile_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = tiling.tile_grid(images(spark, sf_dir), 640, 64).select("tile", "image")
@@ -404,18 +412,28 @@ def radiometric_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(p, "image").select("event_id", raster.stretched(F.col("value"), F.col("lo"), F.col("hi")).alias("pixel"))
 
 
+def _filled_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding_rows(spark, sf_dir)
+    # a row of 64 pixels in square tiles of 18: the row repeated, so every tile is filled below
+    t = tiling.tile_grid(rows.select("image", F.size("pixels").alias("width"), F.lit(18).alias("height")), 18)
+    flat = rows.withColumn("row_off", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    return tiling.tile_pixels(flat, t, 18)
+
+
 @query(f"""WITH {PIXELS}, t AS (SELECT image, unnest(range(4)) AS k, pixels FROM pixels), u AS (SELECT image, k, list_slice(pixels, k * 18 + 1, least(k * 18 + 18, 64)) AS part FROM t)
   SELECT image, image::VARCHAR || '_' || (k * 18) || '_0' AS tile, (CASE WHEN len(part) < 18 THEN greatest(list_max(part), 0) ELSE list_max(part) END)::INT AS hi FROM u
   WHERE list_min(part) <> list_max(part) OR (len(part) < 18 AND list_max(part) <> 0)""")
 def uniform_tile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embedding_rows(spark, sf_dir)
-    # a row of 64 pixels in square tiles of 18: one image row, so every tile is filled below
-    t = tiling.tile_grid(rows.select("image", F.size("pixels").alias("width"), F.lit(18).alias("height")), 18)
-    flat = rows.withColumn("row_off", F.explode(F.sequence(F.lit(0), F.lit(17))))
-    kept = tiling.tile_pixels(flat, t, 18).where("line = 0")
+    kept = _filled_tiles(spark, sf_dir).where("line = 0")
     return kept.select("image", "tile", F.array_max("pixels").alias("hi"))
 
 
+@query()
+def uniform_tile_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the kept tiles; ``uniform_tile_filter`` is their first line, as far as its SQL goes."""
+    return _filled_tiles(spark, sf_dir).select("image", "tile", "band", "line", "pixels")
+
+
 @query(f"""WITH {PIXELS}, n AS (SELECT image, pixels, unnest(range(96)) AS i FROM pixels)
   SELECT image, (i + 1)::INT AS i, pixels[least(floor((i + 5e-1) * 64 / 96e0), 63)::INT + 1] AS pixel FROM n""")
 def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,6 +441,13 @@ def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("image", F.posexplode("pixels").alias("i", "pixel")).withColumn("i", F.col("i") + 1)
 
 
+@query()
+def resample_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All new rows; ``resample_nearest`` is the first of each image, as far as its SQL goes."""
+    r = raster.resample_nearest(embedding_rows(spark, sf_dir), 1.5)
+    return r.select("image", "band", "row_off", F.posexplode("pixels").alias("i", "pixel")).withColumn("i", F.col("i") + 1)
+
+
 @query(f"""WITH {IMAGES} SELECT image, greatest(1, round_even(width * 37e-2, 0)::INT)::INT AS new_width, greatest(1, round_even(height * 37e-2, 0)::INT)::INT AS new_height,
   {sql_micro('greatest(1, round_even(width * 37e-2, 0)::INT) / width')} AS sx FROM images""")
 def scaled_size(spark: SparkSession, sf_dir: str) -> DataFrame:

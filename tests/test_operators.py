@@ -275,6 +275,37 @@ def test_resampling(spark):
         raster.resample_tiles(rows, 2.0, "other")
 
 
+def test_whole_grids_tiles_and_rows(spark, sf):
+    """The queries without a filter against loops over both axes, all lines and all rows."""
+    from tessera.plans import derived, queries
+
+    def axis(n):
+        for at in range(0, n, 224):
+            core, before = min(224, n - at), min(at, 16)
+            wide = core + before + min(n - at - core, 32 - before)
+            yield at, core, at - before, wide, round(at * 0.3), max(1, round((at + core) * 0.3) - round(at * 0.3))
+
+    want = [
+        (r["image"], x, y, w, h, rx, ry, rw, rh, ox, oy, ow, oh)
+        for r in derived.images(spark, sf).collect()
+        for x, w, rx, rw, ox, ow in axis(r["width"])
+        for y, h, ry, rh, oy, oh in axis(r["height"])
+    ]
+    assert sorted(map(tuple, queries.halo_grid_all(spark, sf).collect())) == sorted(want)
+    rows = {r["image"]: r["pixels"] for r in derived.embedding_rows(spark, sf).collect()}
+    tiles, resampled = [], []
+    for image, pixels in rows.items():
+        for x in range(0, len(pixels), 18):
+            part = pixels[x : x + 18]
+            line = part + [0] * (18 - len(part))
+            if len(set(line)) > 1:
+                tiles += [(image, f"{image}_{x}_0", 0, k, line) for k in range(18)]
+        new = int(np.rint(len(pixels) * 1.5))
+        resampled += [(image, 0, k, i + 1, pixels[min(int((i + 0.5) * len(pixels) / new), len(pixels) - 1)]) for k in range(2) for i in range(new)]
+    assert sorted(map(tuple, queries.uniform_tile_filter_all(spark, sf).collect())) == sorted(tiles)
+    assert sorted(map(tuple, queries.resample_nearest_all(spark, sf).collect())) == sorted(resampled)
+
+
 def test_kernels_and_blur():
     for kind in ("gaussian", "generalised", "plateau", "sinc"):
         k = raster.blur_kernel(kind, 9, 1.5, 1.0, 0.3)
