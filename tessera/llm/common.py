@@ -3,20 +3,52 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that Spark sends to a Python worker at a time.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what the JVM and a Python worker hold of a table at a time; a session's smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory back to the system when a task ends: Python workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every node can reach.
 
-    Only where that setting is absent (a local session) is a folder of this
-    machine used.  The folder goes when the driver's Python ends.
+    Only a local session may lack that setting; a folder of this machine is
+    used then.  The folder goes when the driver's Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}/{name}"
@@ -43,5 +75,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class IdFilter:
+    """A bitmap of the low bits of longs: never misses one that it was made of, and may take others for one.
+
+    Its size is bounded by ``MOST_BITS`` (8 MB), so it may go to every task.
+    """
+
+    mask: int
+    bits: np.ndarray
+
+    LEAST_BITS, MOST_BITS = 12, 26
+
+    @classmethod
+    def of(cls, rows: DataFrame, column: str) -> IdFilter:
+        """The filter of a column's values, put together in Spark."""
+        n = rows.count()
+        power = min(cls.MOST_BITS, max(cls.LEAST_BITS, (8 * n).bit_length()))
+        mask = (1 << power) - 1
+        slot = F.col(column).bitwiseAND(F.lit(mask))
+        words = rows.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int({column} & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        t = words.toArrow()
+        bits = np.zeros((mask >> 6) + 1, np.int64)
+        bits[t.column("w").to_numpy()] = t.column("b").to_numpy()
+        return cls(mask, bits)
+
+    def may_hold(self, values: np.ndarray) -> np.ndarray:
+        slot = values & self.mask
+        return (self.bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

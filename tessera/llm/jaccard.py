@@ -2,28 +2,39 @@
 
 A set's sketch is a row of cells; every shingle is XOR-hashed into one cell, so
 sets that differ in d shingles differ in at most d cells: the Hamming distance
-over cells bounds the symmetric difference from below.  Within a size band a
-linked pair differs in fewer shingles than there are cells, hence agrees on a
-cell.  Pairs that agree on a cell are filtered by a bit sketch of 256 parities
-with the same bound and verified on the full sets.
-
-Which cells are joined:
-
-* Bands grow by half; sets near a band's lower edge's reach meet in the next
-  band too, so every admissible pair of sizes shares a band.
-* A cell that holds too few shingles says little and is left out.  A set with
-  so few full cells that a partner could agree on the others alone repeats the
-  sketch under further hash seeds, and after ``SEEDS`` of them joins the band's
-  common bucket.  So no pair is lost, whatever its cells hold.
-* Bands of more than ``CELLS`` cells join the first ``CELLS`` ones, which hold
-  a hash-random part of the shingles.  A pair exactly at the threshold agrees
-  on one of them but for a chance of about 1e-8, more similar pairs far more
-  surely; no list of candidates is cut.
-
-Within a bucket each set is compared with the bucket's first.  Only buckets
-whose sets are still in several components after that are compared in full,
-between components, by a join that adaptive execution splits.  Equal sets are
-one vertex throughout.
+over cells bounds the symmetric difference from below.  A linked pair differs
+in at most D shingles, so any D + 1 cells of one hold a cell that both have
+alike.  Every set therefore emits the D + 1 cells that are least in one global
+order as join keys, D being the largest difference that any partner of its
+allows, and linked pairs share a key, whatever their size.
+
+* Bands grow by two; a set whose partners may reach the next band emits there
+  too, so every admissible pair of sizes shares a band.
+* The order puts frequent contents last.  A first pass counts shingles in
+  ``COUNTERS`` counters; a cell counts as its rarest shingle.  Counts only
+  choose the order, so collisions and noise in them can lose no pair.
+* A cell without shingles is no key.  A set with fewer filled cells than D + 1
+  emits them all and repeats the sketch under further hash seeds, and after
+  ``SEEDS`` of them joins the band's common bucket.
+
+Sets that share a key are a bucket.  Each is compared with the bucket's hub,
+the set for which the key stands earliest.  Where a bucket's sets are in
+several components after that:
+
+* up to ``SMALL`` sets are compared in pairs between components;
+* more are dealt again by how they differ from what most of them hold.  Let
+  A and B be the differences of two linked sets from that common content.
+  Either A and B have together at most D elements; then both sets link with
+  the one that is closest to the common content, with which all are compared.
+  Or A and B meet, and differ in at most D elements; so the D + 1 elements of a
+  difference that are least in the order are the keys of new buckets.  Sets that
+  only have the common content in common meet no more.  No element is in the
+  differences of more than half of the ``VOTERS`` that the content was taken
+  from, so buckets shrink until none is left.
+
+So no group is compared in all its pairs, and no candidate is dropped.  Pairs
+are filtered by a bit sketch of ``BITS`` parities with the same bound and
+verified on the full sets.  Equal sets are one vertex throughout.
 
 Defined results: words are runs of bytes other than space and 9 to 13, with A-Z
 lower-cased; a text of fewer than ``k`` words is one shingle; a null, empty or
@@ -39,25 +50,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.common import cut
+from tessera.llm.common import IdFilter, cut, released
 from tessera.llm.components import components
 from tessera.llm.textnum import LOWER, U64, hash_spans, mix, shingles, slices, text_bytes, unique_per_row, words
 
-CELLS = 40
 SEEDS = 4
-LOAD = 3.5  # shingles in a cell, for the largest set of a band
-
-
-def _bands(percent: int) -> dict[str, np.ndarray]:
-    low = [1]
-    while low[-1] < 1 << 31:
-        low.append(max(low[-1] + 1, low[-1] * 3 // 2))
-    low = np.array(low)
-    top = np.append(low[1:] - 1, low[-1] * 2)
-    cells = np.ceil(top / LOAD).astype(np.int64) + 1
-    return {"low": low, "top": top, "cells": cells, "light": np.where(top >= 60, 2, 1)}
+SMALL = 16
+#: About so many sets of a group, by a hash, tell what most of it holds; any content would give the same links.
+VOTERS = 64
+BITS = 512
+COUNTERS = 1 << 17
+#: Counters travel in rows of this many.
+CHUNK = 1 << 12
 
 
 def difference(total, percent: int):
@@ -65,6 +70,11 @@ def difference(total, percent: int):
     return total * (100 - percent) // (100 + percent)
 
 
+def largest_difference(n, percent: int):
+    """The largest symmetric difference that a set of ``n`` can have from any partner."""
+    return difference(n + n * 100 // percent, percent)
+
+
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, and their rows."""
     raw, at = text_bytes(column)
@@ -73,58 +83,82 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return unique_per_row(*shingles(hash_spans(raw, start, end), row, len(column), k))
 
 
-def cell_keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of every set and their rows; ``n`` has the sets' sizes."""
-    bands = _bands(percent)
-    own = np.searchsorted(bands["low"], np.maximum(n, 1), "right") - 1
-    keys, rows = [], []
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+
+
+def first_of_rows(row: np.ndarray, keys: tuple[np.ndarray, ...], most: np.ndarray) -> np.ndarray:
+    """Positions of the first ``most[row]`` entries of each row in the order of ``keys``, in that order."""
+    order = np.lexsort((*reversed(keys), row))
+    r = row[order]
+    starts = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
+    rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r))))
+    return order[rank < most[r]]
+
+
+def cell_keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of every set and their rows, by row and in the order; ``n`` has the sets' sizes."""
+    own = np.log2(np.maximum(n, 1)).astype(np.int64)
+    most = largest_difference(n, percent) + 1
+    rarity = counts[counter_of(h)]
+    keys, rows, ranks = [], [], []
+
+    def emit(key: np.ndarray, of: np.ndarray) -> None:
+        keys.append(key)
+        rows.append(of)
+        ranks.append(np.arange(len(key)))
+
     for step in (0, 1):
         g = own + step
-        top = bands["top"][g]
-        most = difference(n + np.minimum(n * 100 // percent, top), percent)
-        active = (n > 0) & (difference(2 * top, percent) > 0)
+        active = n > 0
         if step:
-            active &= n * 100 >= bands["low"][g] * percent
-        cells, light = bands["cells"][g], bands["light"][g]
+            active &= n * 100 >= (np.int64(1) << g) * percent
         for seed in range(SEEDS + 1):
             if not active.any():
                 break
             if seed == SEEDS:  # the band's common bucket
                 rest = np.flatnonzero(active)
-                keys.append(mix(g[rest].astype(U64) + U64(1 << 40)))
-                rows.append(rest)
+                emit(mix(g[rest].astype(U64) + U64(1 << 40)), rest)
                 break
             use = active[row]
-            hh, r = h[use], row[use]
-            cell = (mix(hh ^ U64(0x51ED2701 * (seed + 1))) % cells[r].astype(U64)).astype(np.int64)
-            near = cell < CELLS
-            hh, r, cell = hh[near], r[near], cell[near]
-            order = np.argsort(r * CELLS + cell, kind="stable")
-            place = (r * CELLS + cell)[order]
-            first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, int)
-            held = np.diff(np.append(first, len(place)))
-            value = np.bitwise_xor.reduceat(mix(hh[order] ^ U64(0x6A09E667F3BCC909)), first) if len(first) else hh
-            r, cell = place[first] // CELLS, place[first] % CELLS
-            full = held >= light[r]
-            tag = (g[r] * (SEEDS + 1) + seed) * CELLS + cell
-            keys.append(mix(value[full] ^ mix(tag[full].astype(U64))))
-            rows.append(r[full])
-            n_full = np.bincount(r[full], minlength=len(n))
-            # more full cells than a partner can differ in: one of them agrees
-            enough = np.where(cells <= CELLS, n_full > most, n_full >= CELLS * 3 // 10)
-            active = active & ~enough
+            hh, r, c = h[use], row[use], rarity[use]
+            cell = mix(hh ^ U64(0x51ED2701 * (seed + 1))) >> (U64(63) - g[r].astype(U64))  # 2 ** (g + 1) cells
+            order = np.lexsort((cell, r))
+            rr, cc = r[order], cell[order]
+            first = np.flatnonzero(np.append(True, (rr[1:] != rr[:-1]) | (cc[1:] != cc[:-1])))
+            value = np.bitwise_xor.reduceat(mix(hh[order] ^ U64(0x6A09E667F3BCC909)), first)
+            rare = np.minimum.reduceat(c[order], first)
+            r, cell = rr[first], cc[first]
+            key = mix(value ^ mix(cell + (g[r] * (SEEDS + 1) + seed).astype(U64) * U64(1 << 50)))
+            some = first_of_rows(r, (rare, key), most)
+            emit(key[some], r[some])
+            active = active & (np.bincount(r, minlength=len(n)) < most)
     if not keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(rows)
+    key, of = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(of, kind="stable")
+    return key[order], of[order]
+
+
+# --------------------------------------------------------------------- Spark
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    )
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """``(id, n, h1, h2, s0..s3, keys)``: size, identity, bit sketch and join keys of each row's set."""
+
+def _identities(k: int):
+    """``(id, n, h1, h2)`` of each row's set, then the task's counters, ``chunk`` by ``chunk``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        names = ["id", "n", "h1", "h2", "chunk", "counts"]
         for batch in batches:
             for b in slices(batch, "text"):
                 h, row = shingle_sets(b.column("text"), k)
+                counts += np.bincount(counter_of(h), minlength=COUNTERS)
                 m = b.num_rows
                 n = np.bincount(row, minlength=m)
                 h1, h2 = np.zeros(m, U64), np.zeros(m, U64)
@@ -133,68 +167,184 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                     first = np.append(0, np.cumsum(n[some])[:-1])
                     h1[some] = np.add.reduceat(mix(h ^ U64(0x243F6A8885A308D3)), first)
                     h2[some] = np.bitwise_xor.reduceat(mix(h ^ U64(0x13198A2E03707344)), first)
-                bits = np.bincount(row * 256 + (h >> U64(8)).astype(np.int64) % 256, minlength=m * 256)
-                sketch = np.packbits((bits & 1).astype(np.uint8)).view(np.int64).reshape(m, 4)
-                key, of = cell_keys(h, row, n, percent)
-                order = np.argsort(of, kind="stable")
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                     pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    names,
+                )
+        if counts.any():
+            parts = counts.reshape(-1, CHUNK)
+            m = len(parts)
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, pa.array(np.arange(m, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names
+            )
+
+    return run
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """All tasks' counters, added up in two steps: what one task adds, and the driver gets, is bounded."""
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CHUNK, np.int64)
+        for b in batches:
+            for c in b.column("counts").to_pylist():
+                total += np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    some = parts.where("chunk is not null").select("chunk", "counts")
+    dealt = some.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(64)))
+    once = dealt.groupBy("chunk", "deal").applyInArrow(add, "chunk int, counts binary")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in once.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
+
+
+def _sketches(k: int, counts: np.ndarray, percent: int):
+    """``(id, h1, n, s0.., keys)``: identity, size, bit sketch and join keys of each row's set."""
+    counts = counts.astype(np.int32 if counts.max() < 1 << 31 else np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                h, row = shingle_sets(b.column("text"), k)
+                m = b.num_rows
+                n = np.bincount(row, minlength=m)
+                h1 = np.zeros(m, U64)
+                some = np.flatnonzero(n)
+                if len(some):
+                    h1[some] = np.add.reduceat(mix(h ^ U64(0x243F6A8885A308D3)), np.append(0, np.cumsum(n[some])[:-1]))
+                bits = np.zeros(m * BITS, np.uint8)
+                odd, times = np.unique(row * BITS + (h >> U64(8)).astype(np.int64) % BITS, return_counts=True)
+                bits[odd] = times & 1
+                sketch = np.packbits(bits).view(np.int64).reshape(m, len(SKETCH))
+                key, of = cell_keys(h, row, n, counts, percent)
                 at = np.append(0, np.cumsum(np.bincount(of, minlength=m))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(key[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
-                    + [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)]
-                    + [lists],
-                    ["id", "n", "h1", "h2", "s0", "s1", "s2", "s3", "keys"],
+                    [b.column("id"), pa.array(h1.view(np.int64)), pa.array(n.astype(np.int64))]
+                    + [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]
+                    + [pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))],
+                    ["id", "h1", "n", *SKETCH, "keys"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(
-        run, "id long, n long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
-    )
+    return run
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+def _shared_keys(wanted: IdFilter):
+    """``(key, id, h1, pos)``: the keys that may be shared, and where they stand in their set's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("keys")
+            at = np.asarray(keys.offsets, np.int64)
+            key = np.asarray(keys.flatten())
+            size = np.diff(at)
+            of = np.repeat(np.arange(b.num_rows), size)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+            some = np.flatnonzero(wanted.may_hold(key))
+            of = pa.array(of[some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[some]), b.column("id").take(of), b.column("h1").take(of), pa.array(pos[some].astype(np.int32))], ["key", "id", "h1", "pos"]
+            )
+
+    return run
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``(id, set)`` for the documents in ``ids``."""
+    """``(id, set)`` for the documents in ``ids`` and, harmlessly, some others: rows are picked at the scan."""
+    wanted = IdFilter.of(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            b0 = batch.filter(pa.array(wanted.may_hold(np.asarray(batch.column("id")))))
+            for b in slices(b0, "text"):
                 h, row = shingle_sets(b.column("text"), k)
                 at = np.append(0, np.cumsum(np.bincount(row, minlength=b.num_rows))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "set"])
+
+    texts = _texts(docs, id_col, text_col).where("id is not null")
+    return cut(texts.mapInArrow(released(run), "id long, set array<long>"), "sets")
 
-    return _texts(docs, id_col, text_col).join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>")
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    """``(key, id, hub, size)`` for the keys that several ids of ``(key, id, pos)`` share."""
+    rows = cut(rows.groupBy("key", "id").agg(F.min("pos").alias("pos")), "keyed")
+    least = rows.groupBy("key").agg(F.min(F.struct("pos", "id"))["id"].alias("hub"), F.count("*").alias("size")).where("size > 1")
+    return cut(rows.join(least, "key").select("key", "id", "hub", "size"), "buckets")
 
-def _admissible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and bit sketches leave a link possible."""
-    total = F.col(f"{a}n") + F.col(f"{b}n")
+
+def _admissible(percent: int) -> Column:
+    """Whether sizes and bit sketches of ``u_`` and ``v_`` leave a link possible."""
+    total = F.col("u_n") + F.col("v_n")
     most = F.floor(total * (100 - percent) / (100 + percent))
-    apart = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(4)), F.lit(0))
-    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & (apart <= most)
+    apart = sum((F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}"))) for s in SKETCH), F.lit(0))
+    return (F.abs(F.col("u_n") - F.col("v_n")) <= most) & (apart <= most)
 
 
-def _sides(sets: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    return sets.select(*[F.col(c).alias(f"{side}{c}") for c in columns])
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{side}_{c}" if c != "id" else side) for c in rows.columns])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets reach the threshold."""
-    pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    # rows that share an id would otherwise multiply pairs
-    sets = cut(_sets(docs, ids, id_col, text_col, k), "sets")
+    likely = cut(
+        pairs.distinct().join(_side(facts, "u"), "u").join(_side(facts, "v"), "v").where(_admissible(percent)).select("u", "v").distinct(), "pairs"
+    )
     both = (
-        pairs.join(_sides(sets, "u_", ["id", "set"]), F.col("u") == F.col("u_id"))
-        .join(_sides(sets, "v_", ["id", "set"]), F.col("v") == F.col("v_id"))
+        likely.join(_side(sets, "u"), "u").join(_side(sets, "v"), "v")
         .select("u", "v", F.size(F.array_intersect("u_set", "v_set")).alias("both"), (F.size("u_set") + F.size("v_set")).alias("total"))
-    )
-    return both.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("u", "v").distinct()
+    )
+    return cut(both.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("u", "v").distinct(), "links")
+
+
+def _differences(counts: np.ndarray, percent: int):
+    """``(g, id, off, keys)``: how far a set is from its group's common content, and where it differs from it.
+
+    ``keys`` are the least elements of the difference, as keys of that group;
+    those that the set lacks come last.  ``off`` is least for the set with
+    which all link that are close enough to the content to link by it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                b = batch.slice(i, 512)
+                both = [b.column("set"), b.column("common")]
+                sizes = [np.diff(np.asarray(c.offsets, np.int64)) for c in both]
+                m = b.num_rows
+                row = np.concatenate([np.repeat(np.arange(m), s) for s in sizes])
+                h = np.concatenate([np.asarray(c.flatten()).view(U64) for c in both])
+                lacks = np.repeat([False, True], [sizes[0].sum(), sizes[1].sum()])
+                order = np.lexsort((h, row))
+                same = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
+                alone = order[~(np.append(same, False) | np.append(False, same))] if len(order) else order
+                h, row, lacks = h[alone], row[alone], lacks[alone]
+                off = np.bincount(row, minlength=m) * (100 + percent) - sizes[0] * (100 - percent)
+                some = first_of_rows(row, (lacks, counts[counter_of(h)], h), largest_difference(sizes[0], percent) + 1)
+                h, row = h[some], row[some]
+                key = mix(h ^ mix(np.asarray(b.column("g")).astype(np.int64).view(U64)[row] + U64(0x3C6EF372FE94F82B)))
+                at = np.append(0, np.cumsum(np.bincount(row, minlength=m))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("g"), b.column("id"), pa.array(off), keys], ["g", "id", "off", "keys"])
+
+    return run
+
+
+def _apart(groups: DataFrame, sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """What ``_differences`` gives for the groups ``(g, id)``."""
+    groups = cut(groups, "groups")
+    size = groups.groupBy("g").agg(F.count("*").alias("size"))
+    voters = groups.join(size, "g").where(F.pmod(F.xxhash64("id", "g"), F.greatest(F.lit(1), F.floor(F.col("size") / VOTERS))) == 0).select("g", "id")
+    votes = cut(voters.join(sets, "id").select("g", F.explode("set").alias("h")).groupBy("g", "h").agg(F.count("*").alias("n")), "votes")
+    needed = voters.groupBy("g").agg(F.count("*").alias("voters"))
+    common = votes.join(needed, "g").where("2 * n > voters").groupBy("g").agg(F.collect_list("h").alias("common"))
+    rows = groups.join(sets, "id").join(common, "g", "left").select("g", "id", "set", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
+    return cut(rows.mapInArrow(released(_differences(counts, percent)), "g long, id long, off long, keys array<long>"), "apart")
 
 
 def jaccard_components(
@@ -203,64 +353,64 @@ def jaccard_components(
     """``(id, n_shingles, component_id)`` for every row of ``docs``.
 
     Two texts link when ``100 * |intersection| >= percent * |union|`` of their
-    sets of ``k``-word shingles; ``percent`` is 67 to 99.
+    sets of ``k``-word shingles; ``percent`` is 51 to 99.
     """
-    if not 67 <= percent <= 99:
-        raise ValueError("percent must be 67 to 99: bands grow by half")
-    sk = cut(sketches(docs, id_col, text_col, k, percent), "sketches")
+    if not 51 <= percent <= 99:
+        raise ValueError("percent must be 51 to 99: bands grow by two")
+    texts = _texts(docs, id_col, text_col)
+    first = cut(texts.mapInArrow(released(_identities(k)), "id long, n long, h1 long, h2 long, chunk int, counts binary"), "identities")
+    counts = _summed(first)
+    rows = first.where("chunk is null").select("id", "n", "h1", "h2")
     repeated = cut(
-        sk.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+        rows.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
         .where("rep < last").drop("last"),
         "repeated",
     )
-    classes = sk.join(repeated, ["h1", "h2", "n"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    members = cut(classes.select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
-    reps = cut(classes.where("id = rep and n > 0").select("id", "n", "s0", "s1", "s2", "s3", "keys"), "reps")
-
-    by_key = Window.partitionBy("key")
-    buckets = cut(
-        reps.select("id", F.explode("keys").alias("key"))
-        .withColumn("first", F.min("id").over(by_key))
-        .withColumn("size", F.count("*").over(by_key))
-        .where("size > 1"),
-        "buckets",
+    members = cut(
+        rows.join(repeated, ["h1", "h2", "n"], "left").select("id", "n", "h1", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")),
+        "members",
+    )
+    copies = members.where("id <> rep")
+    # an id of several rows may be a copy in one and stand for itself in another
+    same = copies.select(F.col("rep").alias("u"), F.col("id").alias("v")).join(
+        members.where("id = rep").select(F.col("id").alias("v")), "v", "left_semi"
     )
-    facts = reps.select("id", "n", "s0", "s1", "s2", "s3").dropDuplicates(["id"])
-    known = ["id", "n", "s0", "s1", "s2", "s3"]
-    stars = (
-        buckets.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-        .join(_sides(facts, "u_", known), F.col("u") == F.col("u_id"))
-        .join(_sides(facts, "v_", known), F.col("v") == F.col("v_id"))
-        .where(_admissible("u_", "v_", percent)).select("u", "v")
-    )
-    links = cut(_verified(stars, docs, id_col, text_col, k, percent), "links")
-    found = components(links)
 
-    # what a bucket's first does not settle: sets of one bucket in several components
-    placed = (
-        buckets.where("size > 2").select("key", "id").join(found, "id", "left")
-        .withColumn("component_id", F.coalesce("component_id", "id"))
-    )
-    placed = cut(placed, "placed")
-    mixed = cut(
-        placed.groupBy("key").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("key"),
-        "mixed",
+    names = ", ".join(f"{s} long" for s in SKETCH)
+    sk = cut(
+        texts.where("id is not null").mapInArrow(released(_sketches(k, counts, percent)), f"id long, h1 long, n long, {names}, keys array<long>"), "sketches"
     )
-    if mixed.take(1):
-        rest = cut(placed.join(mixed, "key", "left_semi").join(facts, "id"), "rest")
-        cols = ["key", "component_id", *known]
-        more = (
-            _sides(rest, "u_", cols)
-            .join(
-                _sides(rest, "v_", cols),
-                (F.col("u_key") == F.col("v_key")) & (F.col("u_id") < F.col("v_id"))
-                & (F.col("u_component_id") != F.col("v_component_id")) & _admissible("u_", "v_", percent),
-            )
-            .select(F.col("u_id").alias("u"), F.col("v_id").alias("v")).distinct()
-        )
-        more = _verified(more, docs, id_col, text_col, k, percent)
-        stars_of = found.select(F.col("component_id").alias("u"), F.col("id").alias("v"))
-        found = components(stars_of.unionByName(more))
+    shared = (
+        sk.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    )
+    keyed = cut(
+        sk.select("id", "h1", "keys").mapInArrow(_shared_keys(IdFilter.of(cut(shared, "shared"), "key")), "key long, id long, h1 long, pos int"), "keys"
+    )
+    buckets = _hubs(keyed.join(copies.select("id", "h1"), ["id", "h1"], "left_anti").select("key", "id", "pos"))
+    ids = buckets.select("id").distinct()
+    facts = cut(sk.select("id", "n", *SKETCH).join(ids, "id", "left_semi"), "facts")
+    sets = _sets(docs, ids, id_col, text_col, k)
+
+    links = _linked(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")), facts, sets, percent)
+    found = components(links.unionByName(same.select("u", "v")))
+    while True:
+        placed = cut(
+            buckets.where("size > 2").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "placed"
+        )
+        mixed = placed.groupBy("key").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("key")
+        mixed = cut(placed.join(mixed, "key", "left_semi"), "mixed")
+        if not mixed.take(1):
+            break
+        few = mixed.where((F.col("size") <= SMALL) & (F.col("id") != F.col("hub")))
+        u, v = (few.select("key", F.col("id").alias(c), F.col("component_id").alias(f"{c}_of")) for c in "uv")
+        pairs = u.join(v, "key").where("u < v and u_of <> v_of").select("u", "v").distinct()
+        apart = _apart(mixed.where(F.col("size") > SMALL).select(F.col("hub").alias("g"), "id").distinct(), sets, counts, percent)
+        closest = apart.groupBy("g").agg(F.min(F.struct("off", "id"))["id"].alias("u"))
+        pairs = pairs.unionByName(apart.join(closest, "g").select("u", F.col("id").alias("v")).where("u <> v"))
+        buckets = _hubs(apart.select("id", F.posexplode("keys").alias("pos", "key")))
+        stars = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
+        links = _linked(pairs.unionByName(stars), facts, sets, percent)
+        found = components(found.select(F.col("component_id").alias("u"), F.col("id").alias("v")).unionByName(links))
     found = found.withColumnRenamed("id", "rep").withColumnRenamed("component_id", "least")
     return members.join(found, "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id")

@@ -93,3 +93,44 @@ def test_one_very_long_text(spark):
     rows = [(1, " ".join(w)), (2, " ".join(v)), (3, "w1 w2")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in jaccard_components(df).collect()) == brute(rows)
+
+
+def test_family_of_copies_in_one_bucket(spark):
+    """Copies of one text with few to many edits, some of them shared by sub-families: buckets are dealt again."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    families = [[(rng.randrange(150), f"f{k}_{j}") for j in range(rng.randint(1, 3))] for k in range(8)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for p, x in families[i % 8] if i % 3 else []:
+            w[p] = x
+        for j in range(rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            w[rng.randrange(150)] = f"e{i}_{j}"
+        rows.append((i * 7 % 160, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_components(df).collect()) == brute(rows)
+
+
+def test_sets_of_thousands_at_the_threshold(spark):
+    """Pairs just at and just below 80 per cent, of sets with 5,000 shingles."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(12):
+        w = [f"t{k}_{i}" for i in range(5004)]
+        v = list(w)
+        # a changed word far from others takes 5 of 5,000 shingles; 111 leave 4445 of 5555, 112 leave fewer than 80 per cent
+        for p in rng.sample(range(1000), 111 + k % 2):
+            v[p * 5 + 4] = "x"
+        rng.shuffle(v) if k == 11 else None
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_components(df).collect()) == brute(rows)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """An id that is a copy in one row and linked to another document in the next is one vertex."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["id"], r["component_id"]) for r in jaccard_components(df).collect()) == [(1, 1), (2, 1), (2, 1), (3, 1)]
