@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, neardup, packing, quality, secrets, suffixes, tokenfile, toxicity, warc
-from tessera.llm.common import cut, scratch_dir
+from tessera.llm.common import cut, scratch_dir, small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -21,7 +22,7 @@ def _remainder(id_col: str, mod: int):
 
 
 def _labels(spark: SparkSession, sf_dir: str, name: str, mod: int, held_out: int) -> DataFrame:
-    """``(id, y)``: one label for each id outside the held-out fold."""
+    """``(id, y)``: one label for each id outside the held-out fold; of several the larger."""
     labels = _read(spark, sf_dir, "labels").where(_remainder("doc_id", mod) != held_out)
     return labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(name).cast("int").alias("y")).where("y is not null")
 
@@ -56,8 +57,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = _read(spark, sf_dir, "documents")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    net = toxicity.train(texts.join(_labels(spark, sf_dir, "toxic", 5, 0), "id"))
+    net = toxicity.train(docs, _labels(spark, sf_dir, "toxic", 5, 0))
     return toxicity.score(docs, net).select(
         F.col("id").alias("doc_id"),
         (_remainder("id", 5) == 0).alias("held_out"),

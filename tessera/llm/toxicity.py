@@ -11,7 +11,8 @@ rounds over random windows, each round scores the sampled windows, then learns
 from the highest window of a toxic document and the highest and a random one of
 a clean document.  The sample is
 bounded: ``docs_per_label`` documents of each label, picked by a hash of the
-id, and ``windows_per_doc`` windows of each.
+id, and ``windows_per_doc`` windows of each.  An id with both labels teaches
+both.
 
 Defined results: a null, empty or wordless text is one window without words and
 gets the network's score for it; rows without a usable label teach nothing;
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut, released
 from tessera.llm.textnum import LOWER, U64, hash_spans, mix, runs, slices, text_bytes
 
 WINDOW, STEP = 64, 32
@@ -310,30 +312,45 @@ def fit(
 
 
 def _sampled_windows(windows_per_doc: int):
+    """``(id, y, w)``: the texts of some windows of each document, as the scorer would cut them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, out = [], [], []
-            for i, y, text in zip(batch["id"].to_pylist(), batch["y"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                w = text.split()
-                n = max(1, -(-(len(w) - WINDOW) // STEP) + 1)
-                rng = np.random.default_rng(i & 0xFFFFFFFF)
-                some = range(n) if n <= windows_per_doc else sorted(rng.choice(n, windows_per_doc, replace=False).tolist())
-                ids.append(i)
-                labels.append(y)
-                out.append([" ".join(x[:64] for x in w[k * STEP : k * STEP + WINDOW]) for k in some])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(out, pa.list_(pa.string()))], ["id", "y", "w"])
+            for b in slices(batch, "text"):
+                raw, at = text_bytes(b.column("text"))
+                raw = LOWER[raw]
+                start, end, row = runs(WORD_BYTE[raw], at)
+                first = np.searchsorted(row, np.arange(b.num_rows + 1))
+                out = []
+                for i, doc_id in enumerate(b.column("id").to_pylist()):
+                    lo, hi = first[i], first[i + 1]
+                    n = max(1, -(-(hi - lo - WINDOW) // STEP) + 1)
+                    rng = np.random.default_rng(doc_id & 0xFFFFFFFF)
+                    some = range(n) if n <= windows_per_doc else sorted(rng.choice(n, windows_per_doc, replace=False).tolist())
+                    cut_at = [(start[lo + k * STEP], end[min(hi, lo + k * STEP + WINDOW) - 1]) for k in some] if hi > lo else [(0, 0)]
+                    out.append([raw[p:q].tobytes().decode() for p, q in cut_at])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(out, pa.list_(pa.string()))], ["id", "y", "w"])
 
     return run
 
 
-def train(labelled: DataFrame, docs_per_label: int = 1500, windows_per_doc: int = 24, **how) -> Network | float:
-    """Fit on ``(id, text, y)``; a float is the constant score where there is nothing to learn."""
-    usable = labelled.where("y in (0, 1) and id is not null").select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
-    picks = [
-        usable.where(F.col("y") == k).select("id", "y").distinct().orderBy(F.xxhash64("id"), "id").limit(docs_per_label) for k in (0, 1)
-    ]
-    ids = picks[0].unionByName(picks[1])
-    sample = usable.join(F.broadcast(ids), ["id", "y"]).mapInArrow(_sampled_windows(windows_per_doc), "id long, y int, w array<string>")
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_label: int = 1500, windows_per_doc: int = 24, **how
+) -> Network | float:
+    """Fit on the texts of ``docs`` and ``labels (id, y)``; a float is the constant score where there is nothing to learn.
+
+    At most ``docs_per_label`` documents of each label and ``windows_per_doc``
+    windows of each reach the driver.  They are picked by their ids alone, so
+    that only their texts leave the scan.
+    """
+    usable = labels.where("y in (0, 1) and id is not null").select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y")).distinct()
+    there = docs.select(F.col(id_col).cast("long").alias("id"))
+    usable = cut(usable.join(there, "id", "left_semi"), "usable")
+    picks = [usable.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(docs_per_label) for k in (0, 1)]
+    ids = cut(picks[0].unionByName(picks[1]), "picked")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # ids has at most two rows for each of 2 * docs_per_label documents
+    sample = texts.join(F.broadcast(ids), "id").mapInArrow(released(_sampled_windows(windows_per_doc)), "id long, y int, w array<string>")
     rows = sorted(sample.collect(), key=lambda r: (r["id"], r["y"], r["w"]))
     y = np.array([r["y"] for r in rows], np.int64)
     if not len(y):
@@ -355,4 +372,4 @@ def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_co
             for b in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(highest(net, *text_bytes(b.column("text"))))], ["id", "score"])
 
-    return rows.mapInArrow(run, "id long, score double")
+    return rows.mapInArrow(released(run), "id long, score double")

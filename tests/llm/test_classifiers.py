@@ -110,7 +110,7 @@ def test_toxicity_held_out(spark):
         rows.append((i, " ".join(w), int(i % 3 == 0)))
     rows += [(900, "x", None), (901, None, 0)]
     df = spark.createDataFrame(rows, "id long, text string, y int")
-    net = toxicity.train(df.where("id < 500 or id >= 900"))
+    net = toxicity.train(df, df.where("id < 500 or id >= 900").select("id", "y"), "id")
     test = spark.createDataFrame([(i, t, "c") for i, t, _ in rows if 500 <= i < 700] + [(1000, None, ""), (1001, "", ""), (1002, prose(20_000), "")], "doc_id long, text string, score string")
     got = {r["id"]: r["score"] for r in toxicity.score(test, net).collect()}
     assert len(got) == 203 and all(0 <= s <= 1 for s in got.values())
@@ -128,4 +128,4 @@ def test_windows_cover_all_words():
 @pytest.mark.parametrize("ys, score", [([], 0.5), ([1], 1.0)])
 def test_toxicity_without_two_labels(spark, ys, score):
     df = spark.createDataFrame([(i, "a", y) for i, y in enumerate(ys)], "id long, text string, y int")
-    assert toxicity.train(df) == score
+    assert toxicity.train(df, df.select("id", "y"), "id") == score
