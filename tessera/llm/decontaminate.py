@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released
 from tessera.llm.textnum import LOWER, SEPARATOR, U64, mix, slices, text_bytes
 
 FILTER_BITS = 20
@@ -212,7 +213,7 @@ def matches(
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
         index = Index(items, settings)
-        part = rows.mapInArrow(_finder(index), "id long, item_id long, window int, item_windows int, start long, end long, edits int")
+        part = rows.mapInArrow(released(_finder(index)), "id long, item_id long, window int, item_windows int, start long, end long, edits int")
         out = part if out is None else out.unionByName(part)
     # by window first: a window that occurs twice in a document counts once
     each = out.groupBy("id", "item_id", "window").agg(
@@ -233,7 +234,7 @@ def _finder(index: Index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 4 << 20):
+            for b in slices(batch, "text", 1 << 20):
                 raw, at = text_bytes(b.column("text"))
                 m = index.find(raw, at)
                 if not len(m["row"]):
@@ -261,11 +262,11 @@ def without_contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in slices(batch, text, 4 << 20):
+                for b in slices(batch, text, 1 << 20):
                     keep = np.ones(b.num_rows, bool)
                     keep[index.find(*text_bytes(b.column(text)))["row"]] = False
                     b = b.filter(pa.array(keep))
                     yield b.select([c for c in b.schema.names if c != text])
 
-        docs = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(released(run), docs.schema)
     return docs

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, released
 from tessera.llm.textnum import slices
 from tessera.llm.tokens import encoder
 
@@ -160,7 +160,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for b in slices(batch, "text", 8 << 20):
+            for b in slices(batch, "text", 2 << 20):
                 ids, at = enc.encode(b.column("text"), end_id)
                 n = -(-np.diff(at) // capacity)
                 row = np.repeat(np.arange(b.num_rows), n)
@@ -176,7 +176,7 @@ def pieces(
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(released(run), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 NAMES = ["id", "piece", "start", "length", "ids_crc32"]

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released
 from tessera.llm.textnum import SEPARATOR, hash_spans, per_row, runs, slices, text_bytes, unique_per_row, words
 
 STATISTICS = (
@@ -92,14 +93,14 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 x = statistics(*text_bytes(b.column("text")))
                 flat = pa.array(x.reshape(-1).astype(np.float32))
                 at = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(at, flat)], ["id", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(stats, "id long, x array<float>")
+    return rows.mapInArrow(released(stats), "id long, x array<float>")
 
 
 # ---------------------------------------------------------------------- model
@@ -199,7 +200,7 @@ def fit(
         rows = pa.ListArray.from_arrays(at, pa.array(both.reshape(-1)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), rows], ["i", "v"])
 
-    parts = data.where("not calibrates").select("x", F.col("y").cast("int").alias("y")).mapInArrow(partial, "i int, v array<double>")
+    parts = data.where("not calibrates").select("x", F.col("y").cast("int").alias("y")).mapInArrow(released(partial), "i int, v array<double>")
     total = (
         parts.select("i", F.posexplode("v").alias("j", "v"))
         .groupBy("i", "j").agg(F.sum("v").alias("v"))
@@ -220,7 +221,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(raw), batch.column("y")], ["bin", "raw", "y"])
 
     held = (
-        data.where("calibrates").select("x", F.col("y").cast("int").alias("y")).mapInArrow(binned, "bin int, raw double, y int")
+        data.where("calibrates").select("x", F.col("y").cast("int").alias("y")).mapInArrow(released(binned), "bin int, raw double, y int")
         .groupBy("bin").agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.sum("y").alias("y"))
         .orderBy("bin").collect()
     )
@@ -245,7 +246,7 @@ def score(stats: DataFrame, model: Model | float) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.score(_matrix(b)))], ["id", "score"])
 
-    return stats.select("id", "x").mapInArrow(run, "id long, score double")
+    return stats.select("id", "x").mapInArrow(released(run), "id long, score double")
 
 
 def keep(docs: DataFrame, model: Model | float, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -256,8 +257,8 @@ def keep(docs: DataFrame, model: Model | float, text_col: str = "text", least: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, text):
+            for b in slices(batch, text, 1 << 20):
                 good = model.score(statistics(*text_bytes(b.column(text)))) >= least
                 yield b.filter(pa.array(good)).select([c for c in b.schema.names if c != text])
 
-    return docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+    return docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(released(run), docs.schema)

@@ -48,7 +48,7 @@ def powers(base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base, U64)
         p[0] = 1
         p = np.multiply.accumulate(p)
-        if n <= 1 << 23:  # what an unusually long text needs isn't kept
+        if n <= 1 << 21:  # what an unusually long text needs isn't kept
             _powers[base] = p
     return p[:n]
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: ASCII marks that the pre-tokenizers split from letters before them.
 SPACE = regex.compile(r"\s")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
