@@ -105,5 +105,38 @@ class IdFilter:
         return (self.bits[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
+#: Items are counted in this many counters, which travel in rows of ``CHUNK``.
+COUNTERS, CHUNK = 1 << 17, 1 << 12
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    """The counter of each 64-bit hash."""
+    return (h >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+
+
+def counter_rows(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A task's counters as ``chunk int, counts binary``."""
+    parts = counts.astype(np.int64).reshape(-1, CHUNK)
+    return pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())
+
+
+def summed(parts: DataFrame) -> np.ndarray:
+    """All tasks' counters ``(chunk, counts)``, added up in two steps: what a task adds, and the driver gets, is bounded."""
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CHUNK, np.int64)
+        for b in batches:
+            for c in b.column("counts").to_pylist():
+                total += np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    dealt = parts.select("chunk", "counts", F.pmod(F.spark_partition_id(), F.lit(64)).alias("deal"))
+    once = dealt.groupBy("chunk", "deal").applyInArrow(add, "chunk int, counts binary")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in once.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -51,18 +51,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdFilter, cut, released
+from tessera.llm.common import COUNTERS, IdFilter, counter_of, counter_rows, cut, released, summed
 from tessera.llm.components import components
 from tessera.llm.textnum import LOWER, U64, hash_spans, mix, shingles, slices, text_bytes, unique_per_row, words
 
 SEEDS = 4
-SMALL = 16
+SMALL = 32
 #: About so many sets of a group, by a hash, tell what most of it holds; any content would give the same links.
 VOTERS = 64
 BITS = 512
-COUNTERS = 1 << 17
-#: Counters travel in rows of this many.
-CHUNK = 1 << 12
 
 
 def difference(total, percent: int):
@@ -83,10 +80,6 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return unique_per_row(*shingles(hash_spans(raw, start, end), row, len(column), k))
 
 
-def counter_of(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
-
-
 def first_of_rows(row: np.ndarray, keys: tuple[np.ndarray, ...], most: np.ndarray) -> np.ndarray:
     """Positions of the first ``most[row]`` entries of each row in the order of ``keys``, in that order."""
     order = np.lexsort((*reversed(keys), row))
@@ -99,7 +92,6 @@ def first_of_rows(row: np.ndarray, keys: tuple[np.ndarray, ...], most: np.ndarra
 def cell_keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of every set and their rows, by row and in the order; ``n`` has the sets' sizes."""
     own = np.log2(np.maximum(n, 1)).astype(np.int64)
-    most = largest_difference(n, percent) + 1
     rarity = counts[counter_of(h)]
     keys, rows, ranks = [], [], []
 
@@ -111,8 +103,11 @@ def cell_keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, counts: np.ndarray,
     for step in (0, 1):
         g = own + step
         active = n > 0
+        most = largest_difference(n, percent) + 1
         if step:
             active &= n * 100 >= (np.int64(1) << g) * percent
+        else:  # partners beyond the band are met in the next
+            most = np.minimum(most, difference(n + (np.int64(2) << g) - 1, percent) + 1)
         for seed in range(SEEDS + 1):
             if not active.any():
                 break
@@ -173,35 +168,13 @@ def _identities(k: int):
                     names,
                 )
         if counts.any():
-            parts = counts.reshape(-1, CHUNK)
-            m = len(parts)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(np.arange(m, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names
-            )
+            chunk, parts = counter_rows(counts)
+            none = pa.nulls(len(chunk), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, chunk, parts], names)
 
     return run
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """All tasks' counters, added up in two steps: what one task adds, and the driver gets, is bounded."""
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CHUNK, np.int64)
-        for b in batches:
-            for c in b.column("counts").to_pylist():
-                total += np.frombuffer(c, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    some = parts.where("chunk is not null").select("chunk", "counts")
-    dealt = some.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(64)))
-    once = dealt.groupBy("chunk", "deal").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros(COUNTERS, np.int64)
-    for r in once.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return out
-
-
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
@@ -256,7 +229,7 @@ def _shared_keys(wanted: IdFilter):
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``(id, set)`` for the documents in ``ids`` and, harmlessly, some others: rows are picked at the scan."""
+    """``(id, set)`` for the documents in ``ids``: rows are picked at the scan, by a filter that lets few others through."""
     wanted = IdFilter.of(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +241,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "set"])
 
     texts = _texts(docs, id_col, text_col).where("id is not null")
-    return cut(texts.mapInArrow(released(run), "id long, set array<long>"), "sets")
+    made = cut(texts.mapInArrow(released(run), "id long, set array<long>"), "sets")
+    return made.join(ids, "id", "left_semi")
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
@@ -290,11 +264,14 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{side}_{c}" if c != "id" else side) for c in rows.columns])
 
 
-def _linked(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs ``(u, v)`` that sizes and bit sketches leave over."""
+    both = pairs.distinct().join(_side(facts, "u"), "u").join(_side(facts, "v"), "v")
+    return cut(both.where(_admissible(percent)).select("u", "v").distinct(), "pairs")
+
+
+def _linked(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets reach the threshold."""
-    likely = cut(
-        pairs.distinct().join(_side(facts, "u"), "u").join(_side(facts, "v"), "v").where(_admissible(percent)).select("u", "v").distinct(), "pairs"
-    )
     both = (
         likely.join(_side(sets, "u"), "u").join(_side(sets, "v"), "v")
         .select("u", "v", F.size(F.array_intersect("u_set", "v_set")).alias("both"), (F.size("u_set") + F.size("v_set")).alias("total"))
@@ -359,7 +336,7 @@ def jaccard_components(
         raise ValueError("percent must be 51 to 99: bands grow by two")
     texts = _texts(docs, id_col, text_col)
     first = cut(texts.mapInArrow(released(_identities(k)), "id long, n long, h1 long, h2 long, chunk int, counts binary"), "identities")
-    counts = _summed(first)
+    counts = summed(first.where("chunk is not null"))
     rows = first.where("chunk is null").select("id", "n", "h1", "h2")
     repeated = cut(
         rows.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
@@ -381,7 +358,7 @@ def jaccard_components(
         texts.where("id is not null").mapInArrow(released(_sketches(k, counts, percent)), f"id long, h1 long, n long, {names}, keys array<long>"), "sketches"
     )
     shared = (
-        sk.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+        sk.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     )
     keyed = cut(
         sk.select("id", "h1", "keys").mapInArrow(_shared_keys(IdFilter.of(cut(shared, "shared"), "key")), "key long, id long, h1 long, pos int"), "keys"
@@ -389,10 +366,12 @@ def jaccard_components(
     buckets = _hubs(keyed.join(copies.select("id", "h1"), ["id", "h1"], "left_anti").select("key", "id", "pos"))
     ids = buckets.select("id").distinct()
     facts = cut(sk.select("id", "n", *SKETCH).join(ids, "id", "left_semi"), "facts")
-    sets = _sets(docs, ids, id_col, text_col, k)
+    both = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("id"))
 
-    links = _linked(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")), facts, sets, percent)
-    found = components(links.unionByName(same.select("u", "v")))
+    likely = _likely(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")), facts, percent)
+    known = cut(both(likely).unionByName(buckets.where(F.col("size") > SMALL).select("id")).distinct(), "known")
+    sets, more = _sets(docs, known, id_col, text_col, k), True
+    found = components(_linked(likely, sets, percent).unionByName(same.select("u", "v")))
     while True:
         placed = cut(
             buckets.where("size > 2").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "placed"
@@ -401,15 +380,19 @@ def jaccard_components(
         mixed = cut(placed.join(mixed, "key", "left_semi"), "mixed")
         if not mixed.take(1):
             break
-        few = mixed.where((F.col("size") <= SMALL) & (F.col("id") != F.col("hub")))
-        u, v = (few.select("key", F.col("id").alias(c), F.col("component_id").alias(f"{c}_of")) for c in "uv")
-        pairs = u.join(v, "key").where("u < v and u_of <> v_of").select("u", "v").distinct()
+        few = mixed.where((F.col("size") <= SMALL) & (F.col("id") != F.col("hub"))).join(facts.select("id", "n"), "id")
+        u, v = (few.select("key", F.col("id").alias(c), F.col("component_id").alias(f"{c}_of"), F.col("n").alias(f"{c}_n")) for c in "uv")
+        sized = F.expr(f"abs(u_n - v_n) * {100 + percent} <= (u_n + v_n) * {100 - percent}")
+        likely = _likely(u.join(v, "key").where(sized & F.expr("u < v and u_of <> v_of")).select("u", "v"), facts, percent)
+        if more:  # later rounds only deal sets of large buckets again
+            sets = sets.unionByName(_sets(docs, both(likely).distinct().join(known, "id", "left_anti"), id_col, text_col, k))
+            more = False
         apart = _apart(mixed.where(F.col("size") > SMALL).select(F.col("hub").alias("g"), "id").distinct(), sets, counts, percent)
         closest = apart.groupBy("g").agg(F.min(F.struct("off", "id"))["id"].alias("u"))
-        pairs = pairs.unionByName(apart.join(closest, "g").select("u", F.col("id").alias("v")).where("u <> v"))
         buckets = _hubs(apart.select("id", F.posexplode("keys").alias("pos", "key")))
         stars = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
-        links = _linked(pairs.unionByName(stars), facts, sets, percent)
+        stars = stars.unionByName(apart.join(closest, "g").select("u", F.col("id").alias("v")).where("u <> v"))
+        links = _linked(likely, sets, percent).unionByName(_linked(_likely(stars, facts, percent), sets, percent))
         found = components(found.select(F.col("component_id").alias("u"), F.col("id").alias("v")).unionByName(links))
     found = found.withColumnRenamed("id", "rep").withColumnRenamed("component_id", "least")
     return members.join(found, "rep", "left").select(
