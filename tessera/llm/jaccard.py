@@ -21,7 +21,8 @@ Sets that share a key are a bucket.  Each is compared with the bucket's hub,
 the set for which the key stands earliest.  Where a bucket's sets are in
 several components after that:
 
-* up to ``SMALL`` sets are compared in pairs between components;
+* up to ``SMALL`` sets are compared by size and bit sketch between components,
+  inside the join, which puts out likely links only;
 * more are dealt again by how they differ from what most of them hold.  Let
   A and B be the differences of two linked sets from that common content.
   Either A and B have together at most D elements; then both sets link with
@@ -30,7 +31,7 @@ several components after that:
   difference that are least in the order are the keys of new buckets.  Sets that
   only have the common content in common meet no more.  No element is in the
   differences of more than half of the ``VOTERS`` that the content was taken
-  from, so buckets shrink until none is left.
+  from, so buckets about halve until none is left.
 
 So no group is compared in all its pairs, and no candidate is dropped.  Pairs
 are filtered by a bit sketch of ``BITS`` parities with the same bound and
@@ -56,7 +57,7 @@ from tessera.llm.components import components
 from tessera.llm.textnum import LOWER, U64, hash_spans, mix, shingles, slices, text_bytes, unique_per_row, words
 
 SEEDS = 4
-SMALL = 32
+SMALL = 256
 #: About so many sets of a group, by a hash, tell what most of it holds; any content would give the same links.
 VOTERS = 64
 BITS = 512
@@ -380,14 +381,20 @@ def jaccard_components(
         mixed = cut(placed.join(mixed, "key", "left_semi"), "mixed")
         if not mixed.take(1):
             break
-        few = mixed.where((F.col("size") <= SMALL) & (F.col("id") != F.col("hub"))).join(facts.select("id", "n"), "id")
-        u, v = (few.select("key", F.col("id").alias(c), F.col("component_id").alias(f"{c}_of"), F.col("n").alias(f"{c}_n")) for c in "uv")
-        sized = F.expr(f"abs(u_n - v_n) * {100 + percent} <= (u_n + v_n) * {100 - percent}")
-        likely = _likely(u.join(v, "key").where(sized & F.expr("u < v and u_of <> v_of")).select("u", "v"), facts, percent)
+        few = mixed.where((F.col("size") <= SMALL) & (F.col("id") != F.col("hub"))).select("key", "id", "component_id").join(facts, "id")
+        u, v = _side(few, "u"), _side(few, "v")
+        meets = (F.col("u_key") == F.col("v_key")) & (F.col("u") < F.col("v")) & (F.col("u_component_id") != F.col("v_component_id"))
+        likely = cut(u.join(v, meets & _admissible(percent)).select("u", "v").distinct(), "pairs")
         if more:  # later rounds only deal sets of large buckets again
             sets = sets.unionByName(_sets(docs, both(likely).distinct().join(known, "id", "left_anti"), id_col, text_col, k))
-            more = False
-        apart = _apart(mixed.where(F.col("size") > SMALL).select(F.col("hub").alias("g"), "id").distinct(), sets, counts, percent)
+        large = mixed.where(F.col("size") > SMALL)
+        if more:  # buckets of the cells of one family lie in one another: one group for each hub
+            groups = large.select(F.col("hub").alias("g"), "id").distinct()
+        else:  # of buckets with the same sets, one
+            same_sets = large.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+            groups = large.join(same_sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select(F.col("key").alias("g"), "id")
+        more = False
+        apart = _apart(groups, sets, counts, percent)
         closest = apart.groupBy("g").agg(F.min(F.struct("off", "id"))["id"].alias("u"))
         buckets = _hubs(apart.select("id", F.posexplode("keys").alias("pos", "key")))
         stars = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
