@@ -72,7 +72,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` early: all that is made of them must have been written."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch)
 
 
 @dataclass(frozen=True)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import COUNTERS, IdFilter, counter_of, counter_rows, cut, released, summed
+from tessera.llm.common import COUNTERS, IdFilter, counter_of, counter_rows, cut, released, spent, summed
 from tessera.llm.components import components
 from tessera.llm.textnum import LOWER, U64, hash_spans, mix, shingles, slices, text_bytes, unique_per_row, words
 
@@ -60,7 +60,7 @@ SEEDS = 4
 SMALL = 256
 #: About so many sets of a group, by a hash, tell what most of it holds; any content would give the same links.
 VOTERS = 64
-BITS = 512
+BITS = 2048
 
 
 def difference(total, percent: int):
@@ -250,7 +250,9 @@ def _hubs(rows: DataFrame) -> DataFrame:
     """``(key, id, hub, size)`` for the keys that several ids of ``(key, id, pos)`` share."""
     rows = cut(rows.groupBy("key", "id").agg(F.min("pos").alias("pos")), "keyed")
     least = rows.groupBy("key").agg(F.min(F.struct("pos", "id"))["id"].alias("hub"), F.count("*").alias("size")).where("size > 1")
-    return cut(rows.join(least, "key").select("key", "id", "hub", "size"), "buckets")
+    out = cut(rows.join(least, "key").select("key", "id", "hub", "size"), "buckets")
+    spent(rows)
+    return out
 
 
 def _admissible(percent: int) -> Column:
@@ -358,15 +360,11 @@ def jaccard_components(
     sk = cut(
         texts.where("id is not null").mapInArrow(released(_sketches(k, counts, percent)), f"id long, h1 long, n long, {names}, keys array<long>"), "sketches"
     )
-    shared = (
-        sk.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    )
-    keyed = cut(
-        sk.select("id", "h1", "keys").mapInArrow(_shared_keys(IdFilter.of(cut(shared, "shared"), "key")), "key long, id long, h1 long, pos int"), "keys"
-    )
+    shared = cut(sk.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    keyed = cut(sk.select("id", "h1", "keys").mapInArrow(_shared_keys(IdFilter.of(shared, "key")), "key long, id long, h1 long, pos int"), "keys")
     buckets = _hubs(keyed.join(copies.select("id", "h1"), ["id", "h1"], "left_anti").select("key", "id", "pos"))
-    ids = buckets.select("id").distinct()
-    facts = cut(sk.select("id", "n", *SKETCH).join(ids, "id", "left_semi"), "facts")
+    facts = cut(sk.select("id", "n", *SKETCH).join(buckets.select("id").distinct(), "id", "left_semi"), "facts")
+    spent(sk, shared, keyed, first)
     both = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("id"))
 
     likely = _likely(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")), facts, percent)
