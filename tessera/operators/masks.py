@@ -1,8 +1,8 @@
 """Mask filters: keep or drop boxes by the share of their area inside masks.
 
 ``masks`` has ``image, kind, polygon_id, ring_id, ring``; ring 0 is a polygon's
-outline, others are holes.  Polygons of an image and kind are disjoint, or made
-so by ``dissolve``.
+outline, others are holes.  Polygons of an image may overlap: what several of
+them cover counts once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import area, bounds, overlap_area
+from tessera.functions.geometry import area, bounds, clip, counter_clockwise, let
 
 TINY = 1e-12
 
@@ -23,9 +23,11 @@ def covered(boxes: DataFrame, masks: DataFrame, cell: float = 64.0) -> DataFrame
 
     Boxes and mask rings meet by grid cells of side ``cell``, so a box is only
     clipped by rings whose bounds come near.  Holes count against their polygon.
+    A box that several polygons reach gets the area of the union of their parts
+    inside it, from those parts alone.
     """
     b = boxes.select("image", "ordinal", "ring", bounds(F.col("ring")).alias("__b"))
-    m = masks.select("image", F.col("ring_id").alias("__hole"), F.col("ring").alias("__mask"), bounds(F.col("ring")).alias("__m"))
+    m = masks.select("image", "polygon_id", F.col("ring_id").alias("__hole"), F.col("ring").alias("__mask"), bounds(F.col("ring")).alias("__m"))
     span = lambda c, lo, hi: F.sequence(F.floor(F.col(f"{c}.{lo}") / cell), F.floor(F.col(f"{c}.{hi}") / cell))
     deal = lambda df, c: df.withColumn("__cx", F.explode(span(c, "x0", "x1"))).withColumn("__cy", F.explode(span(c, "y0", "y1")))
     x0, y0 = F.greatest("__b.x0", "__m.x0"), F.greatest("__b.y0", "__m.y0")
@@ -33,10 +35,19 @@ def covered(boxes: DataFrame, masks: DataFrame, cell: float = 64.0) -> DataFrame
         (x0 <= F.least("__b.x1", "__m.x1")) & (y0 <= F.least("__b.y1", "__m.y1"))
         & (F.col("__cx") == F.floor(x0 / cell)) & (F.col("__cy") == F.floor(y0 / cell))
     )
-    inside = overlap_area(F.col("__mask"), F.col("ring")) * F.when(F.col("__hole") > 0, -1.0).otherwise(1.0)
-    sums = (
-        deal(b, "__b").join(deal(m, "__m"), ["image", "__cx", "__cy"]).where(meets)
-        .select("image", "ordinal", inside.alias("__in")).groupBy("image", "ordinal").agg(F.sum("__in").alias("__in"))
+    met = deal(b, "__b").join(deal(m, "__m"), ["image", "__cx", "__cy"]).where(meets)
+    part = let(clip(F.col("__mask"), counter_clockwise(F.col("ring"))), lambda p: F.struct(p.alias("ring"), area(p).alias("area"), F.col("polygon_id").alias("polygon_id")))
+    met = met.select("image", "ordinal", "polygon_id", F.when(F.col("__hole") > 0, -1.0).otherwise(1.0).alias("__sign"), part.alias("__part"))
+    parts = met.groupBy("image", "ordinal").agg(
+        F.sum(F.col("__sign") * F.col("__part.area")).alias("__sum"), F.min("polygon_id").alias("__p0"), F.max("polygon_id").alias("__p1"),
+        F.collect_list(F.when(F.col("__part.area") > 0, F.struct("__part.polygon_id", "__part.ring"))).alias("__parts"),
+    )
+    key = F.col("__parts").isNotNull() & (F.col("__p0") < F.col("__p1")) & (F.size("__parts") > 1)
+    united = F.pandas_udf(_union_area, "double")(F.when(key, F.col("__parts")))
+    sums = parts.withColumn("__union", united).select(
+        "image", "ordinal",
+        # parts that don't overlap keep their plain sum
+        F.when(F.col("__union") < F.col("__sum") * (1 - 1e-9), F.col("__union")).otherwise(F.col("__sum")).alias("__in"),
     )
     known = masks.select("image").distinct().withColumn("has_mask", F.lit(True))
     out = boxes.join(sums, ["image", "ordinal"], "left").join(known, "image", "left")
@@ -46,6 +57,21 @@ def covered(boxes: DataFrame, masks: DataFrame, cell: float = 64.0) -> DataFrame
     ).drop("__in")
 
 
+def _union_area(parts: pd.Series) -> pd.Series:
+    """The area of the union of a box's mask parts; null where there are none to unite."""
+
+    def one(rings: list | None) -> float | None:
+        if rings is None:
+            return None
+        return sum(_area(t) for t in _trapezoids([(r["polygon_id"], r["ring"]) for r in rings]))
+
+    return parts.map(one)
+
+
+def _area(ring: list[tuple[float, float]]) -> float:
+    return abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
 def mask_filter(boxes: DataFrame, masks: DataFrame, threshold: float, criterion: str, tiny_stays: bool = True) -> DataFrame:
     """Filter by the covered share: ``area_inside`` keeps shares of at least the threshold, ``area_overlap`` those below.
 

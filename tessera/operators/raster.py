@@ -231,7 +231,7 @@ def degrade_tile(bands: np.ndarray, nodata: float | None, steps: list[dict], see
             if rng.random() < step.get("gaussian_prob", 0.5):
                 noise = rng.normal(0, rng.uniform(*step.get("sigma", (0.005, 0.05))), (fields, *bands.shape[1:]))
             else:
-                rate = np.clip(bands[:fields], 0, 1)
+                rate = np.clip(bands[:fields], 0, None)
                 noise = (rng.poisson(rate) - rate) * rng.uniform(*step.get("scale", (0.01, 0.1)))
             bands = np.where(valid, bands + noise, bands)
         elif op == "resize":

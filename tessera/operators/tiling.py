@@ -58,15 +58,23 @@ def halo_grid(images: DataFrame, tile_size: int, overlap: int) -> DataFrame:
 
 
 def output_window(tiles: DataFrame, scale: float) -> DataFrame:
-    """Where a core lands after scaling: edges rounded half to even, at least one pixel."""
+    """Where a core lands after shrinking by ``scale``: edges rounded half to even, at least one pixel."""
     out = tiles
     for axis, n in (("x", "w"), ("y", "h")):
-        lo = F.rint(F.col(f"core_{axis}") * scale)
-        hi = F.rint((F.col(f"core_{axis}") + F.col(f"core_{n}")) * scale)
+        lo = F.rint(F.col(f"core_{axis}") / scale)
+        hi = F.rint((F.col(f"core_{axis}") + F.col(f"core_{n}")) / scale)
         out = out.withColumns({f"out_{axis}": lo.cast("int"), f"out_{n}": F.greatest(F.lit(1), (hi - lo).cast("int"))})
     return out
 
 
+def halo_crop(tiles: DataFrame, scale: float) -> DataFrame:
+    """Add ``crop_x, crop_y``: where the core begins in a read window that was shrunk by ``scale``.
+
+    With ``out_w, out_h`` of ``output_window`` this is the part of it to write.
+    """
+    return tiles.withColumns({f"crop_{a}": F.rint((F.col(f"core_{a}") - F.col(f"read_{a}")) / scale).cast("int") for a in "xy"})
+
+
 def parse_tile_names(tiles: DataFrame, name: str = "tile") -> DataFrame:
     """Add ``source_image, x_off, y_off``; names of another form are dropped."""
     part = lambda k: F.regexp_extract(F.col(name), TILE_NAME, k)

@@ -193,12 +193,18 @@ def predict(tables: Tables, detector: Callable, config: Config) -> DataFrame:
     return detections.suppress(found, config.get("prediction.global_nms_iou", 0.2))
 
 
-def evaluate(predictions: DataFrame, truths: DataFrame, raw: DataFrame | None, threshold: float, names: dict[int, str] | None = None):
+def evaluate(
+    predictions: DataFrame, truths: DataFrame, raw: DataFrame | None, threshold: float, names: dict[int, str] | None = None, predicted: DataFrame | None = None
+):
     """Evaluation of filtered predictions: ``(metrics table, evaluation rows)``.
 
-    Only images with ground truth count.  Rows of ``raw`` that the filters
-    removed are reported as deleted, outside the counts.
+    Only images with ground truth count, and of these only those of
+    ``predicted``, a table of the images that have a prediction file, where it
+    is given.  Rows of ``raw`` that the filters removed are reported as
+    deleted, outside the counts.
     """
+    if predicted is not None:
+        truths = truths.join(predicted.select("image").distinct(), "image", "left_semi")
     with_truth = truths.select("image").distinct()
     p = predictions.join(with_truth, "image", "left_semi")
     p, t = detections.labelled(p, truths, detections.match(p, truths, threshold))

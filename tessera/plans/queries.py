@@ -218,6 +218,21 @@ def mask_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("image", "ordinal", micro(F.col("fraction")).alias("fraction"), "has_mask")
 
 
+_UNION = f"""WITH {BOXES}, m AS (SELECT p_partkey AS image, (8 + p_size % 14)::DOUBLE AS e FROM part WHERE p_partkey % 5 <> 0),
+  rects AS (SELECT image, 1e0 AS sign, -2e1 AS x0, e + 219e-4 AS x1, 40071e-4 AS y0 FROM m UNION ALL SELECT image, 1e0, e - 50137e-4, e + 4e0, -2e1 FROM m UNION ALL SELECT image, -1e0, e - 50137e-4, e + 219e-4, 40071e-4 FROM m),
+  met AS (SELECT b.image, b.ordinal, sign, [{{'x': x0, 'y': y0}}, {{'x': x1, 'y': y0}}, {{'x': x1, 'y': 6e1}}, {{'x': x0, 'y': 6e1}}] AS sring, ring AS wring FROM boxes b JOIN rects r ON b.image = r.image),
+  {sql_clipped('met')}, inside AS (SELECT image, ordinal, sum(sign * {sql_area('p')}) AS area_in FROM clip4 GROUP BY ALL)"""
+
+
+@query(f"{_UNION} SELECT image, ordinal FROM inside JOIN boxes USING (image, ordinal) WHERE area_in / {sql_area('ring')} >= 4.321e-1")
+def mask_union_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes by their share inside two mask polygons that overlap: what both cover counts once."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.lit(8) + F.col("p_size") % 14).cast("double").alias("e")).where("image % 5 <> 0")
+    both = F.array(rectangle(F.lit(-20.0), F.lit(4.0071), F.col("e") + 0.0219, F.lit(60.0)), rectangle(F.col("e") - 5.0137, F.lit(-20.0), F.col("e") + 4.0, F.lit(60.0)))
+    m = p.select("image", F.lit("coastline").alias("kind"), F.posexplode(both).alias("polygon_id", "ring"), F.lit(0).alias("ring_id"))
+    return masks.covered(boxes(spark, sf_dir), m).where("has_mask and fraction >= 0.4321").select("image", "ordinal")
+
+
 @query(f"{_COVERED} SELECT image, ordinal, class_id FROM share WHERE fraction IS NULL OR fraction >= 7.77e-1")
 def mask_fraction_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.coastline_filter(boxes(spark, sf_dir), coastlines(spark, sf_dir), 0.777).select("image", "ordinal", "class_id")
@@ -252,17 +267,26 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {IMAGES}, g AS (SELECT *, unnest(range(ceil(width / 224e0)::INT)) * 224 AS cx FROM images)
   SELECT image, cx::INT AS core_x, least(224, width - cx)::INT AS core_w, (cx - least(cx, 16))::INT AS read_x,
     (least(224, width - cx) + least(cx, 16) + least(width - cx - least(224, width - cx), 32 - least(cx, 16)))::INT AS read_w,
-    greatest(1, round_even((cx + least(224, width - cx)) * 3e-1, 0)::INT - round_even(cx * 3e-1, 0)::INT)::INT AS out_w FROM g""")
+    greatest(1, round_even((cx + least(224, width - cx)) / 3e-1, 0)::INT - round_even(cx / 3e-1, 0)::INT)::INT AS out_w FROM g""")
 def halo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tiling.output_window(tiling.halo_grid(images(spark, sf_dir), 256, 32), 0.3).where("row = 0")
     return t.select("image", *[F.col(c).cast("int").alias(c) for c in ("core_x", "core_w", "read_x", "read_w", "out_w")])
 
 
-@query()
+def _sql_halo(at: str, length: str, a: str, n: str) -> str:
+    core = f"least(224, {length} - {at})"
+    before = f"least({at}, 16)"
+    return f"""{at}::INT AS core_{a}, ({core})::INT AS core_{n}, ({at} - {before})::INT AS read_{a},
+    ({core} + {before} + least({length} - {at} - {core}, 32 - {before}))::INT AS read_{n}, round_even({at} / 3e-1, 0)::INT AS out_{a},
+    greatest(1, round_even(({at} + {core}) / 3e-1, 0)::INT - round_even({at} / 3e-1, 0)::INT)::INT AS out_{n}, round_even({before} / 3e-1, 0)::INT AS crop_{a}"""
+
+
+@query(f"""WITH {IMAGES}, g AS (SELECT *, unnest(range(ceil(width / 224e0)::INT)) * 224 AS cx FROM (SELECT *, unnest(range(ceil(height / 224e0)::INT)) * 224 AS cy FROM images))
+  SELECT image, {_sql_halo('cx', 'width', 'x', 'w')}, {_sql_halo('cy', 'height', 'y', 'h')} FROM g""")
 def halo_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both axes of every tile; ``halo_grid`` is the x axis of its first row, as far as its SQL goes."""
-    t = tiling.output_window(tiling.halo_grid(images(spark, sf_dir), 256, 32), 0.3)
-    names = [f"{k}_{c}" for k in ("core", "read", "out") for c in "xywh"]
+    """Both axes of every tile: core, read window, output window and crop; ``halo_grid`` is the x axis of the first row."""
+    t = tiling.halo_crop(tiling.output_window(tiling.halo_grid(images(spark, sf_dir), 256, 32), 0.3), 0.3)
+    names = [f"{k}_{c}" for k in ("core", "read", "out") for c in "xywh"] + ["crop_x", "crop_y"]
     return t.select("image", *[F.col(c).cast("int").alias(c) for c in names])
 
 
@@ -428,6 +452,15 @@ def uniform_tile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("image", "tile", F.array_max("pixels").alias("hi"))
 
 
+@query(f"""WITH {PIXELS}, t AS (SELECT image, unnest(range(4)) AS k, pixels FROM pixels), u AS (SELECT image, k, list_slice(pixels, k * 18 + 1, least(k * 18 + 18, 64)) AS part FROM t)
+  SELECT image, image::VARCHAR || '_' || (k * 18) || '_0' AS tile, line::INT AS line, list_sum(part)::BIGINT AS total FROM u, range(18) r(line)
+  WHERE list_min(part) <> list_max(part) OR (len(part) < 18 AND list_max(part) <> 0)""")
+def uniform_tile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of every line of the kept tiles."""
+    total = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v)
+    return _filled_tiles(spark, sf_dir).select("image", "tile", F.col("line").cast("int").alias("line"), total.alias("total"))
+
+
 @query()
 def uniform_tile_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of the kept tiles; ``uniform_tile_filter`` is their first line, as far as its SQL goes."""

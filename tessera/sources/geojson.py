@@ -22,6 +22,10 @@ COLLECTION = T.StructType([
 ])
 
 
+#: Masks: coordinates as text, since their depth depends on the geometry's type.
+MASKS = "features array<struct<geometry: struct<type: string, coordinates: string>>>"
+
+
 def stem(path: Column) -> Column:
     """File name without folders and the last extension."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
@@ -59,10 +63,12 @@ def valid_detections(features: DataFrame, names: dict[int, str] | None = None, t
 
 
 def polygons(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    """Mask rings ``image, kind, polygon_id, ring_id, ring`` of all polygons of the files."""
-    df = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
-    rows = df.select(stem(F.input_file_name()).alias("image"), F.posexplode("features").alias("polygon_id", "f"))
-    rings = rows.select("image", F.lit(kind).alias("kind"), "polygon_id", F.posexplode("f.geometry.coordinates").alias("ring_id", "c"))
+    """Mask rings ``image, kind, polygon_id, ring_id, ring`` of all Polygon and MultiPolygon features of the files."""
+    df = spark.read.schema(MASKS).option("multiLine", True).json(path)
+    parsed = lambda f, depth: F.from_json(f["geometry"]["coordinates"], "array<" * depth + "double" + ">" * depth)
+    parts = F.transform("features", lambda f: F.when(f["geometry"]["type"] == "MultiPolygon", parsed(f, 4)).when(f["geometry"]["type"] == "Polygon", F.array(parsed(f, 3))))
+    rows = df.select(stem(F.input_file_name()).alias("image"), F.posexplode(F.flatten(F.filter(parts, lambda p: p.isNotNull()))).alias("polygon_id", "p"))
+    rings = rows.select("image", F.lit(kind).alias("kind"), "polygon_id", F.posexplode("p").alias("ring_id", "c"))
     return rings.select("image", "kind", "polygon_id", "ring_id", open_ring(F.col("c")).alias("ring")).where("size(ring) >= 3")
 
 

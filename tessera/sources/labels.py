@@ -13,7 +13,11 @@ INTEGER, NUMBER = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``image, line_no, raw``: the lines of label files, numbered within each file."""
+    """``image, line_no, raw``: the lines of label files, numbered within each file.
+
+    A file of no bytes has no line; ``rasters.list_files`` lists it, and
+    ``image_profile`` keeps its image.
+    """
     whole = spark.read.option("wholetext", True).text(path)
     return whole.select(stem(F.input_file_name()).alias("image"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))
 
@@ -35,6 +39,11 @@ def class_profile(lines: DataFrame) -> DataFrame:
     return t.withColumn("__bad", bad).where("__bad is null or line_no < __bad").groupBy("image", "class_id").agg(F.count("*").alias("n"))
 
 
+def image_profile(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """``image, class_id, n`` with a row of class null and 0 for each image that has no label: a background image."""
+    return images.select("image").distinct().join(class_profile(lines), "image", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def format_lines(labels: DataFrame) -> DataFrame:
     """Add ``line``: the class and eight coordinates with six decimals."""
     xy = F.flatten(F.transform("corners", lambda p: F.array(p["x"], p["y"])))

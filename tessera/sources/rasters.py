@@ -18,14 +18,22 @@ EXTENSIONS = "*.{tif,TIF,tiff,TIFF}"
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.tif") -> DataFrame:
-    """``path, length`` of the files, in path order; contents aren't read.  No file is an error."""
-    found = (
-        spark.read.format("binaryFile").option("pathGlobFilter", EXTENSIONS if recursive else pattern)
-        .option("recursiveFileLookup", recursive).load(path).select("path", "length")
-    )
-    if not found.take(1):
+    """``path, length`` of the files, in path order; contents aren't read.  No file is an error.
+
+    Files of no bytes are listed too, which Spark's readers leave out.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    glob = jvm.org.apache.hadoop.fs.GlobFilter(EXTENSIONS if recursive else pattern)
+    listed, found = fs.listFiles(top, recursive), []
+    while listed.hasNext():
+        f = listed.next()
+        if glob.accept(f.getPath()):
+            found.append((f.getPath().toString(), f.getLen()))
+    if not found:
         raise FileNotFoundError(f"no {pattern} under {path}")
-    return found.orderBy("path")
+    return spark.createDataFrame(found, "path string, length long").orderBy("path")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:

@@ -68,6 +68,26 @@ def test_match(spark, t):
     assert {(r["p_ordinal"], r["t_ordinal"]) for r in m.collect()} == match_of(preds, truths, t)
 
 
+def test_overlapping_masks_count_once(spark):
+    sq = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    b = frame(spark, [("a", 0, 0, 0.9, sq(0, 0, 10, 10)), ("a", 1, 0, 0.8, sq(20, 0, 30, 10)), ("b", 0, 0, 0.8, sq(0, 0, 1, 1))])
+    ring = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    rows = [("a", "coastline", 0, 0, ring(sq(0, 0, 3, 10))), ("a", "coastline", 1, 0, ring(sq(0, 0, 3, 10))), ("a", "coastline", 2, 0, ring(sq(2, 5, 5, 50)))]
+    rows += [("a", "coastline", 2, 1, ring(sq(4, 6, 4.5, 8))), ("a", "coastline", 3, 0, ring(sq(18, -5, 24, 50)))]
+    m = spark.createDataFrame(rows, "image string, kind string, polygon_id int, ring_id int, ring array<struct<x:double,y:double>>")
+    got = {(r["image"], r["ordinal"]): r["fraction"] for r in masks.covered(b, m).collect()}
+    assert got[("a", 0)] == pytest.approx((30 + 10 - 1) / 100) and got[("a", 1)] == pytest.approx(0.4) and got[("b", 0)] == 0
+
+
+def test_evaluation_only_of_images_with_predictions(spark):
+    sq = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    p = frame(spark, [("a", 0, 0, 0.5, sq)])
+    t = frame(spark, [("a", 0, 0, None, sq), ("b", 0, 0, None, sq), ("c", 0, 0, None, sq)])
+    files = spark.createDataFrame([("a",), ("b",)], "image string")
+    count = lambda **how: {r["Class"]: (r["TP"], r["FP"], r["FN"]) for r in evaluate(p, t, None, 0.5, **how)[0].collect()}["ALL_CLASSES"]
+    assert count() == (1, 0, 2) and count(predicted=files) == (1, 0, 1)
+
+
 def test_match_tie_takes_the_later_truth(spark):
     sq = [(0, 0), (1, 0), (1, 1), (0, 1)]
     m = detections.match(frame(spark, [("a", 0, 0, 0.5, sq)]), frame(spark, [("a", 7, 0, None, sq), ("a", 8, 0, None, sq)]), 0.5)
@@ -144,10 +164,12 @@ def test_tiles(spark):
 
 def test_halo(spark):
     df = spark.createDataFrame([("a", 500, 300)], "image string, width int, height int")
-    rows = tiling.output_window(tiling.halo_grid(df, 200, 40), 0.5).collect()
+    rows = tiling.halo_crop(tiling.output_window(tiling.halo_grid(df, 200, 40), 2.0), 2.0).collect()
     assert sum(r["core_w"] * r["core_h"] for r in rows) == 500 * 300
     assert all(0 <= r["read_x"] <= r["core_x"] and r["read_x"] + r["read_w"] <= 500 and r["read_w"] <= r["core_w"] + 40 for r in rows)
     assert sum(r["out_w"] for r in rows if r["core_y"] == 0) == 250
+    assert sum(r["out_w"] * r["out_h"] for r in rows) == 250 * 150
+    assert all((r["crop_x"], r["crop_y"]) == ((r["core_x"] - r["read_x"]) // 2, (r["core_y"] - r["read_y"]) // 2) for r in rows)
 
 
 def test_uniform_tiles(spark):
@@ -283,13 +305,13 @@ def test_whole_grids_tiles_and_rows(spark, sf):
         for at in range(0, n, 224):
             core, before = min(224, n - at), min(at, 16)
             wide = core + before + min(n - at - core, 32 - before)
-            yield at, core, at - before, wide, round(at * 0.3), max(1, round((at + core) * 0.3) - round(at * 0.3))
+            yield at, core, at - before, wide, round(at / 0.3), max(1, round((at + core) / 0.3) - round(at / 0.3)), round(before / 0.3)
 
     want = [
-        (r["image"], x, y, w, h, rx, ry, rw, rh, ox, oy, ow, oh)
+        (r["image"], x, y, w, h, rx, ry, rw, rh, ox, oy, ow, oh, cx, cy)
         for r in derived.images(spark, sf).collect()
-        for x, w, rx, rw, ox, ow in axis(r["width"])
-        for y, h, ry, rh, oy, oh in axis(r["height"])
+        for x, w, rx, rw, ox, ow, cx in axis(r["width"])
+        for y, h, ry, rh, oy, oh, cy in axis(r["height"])
     ]
     assert sorted(map(tuple, queries.halo_grid_all(spark, sf).collect())) == sorted(want)
     rows = {r["image"]: r["pixels"] for r in derived.embedding_rows(spark, sf).collect()}
@@ -363,6 +385,14 @@ def test_geojson_files(spark, tmp_path):
     assert [(r["image"], r["class_name"], len(r["ring"])) for r in good] == [("scene_1", "zero", 4), ("scene_1", "1", 4)]
     assert geojson.valid_detections(got, truth=True).where("confidence is not null").count() == 0
     assert geojson.polygons(spark, str(f), "coastline").count() == 3
+    many = tmp_path / "masks" / "scene_2.geojson"
+    many.parent.mkdir()
+    square = lambda x: f"[[{x},0],[{x + 2},0],[{x + 2},2],[{x},2],[{x},0]]"
+    feature = '{{"type":"Feature","properties":{{}},"geometry":{{"type":"{}","coordinates":{}}}}}'.format
+    parts = feature("MultiPolygon", f"[[{square(0)}],[{square(5)},{square(5.5)}]]")
+    many.write_text('{"features":[' + ",".join([feature("Polygon", f"[{square(9)}]"), parts, feature("Point", "[1,2]"), '{"geometry":null}']) + "]}")
+    rings = geojson.polygons(spark, str(many), "coastline").orderBy("polygon_id", "ring_id").collect()
+    assert [(r["polygon_id"], r["ring_id"], r["ring"][0]["x"]) for r in rings] == [(0, 0, 9), (1, 0, 0), (2, 0, 5), (2, 1, 5.5)]
     geojson.write_collections(rows, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 1
 
