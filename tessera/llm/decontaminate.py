@@ -13,7 +13,7 @@ byte by byte.  The benchmark goes to the tasks in blocks of at most
 
 Defined results: null, empty and short texts match nothing; items shorter than
 a q-gram, empty or null are left out; items that repeat match each on its own;
-rows with a null id are reported with a null id.
+rows with a null id are reported with a null id, and so are items without one.
 """
 
 from __future__ import annotations
@@ -226,7 +226,7 @@ def matches(
 
 
 def _finder(index: Index):
-    item = np.array([-1 if i is None else i for i in index.item], np.int64)
+    item, item_ids = np.array([-1 if i is None else i for i in index.item], np.int64), pa.array(index.item, pa.int64())
     if len(item):
         new = np.append(True, (item[1:] != item[:-1]) | (np.array(index.start)[1:] == 0))
         group = np.cumsum(new) - 1
@@ -243,7 +243,7 @@ def _finder(index: Index):
                 first = letters[at[m["row"]]]
                 w = m["window"]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(m["row"])), pa.array(item[w]), pa.array(number[w].astype(np.int32)), pa.array(of_item[w].astype(np.int32)),
+                    [b.column("id").take(pa.array(m["row"])), item_ids.take(pa.array(w)), pa.array(number[w].astype(np.int32)), pa.array(of_item[w].astype(np.int32)),
                      pa.array(letters[m["start"]] - first), pa.array(letters[m["end"]] - first), pa.array(m["edits"].astype(np.int32))],
                     ["id", "item_id", "window", "item_windows", "start", "end", "edits"],
                 )

@@ -87,3 +87,12 @@ def test_empty(spark):
     full = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert dc.matches(full, bench).collect() == []
     assert dc.without_contaminated(full, bench).count() == 1
+
+
+def test_item_without_id_is_not_another(spark):
+    from tessera.llm.decontaminate import matches
+
+    a, b = (" ".join(f"{c}{i}word" for i in range(30)) for c in "ab")
+    items = spark.createDataFrame([(None, a), (-1, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y")], "doc_id long, text string")
+    assert sorted((r["id"], r["item_id"]) for r in matches(docs, items).collect()) == [(1, None), (2, -1)]
