@@ -179,8 +179,24 @@ def _identities(k: int):
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
-def _sketches(k: int, counts: np.ndarray, percent: int):
-    """``(id, h1, n, s0.., keys)``: identity, size, bit sketch and join keys of each row's set."""
+def _copy_filters(members: DataFrame) -> tuple[IdFilter, IdFilter]:
+    """A filter of the rows that are copies, and one of the others that the first takes for copies too."""
+    marked = members.select("id", "rep", F.col("id").bitwiseXOR(F.col("h1")).alias("mark"))
+    copied = IdFilter.of(marked.where("id <> rep"), "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(copied.may_hold(np.asarray(b.column("mark")))))
+
+    mistaken = cut(marked.where("id = rep").select("mark").mapInArrow(run, "mark long"), "mistaken")
+    return copied, IdFilter.of(mistaken, "mark")
+
+
+def _sketches(k: int, counts: np.ndarray, percent: int, copied: IdFilter, mistaken: IdFilter):
+    """``(id, h1, n, s0.., keys)``: identity, size, bit sketch and join keys of each row's set.
+
+    Rows that are copies for sure are left out: their keys would look shared.
+    """
     counts = counts.astype(np.int32 if counts.max() < 1 << 31 else np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +209,12 @@ def _sketches(k: int, counts: np.ndarray, percent: int):
                 some = np.flatnonzero(n)
                 if len(some):
                     h1[some] = np.add.reduceat(mix(h ^ U64(0x243F6A8885A308D3)), np.append(0, np.cumsum(n[some])[:-1]))
+                mark = np.asarray(b.column("id")) ^ h1.view(np.int64)
+                stays = (n > 0) & (~copied.may_hold(mark) | mistaken.may_hold(mark))
+                use = stays[row]
+                h, row = h[use], (np.cumsum(stays) - 1)[row[use]]
+                b, n, h1 = b.filter(pa.array(stays)), n[stays], h1[stays]
+                m = b.num_rows
                 bits = np.zeros(m * BITS, np.uint8)
                 odd, times = np.unique(row * BITS + (h >> U64(8)).astype(np.int64) % BITS, return_counts=True)
                 bits[odd] = times & 1
@@ -273,8 +295,24 @@ def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return cut(both.where(_admissible(percent)).select("u", "v").distinct(), "pairs")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("id"))
+
+
+def _picked(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of ``ids`` and a few more: most of the others stay out of the shuffle."""
+    wanted = IdFilter.of(ids.distinct(), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(wanted.may_hold(np.asarray(b.column("id")))))
+
+    return sets.mapInArrow(released(run), "id long, set array<long>")
+
+
 def _linked(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets reach the threshold."""
+    sets = _picked(sets, _ends(likely))
     both = (
         likely.join(_side(sets, "u"), "u").join(_side(sets, "v"), "v")
         .select("u", "v", F.size(F.array_intersect("u_set", "v_set")).alias("both"), (F.size("u_set") + F.size("v_set")).alias("total"))
@@ -318,9 +356,10 @@ def _differences(counts: np.ndarray, percent: int):
 def _apart(groups: DataFrame, sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """What ``_differences`` gives for the groups ``(g, id)``."""
     groups = cut(groups, "groups")
+    sets = cut(_picked(sets, groups.select("id")), "large")
     size = groups.groupBy("g").agg(F.count("*").alias("size"))
     voters = groups.join(size, "g").where(F.pmod(F.xxhash64("id", "g"), F.greatest(F.lit(1), F.floor(F.col("size") / VOTERS))) == 0).select("g", "id")
-    votes = cut(voters.join(sets, "id").select("g", F.explode("set").alias("h")).groupBy("g", "h").agg(F.count("*").alias("n")), "votes")
+    votes = cut(voters.join(_picked(sets, voters.select("id")), "id").select("g", F.explode("set").alias("h")).groupBy("g", "h").agg(F.count("*").alias("n")), "votes")
     needed = voters.groupBy("g").agg(F.count("*").alias("voters"))
     common = votes.join(needed, "g").where("2 * n > voters").groupBy("g").agg(F.collect_list("h").alias("common"))
     rows = groups.join(sets, "id").join(common, "g", "left").select("g", "id", "set", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
@@ -358,17 +397,15 @@ def jaccard_components(
 
     names = ", ".join(f"{s} long" for s in SKETCH)
     sk = cut(
-        texts.where("id is not null").mapInArrow(released(_sketches(k, counts, percent)), f"id long, h1 long, n long, {names}, keys array<long>"), "sketches"
+        texts.where("id is not null").mapInArrow(released(_sketches(k, counts, percent, *_copy_filters(members))), f"id long, h1 long, n long, {names}, keys array<long>"), "sketches"
     )
     shared = cut(sk.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     keyed = cut(sk.select("id", "h1", "keys").mapInArrow(_shared_keys(IdFilter.of(shared, "key")), "key long, id long, h1 long, pos int"), "keys")
     buckets = _hubs(keyed.join(copies.select("id", "h1"), ["id", "h1"], "left_anti").select("key", "id", "pos"))
     facts = cut(sk.select("id", "n", *SKETCH).join(buckets.select("id").distinct(), "id", "left_semi"), "facts")
     spent(sk, shared, keyed, first)
-    both = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("id"))
-
     likely = _likely(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")), facts, percent)
-    known = cut(both(likely).unionByName(buckets.where(F.col("size") > SMALL).select("id")).distinct(), "known")
+    known = cut(_ends(likely).unionByName(buckets.where(F.col("size") > SMALL).select("id")).distinct(), "known")
     sets, more = _sets(docs, known, id_col, text_col, k), True
     found = components(_linked(likely, sets, percent).unionByName(same.select("u", "v")))
     while True:
@@ -384,7 +421,7 @@ def jaccard_components(
         meets = (F.col("u_key") == F.col("v_key")) & (F.col("u") < F.col("v")) & (F.col("u_component_id") != F.col("v_component_id"))
         likely = cut(u.join(v, meets & _admissible(percent)).select("u", "v").distinct(), "pairs")
         if more:  # later rounds only deal sets of large buckets again
-            sets = sets.unionByName(_sets(docs, both(likely).distinct().join(known, "id", "left_anti"), id_col, text_col, k))
+            sets = sets.unionByName(_sets(docs, _ends(likely).distinct().join(known, "id", "left_anti"), id_col, text_col, k))
         large = mixed.where(F.col("size") > SMALL)
         if more:  # buckets of the cells of one family lie in one another: one group for each hub
             groups = large.select(F.col("hub").alias("g"), "id").distinct()
