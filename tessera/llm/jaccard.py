@@ -61,6 +61,8 @@ SMALL = 256
 #: About so many sets of a group, by a hash, tell what most of it holds; any content would give the same links.
 VOTERS = 64
 BITS = 2048
+#: So many bits of a key are counted to tell whether it may be shared: fewer bits travel, and more keys may seem shared.
+COUNTED = 48
 
 
 def difference(total, percent: int):
@@ -269,12 +271,13 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
-    """``(key, id, hub, size)`` for the keys that several ids of ``(key, id, pos)`` share."""
-    rows = cut(rows.groupBy("key", "id").agg(F.min("pos").alias("pos")), "keyed")
+    """``(key, id, hub, size)`` for the keys that several rows of ``(key, id, pos)`` share.
+
+    Rows that share an id may have a key twice: they count twice in ``size``,
+    which only picks the way in which a bucket is compared.
+    """
     least = rows.groupBy("key").agg(F.min(F.struct("pos", "id"))["id"].alias("hub"), F.count("*").alias("size")).where("size > 1")
-    out = cut(rows.join(least, "key").select("key", "id", "hub", "size"), "buckets")
-    spent(rows)
-    return out
+    return cut(rows.join(least, "key").select("key", "id", "hub", "size"), "buckets")
 
 
 def _admissible(percent: int) -> Column:
@@ -399,7 +402,8 @@ def jaccard_components(
     sk = cut(
         texts.where("id is not null").mapInArrow(released(_sketches(k, counts, percent, *_copy_filters(members))), f"id long, h1 long, n long, {names}, keys array<long>"), "sketches"
     )
-    shared = cut(sk.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    counted = sk.select(F.explode("keys").alias("key")).select(F.col("key").bitwiseAND(F.lit((1 << COUNTED) - 1)).alias("key"))
+    shared = cut(counted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     keyed = cut(sk.select("id", "h1", "keys").mapInArrow(_shared_keys(IdFilter.of(shared, "key")), "key long, id long, h1 long, pos int"), "keys")
     buckets = _hubs(keyed.join(copies.select("id", "h1"), ["id", "h1"], "left_anti").select("key", "id", "pos"))
     facts = cut(sk.select("id", "n", *SKETCH).join(buckets.select("id").distinct(), "id", "left_semi"), "facts")
@@ -426,8 +430,8 @@ def jaccard_components(
         if more:  # buckets of the cells of one family lie in one another: one group for each hub
             groups = large.select(F.col("hub").alias("g"), "id").distinct()
         else:  # of buckets with the same sets, one
-            same_sets = large.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-            groups = large.join(same_sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select(F.col("key").alias("g"), "id")
+            same_sets = large.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+            groups = large.join(same_sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select(F.col("key").alias("g"), "id").distinct()
         more = False
         apart = _apart(groups, sets, counts, percent)
         closest = apart.groupBy("g").agg(F.min(F.struct("off", "id"))["id"].alias("u"))
