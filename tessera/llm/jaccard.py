@@ -34,7 +34,8 @@ several components after that:
   from, so buckets about halve until none is left.
 
 So no group is compared in all its pairs, and no candidate is dropped.  Pairs
-are filtered by a bit sketch of ``BITS`` parities with the same bound and
+are filtered by a bit sketch of ``BITS`` parities with the same bound, those of
+more than ``WIDE`` shingles also by one that is as wide as their set needs, and
 verified on the full sets.  Equal sets are one vertex throughout.
 
 Defined results: words are runs of bytes other than space and 9 to 13, with A-Z
@@ -61,6 +62,8 @@ SMALL = 256
 #: About so many sets of a group, by a hash, tell what most of it holds; any content would give the same links.
 VOTERS = 64
 BITS = 2048
+#: Larger sets say too little in ``BITS`` parities.
+WIDE = 1024
 #: So many bits of a key are counted to tell whether it may be shared: fewer bits travel, and more keys may seem shared.
 COUNTED = 48
 
@@ -313,6 +316,47 @@ def _picked(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.mapInArrow(released(run), "id long, set array<long>")
 
 
+def _wide_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, n, wide)`` of each set: parities in at least four bits an element, a power of two."""
+    for b in batches:
+        at = np.asarray(b.column("set").offsets, np.int64)
+        h = np.asarray(b.column("set").flatten()).view(U64)
+        at, wide = at - at[0], []
+        for i in range(b.num_rows):
+            own = h[at[i] : at[i + 1]]
+            size = 4 << max(1, len(own)).bit_length()
+            odd = np.bincount((own >> U64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
+            wide.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), pa.array(wide, pa.binary())], ["id", "n", "wide"])
+
+
+def _near(percent: int):
+    """The pairs ``(u, v)`` that their wide sketches leave over; the longer is folded to the length of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = difference(np.asarray(b.column("u_n")) + np.asarray(b.column("v_n")), percent)
+            stays = np.ones(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("u_wide"), b.column("v_wide"), strict=True)):
+                x, y = (np.frombuffer(w.as_buffer(), np.uint8) for w in (x, y))
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(w.reshape(-1, size)) for w in (x, y))
+                stays[i] = np.bitwise_count(x ^ y).sum() <= most[i]
+            yield b.select(["u", "v"]).filter(pa.array(stays))
+
+    return run
+
+
+def _narrowed(likely: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``likely`` without the pairs of large sets that wide sketches rule out."""
+    large = facts.where(F.col("n") > WIDE).select(F.col("id").alias("u")).distinct()
+    doubtful = cut(likely.join(large, "u", "left_semi"), "doubtful")
+    ids = cut(_ends(doubtful).distinct(), "ends")
+    wide = cut(_picked(sets, ids).mapInArrow(released(_wide_sketch), "id long, n long, wide binary").join(ids, "id", "left_semi"), "wide")
+    both = doubtful.join(_side(wide, "u"), "u").join(_side(wide, "v"), "v").select("u", "v", "u_n", "v_n", "u_wide", "v_wide")
+    return likely.join(large, "u", "left_anti").unionByName(cut(both.mapInArrow(released(_near(percent)), "u long, v long"), "near"))
+
+
 def _linked(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets reach the threshold."""
     sets = _picked(sets, _ends(likely))
@@ -411,6 +455,7 @@ def jaccard_components(
     likely = _likely(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")), facts, percent)
     known = cut(_ends(likely).unionByName(buckets.where(F.col("size") > SMALL).select("id")).distinct(), "known")
     sets, more = _sets(docs, known, id_col, text_col, k), True
+    likely = cut(_narrowed(likely, facts, sets, percent), "narrowed")
     found = components(_linked(likely, sets, percent).unionByName(same.select("u", "v")))
     while True:
         placed = cut(
@@ -438,7 +483,8 @@ def jaccard_components(
         buckets = _hubs(apart.select("id", F.posexplode("keys").alias("pos", "key")))
         stars = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
         stars = stars.unionByName(apart.join(closest, "g").select("u", F.col("id").alias("v")).where("u <> v"))
-        links = _linked(likely, sets, percent).unionByName(_linked(_likely(stars, facts, percent), sets, percent))
+        likely = _narrowed(likely.unionByName(_likely(stars, facts, percent)).distinct(), facts, sets, percent)
+        links = _linked(cut(likely, "narrowed"), sets, percent)
         found = components(found.select(F.col("component_id").alias("u"), F.col("id").alias("v")).unionByName(links))
     found = found.withColumnRenamed("id", "rep").withColumnRenamed("component_id", "least")
     return members.join(found, "rep", "left").select(
