@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fim, jaccard, neardup, packing, quality, secrets, suffixes, tokenfile, toxicity, warc
+from tessera.llm import decontaminate, fim, jaccard, mixing, neardup, packing, quality, secrets, suffixes, tokenfile, toxicity, warc
 from tessera.llm.common import cut, scratch_dir, small_batches
 
 
@@ -152,6 +152,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_secrets": op2_secrets,
@@ -164,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_mixing": op12_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
