@@ -61,20 +61,22 @@ def counter_clockwise(r: Column) -> Column:
 def centroid(r: Column) -> Column:
     """Area centroid; the mean of the points where the area is 0."""
 
-    def term(acc: Column, i: Column) -> Column:
-        p, q = F.element_at(r, i), _next(r, i)
-        c = p["x"] * q["y"] - q["x"] * p["y"]
-        return F.struct(
-            (acc["a"] + c).alias("a"), (acc["x"] + (p["x"] + q["x"]) * c).alias("x"), (acc["y"] + (p["y"] + q["y"]) * c).alias("y")
-        )
+    def around(v: Column) -> Column:
+        def term(acc: Column, i: Column) -> Column:
+            def add(e: Column) -> Column:
+                p, q, c = e["p"], e["q"], e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
+                return F.struct(
+                    (acc["a"] + c).alias("a"), (acc["x"] + (p["x"] + q["x"]) * c).alias("x"), (acc["y"] + (p["y"] + q["y"]) * c).alias("y")
+                )
 
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    mean = lambda k: F.aggregate(r, F.lit(0.0), lambda s, p: s + p[k]) / F.size(r)
-    total = F.aggregate(_positions(r), zero, term)
-    return F.when(
-        F.size(r) > 0,
-        let(total, lambda t: F.when(t["a"] != 0, point(t["x"] / (3.0 * t["a"]), t["y"] / (3.0 * t["a"]))).otherwise(point(mean("x"), mean("y")))),
-    )
+            return let(F.struct(F.element_at(v, i).alias("p"), _next(v, i).alias("q")), add)
+
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        mean = lambda k: F.aggregate(v, F.lit(0.0), lambda s, p: s + p[k]) / F.size(v)
+        middle = lambda t: F.when(t["a"] != 0, point(t["x"] / (3.0 * t["a"]), t["y"] / (3.0 * t["a"]))).otherwise(point(mean("x"), mean("y")))
+        return F.when(F.size(v) > 0, let(F.aggregate(_positions(v), zero, term), middle))
+
+    return let(r, around)
 
 
 def bounds(r: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.crs import reproject
-from tessera.functions.geometry import area, least_rectangle, least_sides, normalised, rectangle, to_pixels, visible_fraction
+from tessera.functions.geometry import area, least_rectangle, least_sides, normalised, rectangle, to_pixels
+from tessera.functions.overlap import visible_fraction
+from tessera.functions.repair import repaired
 
 
 @dataclass(frozen=True)
@@ -44,14 +46,14 @@ def remap_summary(before: DataFrame, after: DataFrame) -> DataFrame:
 def convert(annotations: DataFrame, images: DataFrame, cfg: AnnotationConfig) -> DataFrame:
     """``image, ordinal, class_id, corners``: labels of all images.
 
-    The order is fixed: classes, rectangle in the annotation's own system,
+    The order is fixed: classes, repair of the ring, rectangle in the annotation's own system,
     reprojection, visible share in the image, pixels, least side, normalising,
     and last the test for boxes that clamping left without area.  ``images`` has
     ``image, width, height, crs, affine`` and is joined by name; images with
     several systems are handled one system at a time.
     """
     rows = remap_classes(annotations.withColumn("class_id", F.coalesce("class_id", F.lit(-1))), cfg.class_map, cfg.skip_classes)
-    rows = rows.withColumn("box", least_rectangle(F.col("ring"))).where("box is not null")
+    rows = rows.withColumn("box", least_rectangle(repaired(F.col("ring")))).where("box is not null")
     joined = rows.join(images.select("image", "width", "height", "crs", "affine"), "image")
     systems = sorted(r["crs"] for r in images.select("crs").distinct().collect() if r["crs"])
     world = F.lit(None).cast("array<struct<x:double,y:double>>")

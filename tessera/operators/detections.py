@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.geometry import bounds, centroid, iou
+from tessera.functions.geometry import bounds, centroid, let
+from tessera.functions.overlap import iou
+from tessera.operators import greedy
+from tessera.operators.meeting import meeting
 
 KEY = ["image", "class_id"]
 
@@ -22,105 +25,64 @@ def by_confidence(confidence: Column, ordinal: Column) -> list[Column]:
     return [F.coalesce(confidence, F.lit(0.0)).desc(), ordinal.asc()]
 
 
-def _sort_key() -> Column:
-    """A struct whose ascending order is that of ``by_confidence``."""
-    return F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("rank"), "ordinal", "ring")
-
-
-def suppress(boxes: DataFrame, threshold: float) -> DataFrame:
+def suppress(boxes: DataFrame, threshold: float, cell: float | None = None, block_rows: int | None = None) -> DataFrame:
     """Greedy suppression: the kept rows of ``boxes``.
 
     In confidence order a row falls if its IoU with a kept one of its image and
-    class reaches the threshold.  Above 0 only rows that overlap matter, so
-    groups are first parted into overlap components, and a group's fold runs
-    over a component; at or below 0 every later row of the group falls.
+    class reaches the threshold.  Above 0 only rows that overlap matter: pairs
+    come from a join, and the choice runs over pairs.  At or below 0 every later
+    row of the group falls.
     """
     if threshold <= 0:
         first = Window.partitionBy(*KEY).orderBy(*by_confidence(F.col("confidence"), F.col("ordinal")))
         return boxes.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    parted = with_strip(boxes)
-    folded = parted.groupBy(*KEY, "__strip").agg(F.sort_array(F.collect_list(_sort_key())).alias("__rows"))
-
-    def add(kept: Column, row: Column) -> Column:
-        falls = F.exists(kept, lambda k: iou(k["ring"], row["ring"]) >= threshold)
-        return F.when(falls, kept).otherwise(F.concat(kept, F.array(row)))
-
-    empty = F.slice("__rows", 1, 0)
-    kept = folded.select(*KEY, F.explode(F.aggregate("__rows", empty, add)).alias("__k")).select(*KEY, F.col("__k.ordinal").alias("ordinal"))
-    return boxes.join(kept, [*KEY, "ordinal"], "left_semi")
-
-
-def with_strip(boxes: DataFrame) -> DataFrame:
-    """Add ``__strip``: rows of a group in different strips can't overlap.
-
-    Along x, a new strip begins where a row starts beyond the reach of all rows
-    before it; this is one window over the group's sort order.
-    """
-    b = boxes.withColumn("__b", bounds(F.col("ring")))
-    order = Window.partitionBy(*KEY).orderBy(F.col("__b.x0"), F.col("ordinal"))
-    reach = F.max("__b.x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    b = b.withColumn("__new", F.coalesce((F.col("__b.x0") > reach).cast("int"), F.lit(0)))
-    strip = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return b.withColumn("__strip", strip).drop("__b", "__new")
-
-
-def overlap_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of boxes of an image and class whose bounds meet, once each.
-
-    Boxes are dealt to grid cells of side ``cell``; a pair is taken in the cell
-    that holds the lower corner of its bounds' intersection.
+    rank = -F.coalesce("confidence", F.lit(0.0))
+    ranked = boxes.select(*KEY, "ordinal", "ring", rank.alias("rank"))
+    before = F.struct("a_rank", "a_ordinal") < F.struct("b_rank", "b_ordinal")
+    edges = overlap_pairs(ranked, ranked, cell, ["rank"], before).withColumn("iou", iou(F.col("a_ring"), F.col("b_ring")))
+    edges = edges.where(F.col("iou") >= threshold).select(*KEY, F.col("a_ordinal").alias("first"), F.col("b_ordinal").alias("second"), "b_rank", "b_place")
+    fallen = greedy.fallen(edges, KEY, "b_rank", "b_place", block_rows).withColumnRenamed("second", "ordinal")
+    return boxes.join(fallen, [*KEY, "ordinal"], "left_anti")
+
+
+def overlap_pairs(
+    left: DataFrame, right: DataFrame, cell: float | None = None, carried: list[str] | None = None, condition: Column | None = None
+) -> DataFrame:
+    """Pairs of boxes of an image and class whose bounds meet, once each: ``a_ordinal, b_ordinal, a_ring, b_ring``.
+
+    Columns that are ``carried`` come along with the sides' prefixes; ``*_place``
+    is a number along a slanted line.
     """
 
-    def cells(df: DataFrame, side: str) -> DataFrame:
-        b = df.select(*KEY, F.col("ordinal").alias(f"{side}_ordinal"), F.col("ring").alias(f"{side}_ring"), bounds(F.col("ring")).alias(f"{side}_b"))
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{side}_b.{lo}") / cell), F.floor(F.col(f"{side}_b.{hi}") / cell))
-        return b.withColumn("__cx", F.explode(span("x0", "x1"))).withColumn("__cy", F.explode(span("y0", "y1")))
+    def side(df: DataFrame, s: str) -> DataFrame:
+        df = df.select(*KEY, *[F.col(c).alias(f"{s}_{c}") for c in ("ordinal", "ring", *(carried or []))], bounds(F.col("ring")).alias(f"{s}_b"))
+        return df.withColumn(f"{s}_place", F.col(f"{s}_b.x0") + F.col(f"{s}_b.y0") * 0.618)
 
-    a, b = cells(left, "a"), cells(right, "b")
-    x0, y0 = F.greatest("a_b.x0", "b_b.x0"), F.greatest("a_b.y0", "b_b.y0")
-    meets = (
-        (F.col("a_b.x0") <= F.col("b_b.x1")) & (F.col("b_b.x0") <= F.col("a_b.x1"))
-        & (F.col("a_b.y0") <= F.col("b_b.y1")) & (F.col("b_b.y0") <= F.col("a_b.y1"))
-    )
-    here = (F.col("__cx") == F.floor(x0 / cell)) & (F.col("__cy") == F.floor(y0 / cell))
-    return a.join(b, [*KEY, "__cx", "__cy"]).where(meets & here).select(*KEY, "a_ordinal", "b_ordinal", "a_ring", "b_ring")
+    met = meeting(side(left, "a"), side(right, "b"), KEY, "a_b", "b_b", cell)
+    return (met if condition is None else met.where(condition)).drop("a_b", "b_b")
 
 
-def match(predictions: DataFrame, truths: DataFrame, threshold: float, cell: float = 16.0) -> DataFrame:
+def match(predictions: DataFrame, truths: DataFrame, threshold: float, cell: float | None = None, block_rows: int | None = None) -> DataFrame:
     """Greedy matching: ``(image, class_id, p_ordinal, t_ordinal, iou)``.
 
     In confidence order each prediction takes the free truth of its image and
     class with the highest IoU that reaches the threshold; of equal ones the
     last.  With a threshold above 0 only overlapping pairs are candidates.
     """
-    cols = [*KEY, "ordinal", "ring"]
-    p, t = predictions.select(*cols, "confidence"), truths.select(*cols)
+    p = predictions.select(*KEY, "ordinal", "ring", (-F.coalesce("confidence", F.lit(0.0))).alias("rank"))
+    t = truths.select(*KEY, "ordinal", "ring", F.lit(0.0).alias("rank"))
     if threshold > 0:
-        both = p.select(*cols, F.lit(0).alias("__side")).unionByName(t.select(*cols, F.lit(1).alias("__side")))
-        strips = with_strip(both).where("__side = 0").select(*KEY, F.col("ordinal").alias("a_ordinal"), "__strip")
-        pairs = overlap_pairs(p, t, cell).join(strips, [*KEY, "a_ordinal"])
+        pairs = overlap_pairs(p, t, cell, ["rank"])
     else:
-        rename = lambda df, k: df.select(*KEY, F.col("ordinal").alias(f"{k}_ordinal"), F.col("ring").alias(f"{k}_ring"))
-        pairs = rename(p, "a").join(rename(t, "b"), KEY).withColumn("__strip", F.lit(0))
+        named = lambda df, k: df.select(*KEY, *[F.col(c).alias(f"{k}_{c}") for c in ("ordinal", "ring", "rank")])
+        pairs = named(p, "a").join(named(t, "b").withColumn("b_place", F.lit(0.0)), KEY)
     pairs = pairs.withColumn("iou", iou(F.col("a_ring"), F.col("b_ring"))).where(F.col("iou") >= threshold)
-    ranked = pairs.join(p.select(*KEY, F.col("ordinal").alias("a_ordinal"), "confidence"), [*KEY, "a_ordinal"])
-    # candidates of a prediction stand together, best first
-    key = F.struct(
-        (-F.coalesce("confidence", F.lit(0.0))).alias("rank"),
-        F.col("a_ordinal").alias("p"),
-        (-F.col("iou")).alias("worse"),
-        (-F.col("b_ordinal")).alias("t"),
-    )
-    groups = ranked.groupBy(*KEY, "__strip").agg(F.sort_array(F.collect_list(key)).alias("__c"))
-
-    def take(done: Column, c: Column) -> Column:
-        used = F.exists(done, lambda d: (d["p"] == c["p"]) | (d["t"] == c["t"]))
-        return F.when(used, done).otherwise(F.concat(done, F.array(c)))
-
-    taken = F.aggregate("__c", F.slice("__c", 1, 0), take)
-    return groups.select(*KEY, F.explode(taken).alias("m")).select(
-        *KEY, F.col("m.p").alias("p_ordinal"), (-F.col("m.t")).alias("t_ordinal"), (-F.col("m.worse")).alias("iou")
+    pairs = pairs.select(
+        *KEY, F.col("a_ordinal").alias("p"), F.col("b_ordinal").alias("t"), "a_rank", (-F.col("iou")).alias("worse"), (-F.col("b_ordinal")).alias("later"), "b_place"
     )
+    # candidates of a prediction stand together, best first
+    taken = greedy.paired(pairs, KEY, ["a_rank", "p", "worse", "later"], "b_place", block_rows)
+    return taken.select(*KEY, F.col("p").alias("p_ordinal"), F.col("t").alias("t_ordinal"), (-F.col("worse")).alias("iou"))
 
 
 def labelled(predictions: DataFrame, truths: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,15 +96,15 @@ def labelled(predictions: DataFrame, truths: DataFrame, matches: DataFrame) -> t
 
 
 def with_centroid(boxes: DataFrame) -> DataFrame:
-    """Add the centroid to 8 decimals as ``__x, __y``."""
-    c = boxes.withColumn("__c", centroid(F.col("ring")))
-    return c.withColumns({"__x": F.round("__c.x", 8), "__y": F.round("__c.y", 8)}).drop("__c")
+    """Add the centroid to 8 decimals as the struct ``__at``."""
+    near = lambda c: F.struct(F.round(c["x"], 8).alias("x"), F.round(c["y"], 8).alias("y"))
+    return boxes.withColumn("__at", let(centroid(F.col("ring")), near))
 
 
 def deleted(raw: DataFrame, survivors: DataFrame) -> DataFrame:
     """Rows of ``raw`` whose class and centroid, to 8 decimals, no survivor of the image has."""
-    keys = with_centroid(survivors.select(*KEY, "ring")).select(*KEY, "__x", "__y").distinct()
-    return with_centroid(raw).join(keys, [*KEY, "__x", "__y"], "left_anti").drop("__x", "__y")
+    keys = with_centroid(survivors.select(*KEY, "ring")).select(*KEY, "__at").distinct()
+    return with_centroid(raw).join(keys, [*KEY, "__at"], "left_anti").drop("__at")
 
 
 def evaluation_rows(predictions: DataFrame, truths: DataFrame, removed: DataFrame) -> DataFrame:
@@ -170,10 +132,10 @@ def class_counts(predictions: DataFrame, truths: DataFrame, key: list[str] | Non
     return p.unionByName(t).groupBy(*key).agg(*counts)
 
 
-def best_truth_class(predictions: DataFrame, truths: DataFrame, cell: float = 16.0) -> DataFrame:
-    """Predictions with ``ground_truth``: for a TP the class of the truth it overlaps most, of equal ones the first."""
+def best_truth_class(predictions: DataFrame, truths: DataFrame, cell: float | None = None) -> DataFrame:
+    """Predictions with ``ground_truth``: for a TP the class of the matched truth of its class that it overlaps most, of equal ones the first."""
     tp = predictions.where("label = 'TP'")
-    pairs = overlap_pairs(tp, truths, cell).withColumn("iou", iou(F.col("a_ring"), F.col("b_ring"))).where("iou > 0")
+    pairs = overlap_pairs(tp, truths.where("label = 'TP'"), cell).withColumn("iou", iou(F.col("a_ring"), F.col("b_ring"))).where("iou > 0")
     best = pairs.groupBy(*KEY, F.col("a_ordinal").alias("ordinal")).agg(
         F.max_by("class_id", F.struct("iou", (-F.col("b_ordinal")).alias("o"))).alias("ground_truth")
     )

@@ -7,69 +7,35 @@ them cover counts once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import area, bounds, clip, counter_clockwise, let
+from tessera.functions.geometry import area, bounds
+from tessera.functions.overlap import overlap_area
+from tessera.operators.dissolve import dissolve
+from tessera.operators.meeting import meeting
 
 TINY = 1e-12
 
 
-def covered(boxes: DataFrame, masks: DataFrame, cell: float = 64.0) -> DataFrame:
+def covered(boxes: DataFrame, masks: DataFrame, cell: float | None = None) -> DataFrame:
     """Add ``fraction``, the share of each box inside its image's masks, and ``has_mask``.
 
-    Boxes and mask rings meet by grid cells of side ``cell``, so a box is only
-    clipped by rings whose bounds come near.  Holes count against their polygon.
-    A box that several polygons reach gets the area of the union of their parts
-    inside it, from those parts alone.
+    Masks are dissolved first, so what a box shares with their pieces adds up.
+    Boxes and pieces meet by grid cells, so a box is only clipped by pieces that
+    come near.
     """
     b = boxes.select("image", "ordinal", "ring", bounds(F.col("ring")).alias("__b"))
-    m = masks.select("image", "polygon_id", F.col("ring_id").alias("__hole"), F.col("ring").alias("__mask"), bounds(F.col("ring")).alias("__m"))
-    span = lambda c, lo, hi: F.sequence(F.floor(F.col(f"{c}.{lo}") / cell), F.floor(F.col(f"{c}.{hi}") / cell))
-    deal = lambda df, c: df.withColumn("__cx", F.explode(span(c, "x0", "x1"))).withColumn("__cy", F.explode(span(c, "y0", "y1")))
-    x0, y0 = F.greatest("__b.x0", "__m.x0"), F.greatest("__b.y0", "__m.y0")
-    meets = (
-        (x0 <= F.least("__b.x1", "__m.x1")) & (y0 <= F.least("__b.y1", "__m.y1"))
-        & (F.col("__cx") == F.floor(x0 / cell)) & (F.col("__cy") == F.floor(y0 / cell))
-    )
-    met = deal(b, "__b").join(deal(m, "__m"), ["image", "__cx", "__cy"]).where(meets)
-    part = let(clip(F.col("__mask"), counter_clockwise(F.col("ring"))), lambda p: F.struct(p.alias("ring"), area(p).alias("area"), F.col("polygon_id").alias("polygon_id")))
-    met = met.select("image", "ordinal", "polygon_id", F.when(F.col("__hole") > 0, -1.0).otherwise(1.0).alias("__sign"), part.alias("__part"))
-    parts = met.groupBy("image", "ordinal").agg(
-        F.sum(F.col("__sign") * F.col("__part.area")).alias("__sum"), F.min("polygon_id").alias("__p0"), F.max("polygon_id").alias("__p1"),
-        F.collect_list(F.when(F.col("__part.area") > 0, F.struct("__part.polygon_id", "__part.ring"))).alias("__parts"),
-    )
-    key = F.col("__parts").isNotNull() & (F.col("__p0") < F.col("__p1")) & (F.size("__parts") > 1)
-    united = F.pandas_udf(_union_area, "double")(F.when(key, F.col("__parts")))
-    sums = parts.withColumn("__union", united).select(
-        "image", "ordinal",
-        # parts that don't overlap keep their plain sum
-        F.when(F.col("__union") < F.col("__sum") * (1 - 1e-9), F.col("__union")).otherwise(F.col("__sum")).alias("__in"),
-    )
+    pieces = dissolve(masks, cell).select("image", F.col("ring").alias("__piece"), bounds(F.col("ring")).alias("__m"))
+    met = meeting(b, pieces, ["image"], "__b", "__m").withColumn("__shared", overlap_area(F.col("ring"), F.col("__piece")))
+    sums = met.groupBy("image", "ordinal").agg(F.sum("__shared").alias("__in"))
     known = masks.select("image").distinct().withColumn("has_mask", F.lit(True))
     out = boxes.join(sums, ["image", "ordinal"], "left").join(known, "image", "left")
-    share = F.least(F.lit(1.0), F.coalesce("__in", F.lit(0.0)) / area(F.col("ring")))
+    out = out.withColumn("__all", area(F.col("ring")))
+    share = F.least(F.lit(1.0), F.coalesce("__in", F.lit(0.0)) / F.col("__all"))
     return out.withColumns(
-        {"fraction": F.when(area(F.col("ring")) >= TINY, share), "has_mask": F.coalesce("has_mask", F.lit(False))}
-    ).drop("__in")
-
-
-def _union_area(parts: pd.Series) -> pd.Series:
-    """The area of the union of a box's mask parts; null where there are none to unite."""
-
-    def one(rings: list | None) -> float | None:
-        if rings is None:
-            return None
-        return sum(_area(t) for t in _trapezoids([(r["polygon_id"], r["ring"]) for r in rings]))
-
-    return parts.map(one)
-
-
-def _area(ring: list[tuple[float, float]]) -> float:
-    return abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+        {"fraction": F.when(F.col("__all") >= TINY, share), "has_mask": F.coalesce("has_mask", F.lit(False))}
+    ).drop("__in", "__all")
 
 
 def mask_filter(boxes: DataFrame, masks: DataFrame, threshold: float, criterion: str, tiny_stays: bool = True) -> DataFrame:
@@ -100,53 +66,3 @@ def removed_count(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows removed for each image, and in all (image null)."""
     a = before.select("image", F.lit(1).alias("n")).unionByName(after.select("image", F.lit(-1).alias("n")))
     return a.rollup("image").agg(F.sum("n").alias("removed"))
-
-
-def dissolve(masks: DataFrame) -> DataFrame:
-    """Disjoint trapezoids that cover the union of an image's mask polygons.
-
-    The plane is cut into slabs at all vertices and crossings; inside a slab
-    the edges don't cross, and even-odd pairs of each polygon's edges, united
-    over polygons, bound the trapezoids.  One mask is one group.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, r in enumerate(_trapezoids([(p, r) for p, r in zip(rows["polygon_id"], rows["ring"], strict=True)])):
-            out.append((rows["image"].iloc[0], rows["kind"].iloc[0], k, 0, [{"x": x, "y": y} for x, y in r]))
-        return pd.DataFrame(out, columns=["image", "kind", "polygon_id", "ring_id", "ring"])
-
-    return masks.groupBy("image", "kind").applyInPandas(
-        run, "image string, kind string, polygon_id int, ring_id int, ring array<struct<x:double,y:double>>"
-    )
-
-
-def _trapezoids(rings: list) -> Iterator[list[tuple[float, float]]]:
-    edges = []
-    for polygon, ring in rings:
-        pts = [(p["x"], p["y"]) for p in ring]
-        for (x0, y0), (x1, y1) in zip(pts, pts[1:] + pts[:1], strict=True):
-            if y0 != y1:
-                edges.append((polygon, x0, y0, x1, y1) if y0 < y1 else (polygon, x1, y1, x0, y0))
-    ys = {y for _, _, a, _, b in edges for y in (a, b)}
-    at = lambda e, y: e[1] + (e[3] - e[1]) * (y - e[2]) / (e[4] - e[2])
-    for i, e in enumerate(edges):
-        for f in edges[i + 1 :]:
-            lo, hi = max(e[2], f[2]), min(e[4], f[4])
-            if lo < hi:
-                d0, d1 = at(e, lo) - at(f, lo), at(e, hi) - at(f, hi)
-                if d0 * d1 < 0:
-                    ys.add(lo + (hi - lo) * d0 / (d0 - d1))
-    levels = sorted(ys)
-    for lo, hi in zip(levels, levels[1:], strict=False):
-        mid = (lo + hi) / 2
-        across = sorted(((at(e, mid), e) for e in edges if e[2] <= lo and e[4] >= hi), key=lambda t: t[0])
-        inside: set = set()
-        left = None
-        for _, e in across:
-            was = bool(inside)
-            inside ^= {e[0]}
-            if inside and not was:
-                left = e
-            elif was and not inside:
-                yield [(at(left, lo), lo), (at(e, lo), lo), (at(e, hi), hi), (at(left, hi), hi)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import point, rectangle, visible_fraction
+from tessera.functions.geometry import point, rectangle
+from tessera.functions.overlap import visible_fraction
 
 TILE_NAME = r"^(.*)_(\d+)_(\d+)$"
 

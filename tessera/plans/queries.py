@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import area, centroid, least_sides, normalised, point, rectangle, to_pixels, to_world
+from tessera.functions.overlap import visible_fraction
+from tessera.functions.repair import repaired
 from tessera.operators import annotate, detections, grid, masks, metrics, raster, split, tiling
+from tessera.operators.dissolve import dissolve
 from tessera.plans.derived import (
     BOXES, COASTLINES, IMAGES, PIXELS, boxes, coastlines, embedding_rows, images, read, sql_area, sql_clipped, sql_pairs,
 )
@@ -116,11 +119,22 @@ def box_area_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT image, class_id, a_ordinal, b_ordinal, {sql_micro('iou')} AS iou FROM pairs WHERE iou > 1e-9""")
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    p = detections.overlap_pairs(b, b, 16.0).where("a_ordinal < b_ordinal")
+    p = detections.overlap_pairs(b, b, condition=F.col("a_ordinal") < F.col("b_ordinal"))
     p = p.withColumn("v", detections.iou(F.col("a_ring"), F.col("b_ring"))).where("v > 1e-9")
     return p.select("image", "class_id", "a_ordinal", "b_ordinal", micro(F.col("v")).alias("iou"))
 
 
+@query(f"""WITH {BOXES}, {sql_pairs('a.ordinal < b.ordinal')}
+  SELECT image, class_id, a_ordinal, b_ordinal, floor(iou * 1e4 + 5e-1) / 1e4 AS iou FROM pairs WHERE iou > 1e-4""")
+def iou_pairs_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with coordinates in degrees: a pixel is 2^-17 of one, so nothing is rounded, and no cell size is given."""
+    b = boxes(spark, sf_dir)
+    b = b.withColumn("ring", F.transform("ring", lambda p: point(p["x"] / 131072.0, p["y"] / 131072.0)))
+    p = detections.overlap_pairs(b, b, condition=F.col("a_ordinal") < F.col("b_ordinal"))
+    p = p.withColumn("v", detections.iou(F.col("a_ring"), F.col("b_ring"))).where("v > 1e-4")
+    return p.select("image", "class_id", "a_ordinal", "b_ordinal", (F.floor(F.col("v") * 1e4 + 0.5) / 1e4).alias("iou"))
+
+
 _NMS = f"""WITH RECURSIVE {BOXES}, {sql_pairs('a.ordinal <> b.ordinal AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.ordinal < b.ordinal))')},
   ranked AS (SELECT image, class_id, ordinal, row_number() OVER (PARTITION BY image, class_id ORDER BY confidence DESC, ordinal) AS r FROM boxes),
   over_ AS (SELECT image, class_id, b_ordinal AS ordinal, list(a_ordinal) AS above FROM pairs WHERE iou >= 2e-1 GROUP BY ALL),
@@ -137,14 +151,16 @@ def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.suppress(boxes(spark, sf_dir), 0.2).select("image", "class_id", "ordinal", "confidence")
 
 
-@query(f"{_NMS} SELECT image, class_id, ordinal FROM boxes ANTI JOIN nms USING (image, class_id, ordinal)")
+_CENTRE = "round((ring[1].x + ring[3].x) / 2e0, 3)", "round((ring[1].y + ring[3].y) / 2e0, 3)"
+
+
+@query(f"""{_NMS}, mid AS (SELECT image, class_id, ordinal, {_CENTRE[0]} AS cx, {_CENTRE[1]} AS cy FROM boxes),
+  kept AS (SELECT DISTINCT image, class_id, cx, cy FROM mid JOIN nms USING (image, class_id, ordinal))
+  SELECT image, class_id, ordinal FROM mid ANTI JOIN kept USING (image, class_id, cx, cy)""")
 def deleted_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What suppression removed; a removed box with the centroid of a kept one, of which there are many here, doesn't count."""
     b = boxes(spark, sf_dir)
-    # a dropped box with the centroid of a kept one counts as kept, so the ordinal is part of the ring here
-    shifted = b.withColumn("ring", F.transform("ring", lambda p: point(p["x"] + F.col("ordinal"), p["y"])))
-    kept = b.join(detections.suppress(b, 0.2).select("image", "class_id", "ordinal"), ["image", "class_id", "ordinal"], "left_semi")
-    kept = shifted.join(kept.select("image", "class_id", "ordinal"), ["image", "class_id", "ordinal"], "left_semi")
-    return detections.deleted(shifted, kept).select("image", "class_id", "ordinal")
+    return detections.deleted(b, detections.suppress(b, 0.2)).select("image", "class_id", "ordinal")
 
 
 _MATCH = f"""WITH RECURSIVE {BOXES}, {sql_pairs('a.side = 0 AND b.side = 1')},
@@ -204,6 +220,30 @@ def best_truth_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.best_truth_class(p, t).select("image", "class_id", "ordinal", "label", "ground_truth")
 
 
+# ----------------------------------------------------------- ring repair
+
+
+def _spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with rings that cross themselves (class 0), run out and back (class 1), or are as they were."""
+    corner = lambda i: F.col("ring")[i]
+    along = lambda p, q, t: point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
+    bow = F.array(corner(0), corner(1), corner(3), along(corner(3), corner(2), 0.5))
+    spike = F.array(corner(0), corner(1), along(corner(0), corner(1), 1.5), corner(1), corner(2), corner(3))
+    return boxes(spark, sf_dir).withColumn("ring", F.when(F.col("class_id") == 0, bow).when(F.col("class_id") == 1, spike).otherwise(F.col("ring")))
+
+
+@query(f"""WITH {BOXES}, b AS (SELECT image, ordinal, class_id, ring[1] AS a, ring[2] AS b, ring[4] AS c,
+    {{'x': ring[4].x + (ring[3].x - ring[4].x) * 5e-1, 'y': ring[4].y + (ring[3].y - ring[4].y) * 5e-1}} AS d, {sql_area('ring')} AS whole FROM boxes),
+  t AS (SELECT *, ((d.x - b.x) * (d.y - a.y) - (d.y - b.y) * (d.x - a.x)) / ((c.x - b.x) * (d.y - a.y) - (c.y - b.y) * (d.x - a.x)) AS t FROM b),
+  x AS (SELECT *, b.x + (c.x - b.x) * t AS mx, b.y + (c.y - b.y) * t AS my FROM t),
+  w AS (SELECT *, ((b.x - a.x) * (my - a.y) - (b.y - a.y) * (mx - a.x)) / 2e0 AS one, ((c.x - mx) * (d.y - my) - (c.y - my) * (d.x - mx)) / 2e0 AS two FROM x)
+  SELECT image, ordinal, (CASE WHEN class_id = 0 THEN 3 ELSE 4 END)::INT AS corners, {sql_micro('CASE WHEN class_id <> 0 THEN whole WHEN (one > 0) = (one + two > 0) THEN abs(one) ELSE abs(two) END')} AS area FROM w""")
+def ring_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings that cross or retrace themselves, repaired: corners and area of what is left; no box is lost."""
+    r = _spoiled(spark, sf_dir).withColumn("ring", repaired(F.col("ring")))
+    return r.select("image", "ordinal", F.size("ring").alias("corners"), micro(area(F.col("ring"))).alias("area"))
+
+
 # ------------------------------------------------------------------ masks
 
 _COVERED = f"""WITH {BOXES}, {COASTLINES}, met AS (SELECT b.image, b.ordinal, mring AS sring, ring AS wring FROM boxes b JOIN masks m ON b.image = m.image),
@@ -212,10 +252,11 @@ _COVERED = f"""WITH {BOXES}, {COASTLINES}, met AS (SELECT b.image, b.ordinal, mr
   share AS (SELECT b.*, CASE WHEN area_in IS NOT NULL THEN least(1e0, area_in / {sql_area('b.ring')}) END AS fraction FROM boxes b LEFT JOIN inside USING (image, ordinal))"""
 
 
-@query(f"{_COVERED} SELECT image, ordinal, {sql_micro('coalesce(fraction, 0e0)')} AS fraction, fraction IS NOT NULL AS has_mask FROM share")
+# many shares are whole 128ths, which lie half-way between two millionths: rounded a little apart from there, the last bit doesn't matter
+@query(f"{_COVERED} SELECT image, ordinal, floor(coalesce(fraction, 0e0) * 1e6 + 487e-3) / 1e6 AS fraction, fraction IS NOT NULL AS has_mask FROM share")
 def mask_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = masks.covered(boxes(spark, sf_dir), coastlines(spark, sf_dir))
-    return c.select("image", "ordinal", micro(F.col("fraction")).alias("fraction"), "has_mask")
+    return c.select("image", "ordinal", (F.floor(F.col("fraction") * 1e6 + 0.487) / 1e6).alias("fraction"), "has_mask")
 
 
 _UNION = f"""WITH {BOXES}, m AS (SELECT p_partkey AS image, (8 + p_size % 14)::DOUBLE AS e FROM part WHERE p_partkey % 5 <> 0),
@@ -224,13 +265,25 @@ _UNION = f"""WITH {BOXES}, m AS (SELECT p_partkey AS image, (8 + p_size % 14)::D
   {sql_clipped('met')}, inside AS (SELECT image, ordinal, sum(sign * {sql_area('p')}) AS area_in FROM clip4 GROUP BY ALL)"""
 
 
+def _overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of two rectangles that overlap."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.lit(8) + F.col("p_size") % 14).cast("double").alias("e")).where("image % 5 <> 0")
+    both = F.array(rectangle(F.lit(-20.0), F.lit(4.0071), F.col("e") + 0.0219, F.lit(60.0)), rectangle(F.col("e") - 5.0137, F.lit(-20.0), F.col("e") + 4.0, F.lit(60.0)))
+    return p.select("image", F.lit("coastline").alias("kind"), F.posexplode(both).alias("polygon_id", "ring"), F.lit(0).alias("ring_id"))
+
+
 @query(f"{_UNION} SELECT image, ordinal FROM inside JOIN boxes USING (image, ordinal) WHERE area_in / {sql_area('ring')} >= 4.321e-1")
 def mask_union_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes by their share inside two mask polygons that overlap: what both cover counts once."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (F.lit(8) + F.col("p_size") % 14).cast("double").alias("e")).where("image % 5 <> 0")
-    both = F.array(rectangle(F.lit(-20.0), F.lit(4.0071), F.col("e") + 0.0219, F.lit(60.0)), rectangle(F.col("e") - 5.0137, F.lit(-20.0), F.col("e") + 4.0, F.lit(60.0)))
-    m = p.select("image", F.lit("coastline").alias("kind"), F.posexplode(both).alias("polygon_id", "ring"), F.lit(0).alias("ring_id"))
-    return masks.covered(boxes(spark, sf_dir), m).where("has_mask and fraction >= 0.4321").select("image", "ordinal")
+    return masks.covered(boxes(spark, sf_dir), _overlapping(spark, sf_dir)).where("has_mask and fraction >= 0.4321").select("image", "ordinal")
+
+
+@query(f"""WITH m AS (SELECT p_partkey AS image, (8 + p_size % 14)::DOUBLE AS e FROM part WHERE p_partkey % 5 <> 0)
+  SELECT image, {sql_micro('(e + 200219e-4) * (6e1 - 40071e-4) + (4e0 + 50137e-4) * 8e1 - (219e-4 + 50137e-4) * (6e1 - 40071e-4)')} AS area FROM m""")
+def mask_union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area of every mask's union, from the pieces of its cells: some fifty cells a mask."""
+    pieces = dissolve(_overlapping(spark, sf_dir), cell=11.0)
+    return pieces.groupBy("image").agg(micro(F.sum(area(F.col("ring")))).alias("area"))
 
 
 @query(f"{_COVERED} SELECT image, ordinal, class_id FROM share WHERE fraction IS NULL OR fraction >= 7.77e-1")
@@ -403,8 +456,6 @@ def annotate_min_side_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BOXES}, met AS (SELECT image, ordinal, class_id, ring AS sring, [{{'x': 0e0, 'y': 0e0}}, {{'x': 3e1, 'y': 0e0}}, {{'x': 3e1, 'y': 25e0}}, {{'x': 0e0, 'y': 25e0}}] AS wring FROM boxes),
   {sql_clipped('met')} SELECT image, ordinal, class_id FROM clip4 WHERE {sql_area('p')} / {sql_area('sring')} >= 4.567e-1""")
 def visible_in_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.functions.geometry import visible_fraction
-
     frame = rectangle(F.lit(0.0), F.lit(0.0), F.lit(30.0), F.lit(25.0))
     return boxes(spark, sf_dir).where(visible_fraction(F.col("ring"), frame) >= 0.4567).select("image", "ordinal", "class_id")
 

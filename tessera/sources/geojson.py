@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.geometry import RING, area, point
+from tessera.functions.repair import repair_masks, repaired
 
 PROPERTIES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("label", "class_name", "source_tile", "source_image")]
@@ -51,25 +52,34 @@ def open_ring(coordinates: Column) -> Column:
 def valid_detections(features: DataFrame, names: dict[int, str] | None = None, truth: bool = False) -> DataFrame:
     """Features that are usable detections: a class and a polygon of some area.
 
-    Ground truth has no confidence, whatever the file says.  A class without a
-    name goes by its number.
+    A ring that crosses or touches itself is repaired, and only goes if it
+    encloses nothing.  Ground truth has no confidence, whatever the file says.
+    A class without a name goes by its number.
     """
     name = F.col("class_id").cast("string")
     if names:
         name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), F.col("class_id")), name)
-    keep = F.col("class_id").isNotNull() & (F.size("ring") >= 3) & (area(F.col("ring")) > 0)
-    out = features.where(keep).withColumn("class_name", name)
+    usable = features.where(F.col("class_id").isNotNull()).withColumn("ring", repaired(F.col("ring")))
+    out = usable.where((F.size("ring") >= 3) & (area(F.col("ring")) > 0)).withColumn("class_name", name)
     return out.withColumn("confidence", F.lit(None).cast("double")) if truth else out
 
 
 def polygons(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    """Mask rings ``image, kind, polygon_id, ring_id, ring`` of all Polygon and MultiPolygon features of the files."""
+    """Mask rings ``image, kind, polygon_id, ring_id, ring`` of all Polygon and MultiPolygon features of the files, repaired.
+
+    A file of which no polygon is left is an error when its rows are read: it
+    would otherwise pass for an image without a mask.
+    """
     df = spark.read.schema(MASKS).option("multiLine", True).json(path)
     parsed = lambda f, depth: F.from_json(f["geometry"]["coordinates"], "array<" * depth + "double" + ">" * depth)
     parts = F.transform("features", lambda f: F.when(f["geometry"]["type"] == "MultiPolygon", parsed(f, 4)).when(f["geometry"]["type"] == "Polygon", F.array(parsed(f, 3))))
-    rows = df.select(stem(F.input_file_name()).alias("image"), F.posexplode(F.flatten(F.filter(parts, lambda p: p.isNotNull()))).alias("polygon_id", "p"))
-    rings = rows.select("image", F.lit(kind).alias("kind"), "polygon_id", F.posexplode("p").alias("ring_id", "c"))
-    return rings.select("image", "kind", "polygon_id", "ring_id", open_ring(F.col("c")).alias("ring")).where("size(ring) >= 3")
+    rows = df.select(stem(F.input_file_name()).alias("image"), F.posexplode_outer(F.flatten(F.filter(parts, lambda p: p.isNotNull()))).alias("polygon_id", "p"))
+    rings = rows.select("image", F.lit(kind).alias("kind"), "polygon_id", F.posexplode_outer("p").alias("ring_id", "c"))
+    found = repair_masks(rings.select("image", "kind", "polygon_id", "ring_id", open_ring(F.col("c")).alias("ring")))
+    some = found.select("image").distinct().withColumn("__some", F.lit(True))
+    bare = rows.select("image").distinct().join(some, "image", "left_anti")
+    stop = F.raise_error(F.concat(F.lit("no usable polygon in the mask of "), F.col("image")))
+    return found.unionByName(bare.select(stop.cast("string").alias("image"), F.lit(kind).alias("kind"), F.lit(0).alias("polygon_id"), F.lit(0).alias("ring_id"), F.array().cast(RING).alias("ring")))
 
 
 def closed_coordinates(ring: Column) -> Column:
