@@ -64,6 +64,8 @@ VOTERS = 64
 BITS = 2048
 #: Larger sets say too little in ``BITS`` parities.
 WIDE = 1024
+#: Bytes of text that are hashed at a time: a worker's arrays are some hundred times as large.
+SLICE = 1 << 19
 #: So many bits of a key are counted to tell whether it may be shared: fewer bits travel, and more keys may seem shared.
 COUNTED = 48
 
@@ -157,7 +159,7 @@ def _identities(k: int):
         counts = np.zeros(COUNTERS, np.int64)
         names = ["id", "n", "h1", "h2", "chunk", "counts"]
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 h, row = shingle_sets(b.column("text"), k)
                 counts += np.bincount(counter_of(h), minlength=COUNTERS)
                 m = b.num_rows
@@ -206,7 +208,7 @@ def _sketches(k: int, counts: np.ndarray, percent: int, copied: IdFilter, mistak
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
+            for b in slices(batch, "text", SLICE):
                 h, row = shingle_sets(b.column("text"), k)
                 m = b.num_rows
                 n = np.bincount(row, minlength=m)
@@ -263,7 +265,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b0 = batch.filter(pa.array(wanted.may_hold(np.asarray(batch.column("id")))))
-            for b in slices(b0, "text"):
+            for b in slices(b0, "text", SLICE):
                 h, row = shingle_sets(b.column("text"), k)
                 at = np.append(0, np.cumsum(np.bincount(row, minlength=b.num_rows))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "set"])
