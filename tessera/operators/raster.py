@@ -108,6 +108,8 @@ def resample_nearest(rows: DataFrame, scale: float) -> DataFrame:
 
 def _kernel(method: str, t: np.ndarray) -> np.ndarray:
     t = np.abs(t)
+    if method == "area":
+        return (t <= 0.5).astype(float)
     if method == "bilinear":
         return np.maximum(0.0, 1 - t)
     if method == "cubic":  # Keys, a = -1/2
@@ -117,14 +119,17 @@ def _kernel(method: str, t: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown method: {method}")
 
 
-def axis_weights(length: int, new: int, method: str) -> np.ndarray:
-    """A (new, length) matrix of interpolation weights; shrinking widens the kernel."""
+def axis_weights(length: int, new: int, method: str, rows: slice = slice(None), cols: slice = slice(None)) -> np.ndarray:
+    """A (new, length) matrix of interpolation weights, or a part of it; shrinking widens the kernel.
+
+    The part's columns must hold all that its rows weigh.
+    """
+    at, old = np.arange(new)[rows], np.arange(length)[cols]
     if method == "nearest":
-        at = np.minimum(((np.arange(new) + 0.5) * length / new).astype(int), length - 1)
-        return np.eye(length)[at]
+        return (np.minimum(((at + 0.5) * length / new).astype(int), length - 1)[:, None] == old).astype(float)
     stretch = max(1.0, length / new)
-    centre = (np.arange(new) + 0.5) * length / new - 0.5
-    w = _kernel(method, (np.arange(length)[None, :] - centre[:, None]) / stretch)
+    centre = (at + 0.5) * length / new - 0.5
+    w = _kernel(method, (old[None, :] - centre[:, None]) / stretch)
     return w / w.sum(1, keepdims=True)
 
 
@@ -207,6 +212,49 @@ def masked_blur(band: np.ndarray, valid: np.ndarray, kernel: np.ndarray) -> np.n
     return np.where(valid & (weight > 1e-8), value / np.maximum(weight, 1e-8), band)
 
 
+#: Names of kernels and methods in the settings of a degradation, and the whole types of pixels.
+KERNELS = {"gaussian": "gaussian", "generalized_gaussian": "generalised", "plateau": "plateau", "sinc_mtf": "sinc"}
+SHRINKING = {"nearest": "nearest", "bilinear": "bilinear", "bicubic": "cubic", "area": "area"}
+WHOLE_TYPES = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767), "uint32": (0, 4294967295), "int32": (-2147483648, 2147483647)}
+
+
+def pixel_range(dtype: str) -> tuple[float, float, bool]:
+    """Least value, full scale, and whether pixels are whole, of a storage type; fractions are taken for shares of 1."""
+    if dtype in WHOLE_TYPES:
+        return (*map(float, WHOLE_TYPES[dtype]), True)
+    if dtype.startswith("float"):
+        return -math.inf, 1.0, False
+    raise ValueError(f"unknown pixel type: {dtype}")
+
+
+def sampled_kernel(rng: np.random.Generator, step: dict) -> np.ndarray:
+    """A blur kernel of one kind, drawn by the kinds' weights; only what the kind needs is drawn, in a fixed order."""
+    weights = step.get("blur_type_weights", {"gaussian": 1.0})
+    share = np.array(list(weights.values()), float)
+    name = list(weights)[int(rng.choice(len(weights), p=share / share.sum()))]
+    if name not in KERNELS:
+        raise ValueError(f"unknown blur type: {name}")
+    size = int(rng.choice(step.get("kernel_sizes", [7])))
+    draw = lambda key, lo, hi: float(rng.uniform(*step.get(key, (lo, hi))))
+    sx, sy, theta = draw("sigma_x", 0.5, 2.0), draw("sigma_y", 0.5, 2.0), draw("theta_range", 0.0, math.pi)
+    if name == "sinc_mtf":
+        return blur_kernel("sinc", size, mtf=draw("mtf_nyquist_range", 0.2, 0.5))
+    beta = draw("beta_range", 0.5, 2.0) if name != "gaussian" else 1.0
+    return blur_kernel(KERNELS[name], size, sx, sy, theta, beta)
+
+
+def noisy(bands: np.ndarray, valid: np.ndarray, rng: np.random.Generator, step: dict) -> np.ndarray:
+    """Gaussian or Poisson noise on valid pixels; grey noise is the same in all bands, as drawn for the first."""
+    fields = 1 if rng.random() < step.get("gray_prob", 0.4) else len(bands)
+    if rng.random() < step.get("gaussian_prob", 0.5):
+        noise = rng.normal(0, rng.uniform(*step.get("sigma_range", (0.005, 0.05))), (fields, *bands.shape[1:]))
+    else:
+        size = rng.uniform(*step.get("poisson_scale_range", (0.01, 0.1)))
+        rate = np.clip(bands[:fields], 0, None)
+        noise = (rng.poisson(rate) - rate) * size
+    return np.where(valid, bands + noise, bands)
+
+
 def degrade_tile(bands: np.ndarray, nodata: float | None, steps: list[dict], seed: int) -> np.ndarray:
     """Run blur, noise and resize steps over (bands, h, w) values in 0..1.
 
@@ -217,32 +265,26 @@ def degrade_tile(bands: np.ndarray, nodata: float | None, steps: list[dict], see
     valid = np.ones(bands.shape, bool) if nodata is None else bands != nodata
     for i, step in enumerate(steps):
         rng = np.random.default_rng(int(base.integers(2**31)) + i)
-        if rng.random() > step.get("prob", 1.0):
-            continue
         op = step["op"]
+        if op in ("blur", "noise") and rng.random() > step.get("prob", 1.0):
+            continue
         if op == "blur":
-            kind = str(rng.choice(step.get("kinds", ["gaussian"])))
-            size = int(rng.choice(step.get("sizes", [7])))
-            sx, sy = rng.uniform(*step.get("sigma", (0.5, 2.0)), 2)
-            kernel = blur_kernel(kind, size, sx, sy, rng.uniform(0, math.pi), rng.uniform(*step.get("beta", (0.5, 2.0))), rng.uniform(*step.get("mtf", (0.2, 0.5))))
+            kernel = sampled_kernel(rng, step)
             bands = np.stack([masked_blur(b, v, kernel) for b, v in zip(bands, valid, strict=True)])
         elif op == "noise":
-            fields = 1 if rng.random() < step.get("gray_prob", 0.4) else len(bands)
-            if rng.random() < step.get("gaussian_prob", 0.5):
-                noise = rng.normal(0, rng.uniform(*step.get("sigma", (0.005, 0.05))), (fields, *bands.shape[1:]))
-            else:
-                rate = np.clip(bands[:fields], 0, None)
-                noise = (rng.poisson(rate) - rate) * rng.uniform(*step.get("scale", (0.01, 0.1)))
-            bands = np.where(valid, bands + noise, bands)
+            bands = noisy(bands, valid, rng, step)
         elif op == "resize":
-            scale = float(step.get("scale", 1.0))
-            if abs(scale - 1) >= 1e-6:
-                method = str(rng.choice(step.get("methods", ["bilinear"])))
-                h, w = (max(1, int(n / scale)) for n in bands.shape[1:])
-                wy, wx = axis_weights(bands.shape[1], h, method), axis_weights(bands.shape[2], w, method)
-                near = axis_weights(bands.shape[1], h, "nearest"), axis_weights(bands.shape[2], w, "nearest")
-                bands = np.stack([wy @ b @ wx.T for b in bands])
-                valid = np.stack([near[0] @ v @ near[1].T > 0.5 for v in valid.astype(float)])
+            scale, methods = float(step.get("scale", 1.0)), list(step.get("methods", ["area", "bilinear", "bicubic"]))
+            if abs(scale - 1) < 1e-6:
+                continue
+            if unknown := [m for m in methods if m not in SHRINKING]:
+                raise ValueError(f"unknown methods: {', '.join(unknown)}")
+            method = SHRINKING[str(rng.choice(methods))]
+            h, w = (max(1, int(n / scale)) for n in bands.shape[1:])
+            wy, wx = axis_weights(bands.shape[1], h, method), axis_weights(bands.shape[2], w, method)
+            near = axis_weights(bands.shape[1], h, "nearest"), axis_weights(bands.shape[2], w, "nearest")
+            bands = np.stack([wy @ b @ wx.T for b in bands])
+            valid = np.stack([near[0] @ v @ near[1].T > 0.5 for v in valid.astype(float)])
         else:
             raise ValueError(f"unknown step: {op}")
     return bands

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import annotate, detections, masks, metrics, raster, split, tiling
+from tessera.operators import annotate, detections, masks, metrics, raster, split, tiling, windows
 
 Tables = dict[str, DataFrame]
 
@@ -151,7 +151,7 @@ def _spatial(tables: Tables, cfg: Config) -> Tables:
     scale, method = cfg.get("upscale_ratio", 1.0), cfg.get("interpolation", "cubic")
     images = raster.scaled_meta(tables["images"], scale)
     images = images.withColumns({"width": F.col("new_width"), "height": F.col("new_height")}).drop("new_width", "new_height", "sx", "sy")
-    return {"images": images, "blocks": raster.resample_tiles(tables["blocks"], scale, method)}
+    return {"images": images, "blocks": windows.resample(tables["blocks"], tables["images"], scale, method)}
 
 
 @preprocessing.stage("annotations")
@@ -179,7 +179,13 @@ def _tiling(tables: Tables, cfg: Config) -> Tables:
     if "splits" in cfg.to_dict():
         images = images.where(F.col("split").isin(*cfg.get("splits")))
     tiles = tiling.tile_grid(images, size, overlap)
-    return {"tiles": tiles, "tile_labels": tiling.project_labels(tables["labels"], tiles, size, overlap, cfg.get("min_visible_frac", 0.1))}
+    out = {"tiles": tiles, "tile_labels": tiling.project_labels(tables["labels"], tiles, size, overlap, cfg.get("min_visible_frac", 0.1))}
+    if "blocks" in tables:
+        out["tile_pixels"] = windows.cut_tiles(tables["blocks"], tiles, size)
+        # labels of tiles that are one value throughout go with them
+        kept = out["tile_pixels"].select("tile").distinct()
+        out |= {"tiles": tiles.join(kept, "tile", "left_semi"), "tile_labels": out["tile_labels"].join(kept, "tile", "left_semi")}
+    return out
 
 
 def predict(tables: Tables, detector: Callable, config: Config) -> DataFrame:

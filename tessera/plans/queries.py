@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import area, centroid, least_sides, normalised, point, rectangle, to_pixels, to_world
 from tessera.functions.overlap import visible_fraction
 from tessera.functions.repair import repaired
-from tessera.operators import annotate, detections, grid, masks, metrics, raster, split, tiling
+from tessera.operators import annotate, detections, grid, masks, metrics, raster, split, tiling, windows
 from tessera.operators.dissolve import dissolve
 from tessera.plans.derived import (
     BOXES, COASTLINES, IMAGES, PIXELS, boxes, coastlines, embedding_rows, images, read, sql_area, sql_clipped, sql_pairs,
@@ -525,7 +525,8 @@ def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("image", F.posexplode("pixels").alias("i", "pixel")).withColumn("i", F.col("i") + 1)
 
 
-@query()
+@query(f"""WITH {PIXELS}, n AS (SELECT image, pixels, unnest(range(96)) AS i FROM pixels)
+  SELECT image, 0::INT AS band, row_off::INT AS row_off, (i + 1)::INT AS i, pixels[least(floor((i + 5e-1) * 64 / 96e0), 63)::INT + 1] AS pixel FROM n, range(2) r(row_off)""")
 def resample_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All new rows; ``resample_nearest`` is the first of each image, as far as its SQL goes."""
     r = raster.resample_nearest(embedding_rows(spark, sf_dir), 1.5)
@@ -553,10 +554,67 @@ def degrade_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("image").cast("string").alias("image"), F.col("image").cast("int").alias("tile_no"), F.lit(1).alias("n_bands"),
         F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("pixels", lambda v: v * 20.0).alias("pixels"),
     )
-    steps = [{"op": "blur", "sizes": [3, 5]}, {"op": "noise"}, {"op": "resize", "scale": 2.0}]
+    steps = [{"op": "blur", "kernel_sizes": [3, 5]}, {"op": "noise"}, {"op": "resize", "scale": 2.0}]
     return raster.degrade(t, steps, seed=7)
 
 
+def _blocks(spark: SparkSession, sf_dir: str, side: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as images of eight by eight pixels in blocks of ``side``, the last ones smaller, and their sizes."""
+    rows = embedding_rows(spark, sf_dir).where("size(pixels) = 64")
+    steps = F.sequence(F.lit(0), F.lit(7), F.lit(side))
+    b = rows.withColumn("row_off", F.explode(steps)).withColumn("col_off", F.explode(steps))
+    h, w = (F.least(F.lit(side), F.lit(8) - F.col(c)) for c in ("row_off", "col_off"))
+    line = lambda r: F.slice("pixels", r * 8 + F.col("col_off") + 1, F.least(F.lit(side), F.lit(8) - F.col("col_off")))
+    part = F.flatten(F.transform(F.sequence(F.col("row_off"), F.col("row_off") + h - 1), line))
+    blocks = b.select("image", "band", "row_off", "col_off", h.alias("h"), w.alias("w"), part.alias("pixels"))
+    return blocks, rows.select("image", F.lit(8).alias("width"), F.lit(8).alias("height"))
+
+
+def _exploded(blocks: DataFrame) -> DataFrame:
+    """A row for each pixel of blocks: ``image, band, y, x, v``."""
+    e = blocks.select("image", "band", "row_off", "col_off", "w", F.posexplode("pixels").alias("k", "v"))
+    y, x = F.col("row_off") + (F.col("k") / F.col("w")).cast("int"), F.col("col_off") + F.col("k") % F.col("w")
+    return e.select("image", "band", y.cast("int").alias("y"), x.cast("int").alias("x"), "v")
+
+
+def _sql_axis(o: str, i: str, length: int, new: int) -> str:
+    return f"greatest(0e0, 1e0 - abs({i} - (({o} + 5e-1) * {length}e0 / {new}e0 - 5e-1)))"
+
+
+@query(f"""WITH {PIXELS}, w AS (SELECT o, i, wt / sum(wt) OVER (PARTITION BY o) AS wt FROM (SELECT o, i, {_sql_axis('o', 'i', 8, 12)} AS wt FROM range(12) a(o), range(8) b(i))),
+  p AS (SELECT image, unnest(range(64)) AS k, unnest(pixels) AS v FROM pixels WHERE len(pixels) = 64),
+  q AS (SELECT image, k // 8 AS i, k % 8 AS j, v FROM p), r AS (SELECT image, j, o AS y, sum(wt * v) AS v FROM q JOIN w USING (i) WHERE wt > 0 GROUP BY ALL)
+  SELECT image, 0::INT AS band, y::INT AS y, w.o::INT AS x, floor(sum(wt * v) * 1e6 + 487e-3) / 1e6 AS v FROM r JOIN w ON w.i = r.j AND wt > 0 GROUP BY image, y, w.o""")
+def resample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine blocks of an image scaled by a half more: every pixel is that of the image scaled as a whole."""
+    r = _exploded(windows.resample(*_blocks(spark, sf_dir), 1.5, "bilinear"))
+    return r.withColumn("v", F.floor(F.col("v") * 1e6 + 0.487) / 1e6)
+
+
+@query(f"""WITH {PIXELS}, p AS (SELECT image, unnest(range(64)) AS k, unnest(pixels) AS v FROM pixels WHERE len(pixels) = 64), t AS (SELECT y0, x0 FROM range(0, 8, 5) a(y0), range(0, 8, 5) b(x0)),
+  q AS (SELECT image, y0, x0, (k // 8 - y0)::INT AS y, (k % 8 - x0)::INT AS x, v FROM p JOIN t ON k // 8 BETWEEN y0 AND y0 + 5 AND k % 8 BETWEEN x0 AND x0 + 5),
+  c AS (SELECT *, (y0 + 6 > 8 OR x0 + 6 > 8) AS cut FROM q),
+  k AS (SELECT image, y0, x0 FROM c GROUP BY ALL HAVING min(CASE WHEN cut THEN least(v, 0) ELSE v END) < max(CASE WHEN cut THEN greatest(v, 0) ELSE v END))
+  SELECT image::VARCHAR || '_' || x0 || '_' || y0 AS tile, sum(v)::BIGINT AS total, sum(v * (y * 6 + x + 1))::BIGINT AS placed FROM c JOIN k USING (image, y0, x0) GROUP BY image, y0, x0""")
+def tile_pixel_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of six pixels, one of overlap, out of blocks of three: their pixels and places."""
+    blocks, sizes = _blocks(spark, sf_dir)
+    t = windows.cut_tiles(blocks, tiling.tile_grid(sizes, 6, 1), 6)
+    at = lambda weigh: F.aggregate(F.transform("pixels", weigh), F.lit(0.0), lambda a, v: a + v).cast("long")
+    return t.select("tile", at(lambda v, k: v).alias("total"), at(lambda v, k: v * (k + 1)).alias("placed"))
+
+
+@query(f"""WITH {PIXELS}, p AS (SELECT image, unnest(range(64)) AS k, unnest(pixels) AS v FROM pixels WHERE len(pixels) = 64)
+  SELECT image, 0::INT AS band, (k // 8)::INT AS y, (k % 8)::INT AS x, (CASE image % 3 WHEN 0 THEN least(v * 90, 255) WHEN 1 THEN least(v * 9000, 65535) ELSE v / 8e0 END)::DOUBLE AS v FROM p""")
+def degrade_pixel_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 8 and 16 bits and of fractions through halo tiles, no step changing them: whole pixels saturate, all come back where they were."""
+    blocks, sizes = _blocks(spark, sf_dir)
+    k = F.col("image") % 3
+    bright = F.transform("pixels", lambda v: F.when(k == 0, v * 90.0).when(k == 1, v * 9000.0).otherwise(v / 8.0))
+    sizes = sizes.withColumn("dtype", F.when(k == 0, "uint8").when(k == 1, "uint16").otherwise("float32"))
+    return _exploded(windows.degrade_images(blocks.withColumn("pixels", bright), sizes, [{"op": "resize", "scale": 1.0}], 4, 2))
+
+
 # ------------------------------------------------------------------- split
 
 _PROFILE = """profile AS (SELECT conv_id AS image, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS class_id, count(*) AS n FROM conversations GROUP BY ALL)"""

@@ -345,7 +345,7 @@ def test_kernels_and_blur():
 def test_degrade_repeats(spark):
     rng = np.random.default_rng(1)
     t = spark.createDataFrame([("a", k, 2, 8, 8, rng.integers(0, 255, 128).tolist()) for k in range(6)], "image string, tile_no int, n_bands int, h int, w int, pixels array<int>")
-    steps = [{"op": "blur", "kinds": ["gaussian", "sinc"]}, {"op": "noise"}, {"op": "resize", "scale": 2.0}]
+    steps = [{"op": "blur", "blur_type_weights": {"gaussian": 1, "sinc_mtf": 2}}, {"op": "noise"}, {"op": "resize", "scale": 2.0}]
     one = sorted(map(str, raster.degrade(t, steps, 3).collect()))
     assert one == sorted(map(str, raster.degrade(t.repartition(5), steps, 3).collect()))
     assert all(r["h"] == 4 and min(r["pixels"]) >= 0 and max(r["pixels"]) <= 255 for r in raster.degrade(t, steps, 3).collect())
