@@ -19,7 +19,8 @@ from tessera.operators.dissolve import dissolve
 from tessera.plans.derived import (
     BOXES, COASTLINES, IMAGES, PIXELS, boxes, coastlines, embedding_rows, images, read, sql_area, sql_clipped, sql_pairs,
 )
-from tessera.sources import geojson, labels
+from tessera.sources import geojson, labels, tiff
+from tessera.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,6 +616,19 @@ def degrade_pixel_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(windows.degrade_images(blocks.withColumn("pixels", bright), sizes, [{"op": "resize", "scale": 1.0}], 4, 2))
 
 
+@query(f"""WITH {PIXELS}, p AS (SELECT image // 64 AS image, (image % 64)::INT AS row_off, pixels FROM pixels WHERE len(pixels) = 64 AND image % 64 BETWEEN 10 AND 20)
+  SELECT image::VARCHAR AS image, row_off, list_sum(list_transform(range(1, 65), lambda i: pixels[i] * i))::BIGINT AS placed FROM p""")
+def tiff_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 64 embeddings each, written as GeoTIFF files, of which the strips of a window are read back."""
+    rows = embedding_rows(spark, sf_dir).where("size(pixels) = 64").withColumn("row_off", (F.col("image") % 64).cast("int")).withColumn("image", F.floor(F.col("image") / 64).cast("string"))
+    blocks = rows.select("image", "band", "row_off", F.lit(0).alias("col_off"), F.lit(1).alias("h"), F.lit(64).alias("w"), "pixels")
+    meta = rows.groupBy("image").agg(F.lit(64).alias("width"), (F.max("row_off") + 1).alias("height"), F.lit(1).alias("n_bands"), F.lit("uint8").alias("dtype"))
+    path = scratch_path(spark)
+    tiff.write_tiff(blocks, meta, path)
+    read = tiff.read_blocks(spark, tiff.tiff_paths(spark, path), (10, 0, 11, 64))
+    return read.select("image", "row_off", F.aggregate(F.transform("pixels", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v).cast("long").alias("placed"))
+
+
 # ------------------------------------------------------------------- split
 
 _PROFILE = """profile AS (SELECT conv_id AS image, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS class_id, count(*) AS n FROM conversations GROUP BY ALL)"""

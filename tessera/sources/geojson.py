@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.geometry import RING, area, point
 from tessera.functions.repair import repair_masks, repaired
+from tessera.sources.files import listing, write_text_files
 
 PROPERTIES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("label", "class_name", "source_tile", "source_image")]
@@ -36,8 +37,13 @@ def read_features(spark: SparkSession, path: str | list[str], recursive: bool =
     """One row for each feature of each file: ``image, ordinal, properties..., ring``.
 
     ``ring`` is a polygon's outline without the closing point, null where there
-    is no geometry.  A file without features gives no row.
+    is no geometry.  A file without features gives no row, and of a list of
+    paths those that are missing are skipped (``files.listing`` names them).
     """
+    if not isinstance(path, str):
+        path = [r["path"] for r in listing(spark, path).where("status <> 'missing'").select("path").collect()]
+        if not path:
+            return spark.createDataFrame([], T.StructType([T.StructField("image", T.StringType()), T.StructField("ordinal", T.IntegerType()), *PROPERTIES.fields, T.StructField("ring", T._parse_datatype_string(RING))]))
     df = spark.read.schema(COLLECTION).option("multiLine", True).option("recursiveFileLookup", recursive).json(path)
     rows = df.select(stem(F.input_file_name()).alias("image"), F.posexplode("features").alias("ordinal", "f"))
     return rows.select("image", "ordinal", "f.properties.*", open_ring(F.col("f.geometry.coordinates")[0]).alias("ring"))
@@ -128,5 +134,42 @@ def collections(rows: DataFrame, evaluation: bool = False) -> DataFrame:
 
 
 def write_collections(rows: DataFrame, path: str, evaluation: bool = False) -> None:
-    """One folder for each image, by Spark's own commit protocol."""
-    collections(rows, evaluation).repartition("image").write.mode("overwrite").partitionBy("image").text(path)
+    """``{image}.geojson`` for each image, published together when all are written."""
+    c = collections(rows, evaluation)
+    write_text_files(c.select(F.concat(F.col("image").cast("string"), F.lit(".geojson")).alias("name"), "value"), path, "overwrite")
+
+
+#: A collection whose features and metadata stay the text that they are.
+RAW_COLLECTION = "metadata map<string,string>, features array<string>"
+
+
+def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``image, metadata, ordinal, feature`` of each file's features as text; a file without features keeps one row, its feature null."""
+    df = spark.read.schema(RAW_COLLECTION).option("multiLine", True).json(path)
+    return df.select(stem(F.input_file_name()).alias("image"), "metadata", F.posexplode_outer("features").alias("ordinal", "feature"))
+
+
+def filtered_collections(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """``image, value``: the files of ``read_raw`` with only the features that ``kept (image, ordinal)`` names.
+
+    Metadata are taken over from the source, with the new count of features;
+    features come out as they were, in order, whatever properties they have.
+    """
+    stays = raw.join(kept.select("image", "ordinal", F.lit(True).alias("__stays")).distinct(), ["image", "ordinal"], "left")
+    kept_text = F.when(F.col("__stays"), F.struct("ordinal", "feature"))
+    g = stays.groupBy("image").agg(F.first("metadata", True).alias("m"), F.array_sort(F.collect_list(kept_text)).alias("f"))
+    # values of the metadata are JSON already, but for texts, which were read without their quotes
+    number = r"^(-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null|[\[{].*)$"
+    text = lambda v: F.when(v.rlike(number), v).otherwise(F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", ""))
+    total = F.size("f").cast("string")
+    old = F.map_filter(F.coalesce("m", F.create_map().cast("map<string,string>")), lambda k, _: k != "total_features")
+    named = lambda k, v: F.concat(F.lit('"'), k, F.lit('":'), v)
+    meta = F.array_join(F.concat(F.transform(F.map_entries(old), lambda e: named(e["key"], text(e["value"]))), F.array(named(F.lit("total_features"), total))), ",")
+    value = F.concat(F.lit('{"type":"FeatureCollection","metadata":{'), meta, F.lit('},"features":['), F.array_join(F.col("f.feature"), ","), F.lit("]}"))
+    return g.select("image", value.alias("value"))
+
+
+def write_filtered(raw: DataFrame, kept: DataFrame, path: str) -> None:
+    """``{image}.geojson`` of ``filtered_collections``, published together when all are written."""
+    c = filtered_collections(raw, kept)
+    write_text_files(c.select(F.concat(F.col("image").cast("string"), F.lit(".geojson")).alias("name"), "value"), path, "overwrite")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.geometry import point
+from tessera.sources.files import write_text_files
 from tessera.sources.geojson import stem
 
 INTEGER, NUMBER = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -18,7 +19,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A file of no bytes has no line; ``rasters.list_files`` lists it, and
     ``image_profile`` keeps its image.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(stem(F.input_file_name()).alias("image"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))
 
 
@@ -60,4 +61,6 @@ def files(labels: DataFrame, images: DataFrame, order: str = "line_no", final_ne
 
 
 def write_files(labels: DataFrame, images: DataFrame, path: str, final_newline: bool = True) -> None:
-    files(labels, images, final_newline=final_newline).write.mode("overwrite").partitionBy("image").option("lineSep", "\n").text(path)
+    """``{image}.txt`` for each image, published together when all are written."""
+    rows = files(labels, images, final_newline=final_newline)
+    write_text_files(rows.select(F.concat(F.col("image").cast("string"), F.lit(".txt")).alias("name"), "value"), path, "overwrite")

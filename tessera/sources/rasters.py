@@ -9,31 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 META = (
     "image string, path string, width int, height int, n_bands int, dtype string, nodata double, crs string, "
     "affine struct<a:double,b:double,c:double,d:double,e:double,f:double>, tags map<string,string>"
 )
 BLOCKS = "image string, band int, row_off int, col_off int, h int, w int, pixels array<int>"
-EXTENSIONS = "*.{tif,TIF,tiff,TIFF}"
+EXTENSIONS = ["*.tif", "*.TIF", "*.tiff", "*.TIFF"]
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.tif") -> DataFrame:
-    """``path, length`` of the files, in path order; contents aren't read.  No file is an error.
+    """``path, length`` of the files, in path order; contents aren't read, and folders are walked by tasks.
 
-    Files of no bytes are listed too, which Spark's readers leave out.
+    Files of no bytes are listed too, which Spark's readers leave out.  No file
+    is an error.
     """
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    glob = jvm.org.apache.hadoop.fs.GlobFilter(EXTENSIONS if recursive else pattern)
-    listed, found = fs.listFiles(top, recursive), []
-    while listed.hasNext():
-        f = listed.next()
-        if glob.accept(f.getPath()):
-            found.append((f.getPath().toString(), f.getLen()))
-    if not found:
+    found = files.listing(spark, path, EXTENSIONS if recursive else pattern, recursive).where("status <> 'missing'")
+    if not found.take(1):
         raise FileNotFoundError(f"no {pattern} under {path}")
-    return spark.createDataFrame(found, "path string, length long").orderBy("path")
+    return found.select("path", "length").orderBy("path")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:

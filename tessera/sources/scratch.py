@@ -9,13 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to Parquet under ``spark.checkpoint.dir`` and read back.
+def scratch_path(spark: SparkSession) -> str:
+    """A new name under ``spark.checkpoint.dir``; what is put there goes when the driver's Python ends.
 
-    The files outlive any executor; they go when the driver's Python ends.  Only
-    a session on one machine may lack that setting and gets a folder of its own.
+    Only a session on one machine may lack that setting and gets a folder of its own.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -25,8 +23,14 @@ def settled(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to Parquet in the shared folder and read back: the files outlive any executor."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
