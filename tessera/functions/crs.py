@@ -23,7 +23,7 @@ FALSE_NORTHING_SOUTH = 10000000.0
 WGS84_NAMES = {"EPSG:4326", "WGS84", "CRS84"}
 
 _n = FLATTENING / (2 - FLATTENING)
-_e = math.sqrt(FLATTENING * (2 - FLATTENING))
+_e = ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
 RECTIFYING = SEMI_MAJOR / (1 + _n) * (1 + _n**2 / 4 + _n**4 / 64 + _n**6 / 256)
 ALPHA = (
     _n / 2 - 2 * _n**2 / 3 + 5 * _n**3 / 16 + 41 * _n**4 / 180 - 127 * _n**5 / 288 + 7891 * _n**6 / 37800,
@@ -70,28 +70,30 @@ def _series(xi: Column, eta: Column, factors: tuple[float, ...]) -> tuple[Column
 def to_utm(p: Column, crs: str) -> Column:
     """A point of longitude x and latitude y in metres of the zone."""
     zone, south = utm_zone(crs)
-    lon0 = math.radians(6 * zone - 183)
+    return _to_zone(p, F.lit(6.0 * zone - 183.0), F.lit(FALSE_NORTHING_SOUTH if south else 0.0))
 
+
+def _to_zone(p: Column, meridian: Column, north: Column) -> Column:
     def project(v: Column) -> Column:
         t = F.sinh(F.atanh(F.sin(v["lat"])) - F.atanh(F.sin(v["lat"]) * _e) * _e)
         q = F.struct(F.atan2(t, F.cos(v["lon"])).alias("xi"), F.asinh(F.sin(v["lon"]) / F.sqrt(t * t + F.cos(v["lon"]) * F.cos(v["lon"]))).alias("eta"))
 
         def place(w: Column) -> Column:
             dx, dy = _series(w["xi"], w["eta"], ALPHA)
-            return point(
-                (w["eta"] + dy) * (SCALE * RECTIFYING) + FALSE_EASTING,
-                (w["xi"] + dx) * (SCALE * RECTIFYING) + (FALSE_NORTHING_SOUTH if south else 0.0),
-            )
+            return point((w["eta"] + dy) * (SCALE * RECTIFYING) + FALSE_EASTING, (w["xi"] + dx) * (SCALE * RECTIFYING) + north)
 
         return let(q, place)
 
-    return let(F.struct((F.radians(p["x"]) - lon0).alias("lon"), F.radians(p["y"]).alias("lat")), project)
+    return let(F.struct((F.radians(p["x"]) - F.radians(meridian)).alias("lon"), F.radians(p["y"]).alias("lat")), project)
 
 
 def from_utm(p: Column, crs: str) -> Column:
     """Metres of the zone as a point of longitude x and latitude y."""
     zone, south = utm_zone(crs)
-    north = FALSE_NORTHING_SOUTH if south else 0.0
+    return _from_zone(p, F.lit(6.0 * zone - 183.0), F.lit(FALSE_NORTHING_SOUTH if south else 0.0))
+
+
+def _from_zone(p: Column, meridian: Column, north: Column) -> Column:
     q = F.struct(
         ((p["y"] - north) / (SCALE * RECTIFYING)).alias("xi"), ((p["x"] - FALSE_EASTING) / (SCALE * RECTIFYING)).alias("eta")
     )
@@ -102,7 +104,7 @@ def from_utm(p: Column, crs: str) -> Column:
 
     def place(w: Column) -> Column:
         t0 = F.sin(w["xi"]) / F.sqrt(F.sinh(w["eta"]) * F.sinh(w["eta"]) + F.cos(w["xi"]) * F.cos(w["xi"]))
-        lon = F.degrees(F.atan2(F.sinh(w["eta"]), F.cos(w["xi"]))) + (6.0 * zone - 183.0)
+        lon = F.degrees(F.atan2(F.sinh(w["eta"]), F.cos(w["xi"]))) + meridian
         return point(lon, F.degrees(F.atan(_geographic(t0))))
 
     return let(q, back)
@@ -126,3 +128,31 @@ def reproject(ring: Column, source: str, target: str) -> Column:
         return ring
     geographic = ring if is_wgs84(source) else F.transform(ring, lambda p: from_utm(p, source))
     return geographic if is_wgs84(target) else F.transform(geographic, lambda p: to_utm(p, target))
+
+
+def _system(crs: Column) -> Column:
+    """``wgs84, meridian, north`` of a system that a column names; null for null, an error for an unknown one."""
+    name = F.upper(F.replace(crs, F.lit(" "), F.lit("")))
+    zone = F.regexp_extract(name, r"^EPSG:32[67](\d\d)$", 1).try_cast("int")
+    wgs84 = name.isin(*sorted(WGS84_NAMES))
+    known = wgs84 | zone.between(1, 60)
+    stop = F.raise_error(F.concat(F.lit("unsupported coordinate system: "), crs)).cast("double")
+    meridian = F.when(known, F.coalesce(6.0 * zone - 183.0, F.lit(0.0))).otherwise(stop)
+    north = F.when(F.substring(name, 8, 1) == "7", F.lit(FALSE_NORTHING_SOUTH)).otherwise(F.lit(0.0))
+    return F.when(crs.isNotNull(), F.struct(wgs84.alias("wgs84"), meridian.alias("meridian"), north.alias("north"), name.alias("name")))
+
+
+def reproject_between(ring: Column, source: Column, target: Column) -> Column:
+    """Every vertex of a ring from the system that one column names to that of another.
+
+    One expression serves any mix of systems, row by row; a null system gives
+    null, an unknown one an error.
+    """
+
+    def moved(v: Column) -> Column:
+        s, t = v["s"], v["t"]
+        there = F.when(s["wgs84"], v["r"]).otherwise(F.transform(v["r"], lambda p: _from_zone(p, s["meridian"], s["north"])))
+        back = let(there, lambda g: F.when(t["wgs84"], g).otherwise(F.transform(g, lambda p: _to_zone(p, t["meridian"], t["north"]))))
+        return F.when(s["name"] == t["name"], v["r"]).when(s.isNotNull() & t.isNotNull(), back)
+
+    return let(F.struct(_system(source).alias("s"), _system(target).alias("t"), ring.alias("r")), moved)

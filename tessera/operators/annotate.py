@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.crs import reproject
+from tessera.functions.crs import reproject_between
 from tessera.functions.geometry import area, least_rectangle, least_sides, normalised, rectangle, to_pixels
 from tessera.functions.overlap import visible_fraction
 from tessera.functions.repair import repaired
@@ -49,16 +49,13 @@ def convert(annotations: DataFrame, images: DataFrame, cfg: AnnotationConfig) ->
     The order is fixed: classes, repair of the ring, rectangle in the annotation's own system,
     reprojection, visible share in the image, pixels, least side, normalising,
     and last the test for boxes that clamping left without area.  ``images`` has
-    ``image, width, height, crs, affine`` and is joined by name; images with
-    several systems are handled one system at a time.
+    ``image, width, height, crs, affine`` and is joined by name; every image may
+    have a system of its own.
     """
     rows = remap_classes(annotations.withColumn("class_id", F.coalesce("class_id", F.lit(-1))), cfg.class_map, cfg.skip_classes)
     rows = rows.withColumn("box", least_rectangle(repaired(F.col("ring")))).where("box is not null")
     joined = rows.join(images.select("image", "width", "height", "crs", "affine"), "image")
-    systems = sorted(r["crs"] for r in images.select("crs").distinct().collect() if r["crs"])
-    world = F.lit(None).cast("array<struct<x:double,y:double>>")
-    for crs in systems:
-        world = F.when(F.col("crs") == crs, reproject(F.col("box"), cfg.annotation_crs, crs)).otherwise(world)
+    world = reproject_between(F.col("box"), F.lit(cfg.annotation_crs), F.col("crs"))
     px = joined.withColumn("px", to_pixels(world, F.col("affine"))).where("px is not null")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     seen = px.where(visible_fraction(F.col("px"), rectangle(F.lit(0.0), F.lit(0.0), w, h)) >= cfg.min_visible)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.crs import reproject_between
 from tessera.functions.geometry import area, bounds
 from tessera.functions.overlap import overlap_area
 from tessera.operators.dissolve import dissolve
@@ -38,6 +39,12 @@ def covered(boxes: DataFrame, masks: DataFrame, cell: float | None = None) -> Da
     ).drop("__in", "__all")
 
 
+def masks_in(masks: DataFrame, images: DataFrame, crs: str = "EPSG:4326") -> DataFrame:
+    """Masks of one system in the systems of their images, ``image, crs``; images without one leave their masks out."""
+    to = masks.join(images.select("image", F.col("crs").alias("__crs")).where("crs is not null"), "image")
+    return to.withColumn("ring", reproject_between(F.col("ring"), F.lit(crs), F.col("__crs"))).drop("__crs")
+
+
 def mask_filter(boxes: DataFrame, masks: DataFrame, threshold: float, criterion: str, tiny_stays: bool = True) -> DataFrame:
     """Filter by the covered share: ``area_inside`` keeps shares of at least the threshold, ``area_overlap`` those below.
 

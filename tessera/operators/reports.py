@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.crs import reproject
 from tessera.functions.geometry import to_world
 from tessera.operators.tiling import to_image_pixels
+from tessera.sources.files import write_text_files
 
 
 def write_csv(table: DataFrame, path: str) -> None:
@@ -32,6 +33,14 @@ def dataset_description(root: str, names: dict[int, str], tiling_key: str) -> di
     }
 
 
+def write_dataset(spark, root: str, names: dict[int, str], tiling_key: str, name: str = "dataset.yaml") -> None:
+    """``dataset_description`` as a YAML file below ``root``, published when it is whole."""
+    import yaml
+
+    text = yaml.safe_dump(dataset_description(root, names, tiling_key), sort_keys=False, allow_unicode=True)
+    write_text_files(spark.createDataFrame([(name, text)], "name string, value string"), root)
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """A line for each run, in order: status, name, and the failed stage if there is one."""
     where = F.when(F.col("failed_stage").isNotNull(), F.concat(F.lit(" at "), "failed_stage")).otherwise("")

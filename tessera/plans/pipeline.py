@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.repair import repaired
 from tessera.operators import annotate, detections, masks, metrics, raster, split, tiling, windows
 
 Tables = dict[str, DataFrame]
@@ -94,6 +95,25 @@ def coerced(raw: str) -> Any:
     return raw
 
 
+MODES = ("inference", "evaluation")
+SECTIONS = ("pipeline", "model", "paths", "prediction")
+
+
+def checked(config: Config) -> Config:
+    """The settings of a prediction run, or an error that names what is missing or out of range."""
+    for section in SECTIONS:
+        if not isinstance(config.get(section), dict):
+            raise KeyError(f"section {section} is missing")
+    mode = config.get("pipeline.mode", "")
+    if mode not in MODES:
+        raise ValueError(f"pipeline.mode must be one of {', '.join(MODES)}, not {mode!r}")
+    for name in ("prediction.conf", "prediction.iou", "prediction.global_nms_iou", "evaluation.iou_threshold"):
+        v = config.get(name, 0.5)
+        if isinstance(v, bool) or not isinstance(v, int | float) or not 0 <= v <= 1:
+            raise ValueError(f"{name} must be a number from 0 to 1, not {v!r}")
+    return config
+
+
 # ---------------------------------------------------------------- stages
 
 
@@ -124,6 +144,22 @@ class Registry:
         return tables
 
 
+def with_removed(registry: Registry, tables: Tables, config: Config, only: list[str] | None = None, table: str = "predictions") -> tuple[Tables, DataFrame]:
+    """Run the stages, and count what each removed: ``step, stage, image, removed``, an image's row null for all.
+
+    Whether filtered or raw predictions go on is the caller's choice: the input
+    tables are left as they are.
+    """
+    counts = None
+    for step, name in enumerate(registry.chosen(config, only)):
+        after = registry.run(tables, config, [name])
+        gone = masks.removed_count(tables[table], after[table]).select(F.lit(step).alias("step"), F.lit(name).alias("stage"), F.col("image").cast("string").alias("image"), "removed")
+        counts, tables = gone if counts is None else counts.unionByName(gone), after
+    if counts is None:
+        counts = tables[table].sparkSession.createDataFrame([], "step int, stage string, image string, removed long")
+    return tables, counts
+
+
 postprocessing = Registry()
 
 
@@ -192,10 +228,12 @@ def predict(tables: Tables, detector: Callable, config: Config) -> DataFrame:
     """Detections of all tiles by a user's ``detector``, then global suppression.
 
     ``detector`` is an iterator function for ``mapInPandas`` over ``tiles``
-    that yields ``image, ordinal, class_id, confidence, ring``.
+    that yields ``image, ordinal, class_id, confidence, ring``; rings that cross
+    themselves are repaired.
     """
     schema = "image string, ordinal long, class_id int, confidence double, ring array<struct<x:double,y:double>>"
     found = tables["tiles"].mapInPandas(detector, schema).where(f"confidence >= {float(config.get('prediction.conf', 0.2))}")
+    found = found.withColumn("ring", repaired(F.col("ring"))).where(F.size("ring") >= 3)
     return detections.suppress(found, config.get("prediction.global_nms_iou", 0.2))
 
 

@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.crs import ALPHA, ECCENTRICITY, RECTIFYING, SCALE, reproject_between
 from tessera.functions.geometry import area, centroid, least_sides, normalised, point, rectangle, to_pixels, to_world
 from tessera.functions.overlap import visible_fraction
 from tessera.functions.repair import repaired
 from tessera.operators import annotate, detections, grid, masks, metrics, raster, split, tiling, windows
 from tessera.operators.dissolve import dissolve
+from tessera.operators.ordinals import with_ordinals
 from tessera.plans.derived import (
     BOXES, COASTLINES, IMAGES, PIXELS, boxes, coastlines, embedding_rows, images, read, sql_area, sql_clipped, sql_pairs,
 )
@@ -386,6 +388,42 @@ def image_tile_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("image", "ordinal", micro(F.col("r")[0]["x"]).alias("x"), micro(F.col("r")[0]["y"]).alias("y"))
 
 
+# ------------------------------------------------- projections and ordinals
+
+_COSH = ", ".join(f"{a!r}::DOUBLE" for a in ALPHA)
+
+
+def _sql_series(other: str) -> str:
+    """The sums of the series along and across."""
+    f, g = ("sin", "cosh") if other == "xi" else ("cos", "sinh")
+    return f"list_sum(list_transform(range(1, 7), lambda k: [{_COSH}][k] * {f}(2e0 * k * xi) * {g}(2e0 * k * eta)))"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, (1 + l_partkey % 60)::INT AS zone, l_suppkey % 2 = 1 AS south,
+      6e0 * (1 + l_partkey % 60) - 183e0 + (l_suppkey % 61 - 30) / 1e1 AS lon, CASE WHEN l_suppkey % 2 = 1 THEN -1e0 ELSE 1e0 END * (l_orderkey % 80 + l_linenumber / 8e0) AS lat FROM lineitem),
+  t AS (SELECT *, radians(lon) - radians(6e0 * zone - 183e0) AS dl, sinh(atanh(sin(radians(lat))) - {ECCENTRICITY!r}::DOUBLE * atanh({ECCENTRICITY!r}::DOUBLE * sin(radians(lat)))) AS t FROM p),
+  q AS (SELECT *, atan2(t, cos(dl)) AS xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) AS eta FROM t)
+  SELECT l_orderkey, l_linenumber, zone, floor((5e5 + {SCALE * RECTIFYING!r}::DOUBLE * (eta + {_sql_series('eta')})) * 1e2 + 487e-3) / 1e2 AS east,
+    floor((CASE WHEN south THEN 1e7 ELSE 0e0 END + {SCALE * RECTIFYING!r}::DOUBLE * (xi + {_sql_series('xi')})) * 1e2 + 487e-3) / 1e2 AS north FROM q""")
+def mixed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points all over the world, each in the zone that its row names: 120 systems in one expression."""
+    li = read(spark, sf_dir, "lineitem")
+    zone, south = (1 + F.col("l_partkey") % 60).cast("int"), F.col("l_suppkey") % 2 == 1
+    lon = 6.0 * zone - 183.0 + (F.col("l_suppkey") % 61 - 30) / 10.0
+    lat = F.when(south, -1.0).otherwise(1.0) * (F.col("l_orderkey") % 80 + F.col("l_linenumber") / 8.0)
+    crs = F.concat(F.when(south, "EPSG:327").otherwise("EPSG:326"), F.lpad(zone.cast("string"), 2, "0"))
+    p = li.select("l_orderkey", "l_linenumber", zone.alias("zone"), reproject_between(F.array(point(lon, lat)), F.lit("EPSG:4326"), crs)[0].alias("p"))
+    cm = lambda c: F.floor(c * 1e2 + 0.487) / 1e2
+    return p.select("l_orderkey", "l_linenumber", "zone", cm(F.col("p.x")).alias("east"), cm(F.col("p.y")).alias("north"))
+
+
+@query(f"""WITH {BOXES} SELECT image, ordinal, (row_number() OVER (ORDER BY class_id, image::VARCHAR, ordinal) - 1)::BIGINT AS place FROM boxes""")
+def global_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every box in one order of all of them."""
+    b = boxes(spark, sf_dir).select("image", "ordinal", "class_id", F.col("image").cast("string").alias("name"))
+    return with_ordinals(b, "class_id", "name", "ordinal", name="place").select("image", "ordinal", "place")
+
+
 # ----------------------------------------------------------------- labels
 
 _RAW = """raw_ AS (SELECT l_orderkey AS image, l_linenumber AS line_no, CASE WHEN l_linenumber = 5 THEN 'a' WHEN l_linenumber = 6 THEN '1.0' ELSE (l_partkey % 12)::VARCHAR END AS cls,

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from tessera.sources.files import StagedWriter, listing, opened
+from tessera.sources.files import StagedWriter, first_file, listing, opened
 
 BLOCKS = "path string, image string, band int, row_off int, col_off int, h int, w int, pixels array<double>"
 META = (
@@ -288,6 +288,12 @@ def tiff_paths(spark: SparkSession, folder: str, recursive: bool = False) -> lis
     return [r["path"] for r in found.select("path").orderBy("path").collect()]
 
 
+def folder_crs(spark: SparkSession, folder: str) -> str | None:
+    """The system of the first file of a folder, in name order; null where there is no file or it names none."""
+    first = first_file(spark, folder)
+    return None if first is None else read_meta(spark, first).first()["crs"]
+
+
 # ---------------------------------------------------------------------- sink
 
 
