@@ -58,7 +58,7 @@ def convert(annotations: DataFrame, images: DataFrame, cfg: AnnotationConfig) ->
     world = reproject_between(F.col("box"), F.lit(cfg.annotation_crs), F.col("crs"))
     px = joined.withColumn("px", to_pixels(world, F.col("affine"))).where("px is not null")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
-    seen = px.where(visible_fraction(F.col("px"), rectangle(F.lit(0.0), F.lit(0.0), w, h)) >= cfg.min_visible)
+    seen = px.withColumn("__seen", visible_fraction(F.col("px"), rectangle(F.lit(0.0), F.lit(0.0), w, h))).where(F.col("__seen") >= cfg.min_visible)
     out = seen.withColumn("corners", normalised(least_sides(F.col("px"), cfg.min_side), w, h))
     return out.where(area(F.col("corners")) >= 1e-12).select("image", "ordinal", "class_id", "corners")
 

@@ -217,10 +217,8 @@ def _tiling(tables: Tables, cfg: Config) -> Tables:
     tiles = tiling.tile_grid(images, size, overlap)
     out = {"tiles": tiles, "tile_labels": tiling.project_labels(tables["labels"], tiles, size, overlap, cfg.get("min_visible_frac", 0.1))}
     if "blocks" in tables:
+        # tiles that are one value throughout have no pixels here; they stay in the grid
         out["tile_pixels"] = windows.cut_tiles(tables["blocks"], tiles, size)
-        # labels of tiles that are one value throughout go with them
-        kept = out["tile_pixels"].select("tile").distinct()
-        out |= {"tiles": tiles.join(kept, "tile", "left_semi"), "tile_labels": out["tile_labels"].join(kept, "tile", "left_semi")}
     return out
 
 
