@@ -50,7 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 4096 tokens."""
     small_batches(spark, BATCH_ROWS)
-    return packing.pack_pieces(cut(packing.pieces(docs, queries.tokenizer_path()), "pieces")).withColumnRenamed("id", "doc_id")
+    return packing.pack_pieces(packing.pieces(docs, queries.tokenizer_path())).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -9,7 +9,9 @@ edit budget are matches.
 
 Texts are compared in lower case (A-Z) with runs of white space as one space,
 byte by byte.  The benchmark goes to the tasks in blocks of at most
-``block_chars`` characters, each of which is one pass over the texts.
+``block_chars`` characters, each of which is one pass over the texts.  Windows
+start every half window, so contiguous copies of about 87 characters or more
+are sure to be found, shorter ones where they line up.
 
 Defined results: null, empty and short texts match nothing; items shorter than
 a q-gram, empty or null are left out; items that repeat match each on its own;

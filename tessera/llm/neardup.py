@@ -20,7 +20,8 @@ links leave a leaf only as stars of its components.
 Defined results: a null vector or label, a zero vector and one with null or
 non-finite components link with nothing and are their own components; vectors
 of different lengths do not link; rows that repeat count as vectors of their
-own; a row with a null id counts for others, and has itself no component.
+own; a row with a null id has no component, and counts for others only where
+a row with an id equals it.
 """
 
 from __future__ import annotations

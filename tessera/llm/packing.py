@@ -204,15 +204,19 @@ def _solver(capacity: int, base: int, reopen: bool):
 
 
 def pack_pieces(some: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces ``(id, piece, start, length, ids_crc32)``."""
-    pool, done = some.select(*NAMES), []
+    """Add ``sequence_id`` and ``offset`` to pieces ``(id, piece, start, length, ids_crc32)``.
+
+    Pieces are dealt to groups by a hash of their place in a table that is
+    written first, so pieces that are equal, however many, are spread too.
+    """
+    pool, done = cut(some.select(*NAMES), "pieces"), []
     for round_no in range(12):
         n = pool.count()
         if not n:
             break
         groups = math.ceil(n / group_rows) if round_no < 11 else 1
         # ids travel as text: pandas would turn a nullable long into a double
-        dealt = pool.withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+        dealt = pool.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
         dealt = dealt.withColumn("id", F.col("id").cast("string"))
         solved = dealt.groupBy("g").applyInPandas(_solver(capacity, round_no << 56, groups > 1), PACKED)
         packed = cut(solved.withColumn("id", F.col("id").cast("long")), f"packed{round_no}")

@@ -99,8 +99,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 4096 tokens."""
-    cut_up = cut(packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
-    return packing.pack_pieces(cut_up).withColumnRenamed("id", "doc_id")
+    return packing.pack_pieces(packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path())).withColumnRenamed("id", "doc_id")
 
 
 def fit_quality(spark: SparkSession, sf_dir: str, stats: DataFrame):

@@ -162,6 +162,28 @@ def test_pieces_and_sequences(spark, reference):
     assert len(by_seq) <= -(-sum(r["length"] for r in packed) // 4096) + 1
 
 
+def test_many_equal_pieces(spark):
+    """Thousands of equal rows without an id are spread over groups, packed tightly and all kept."""
+    piece = (None, 0, 0, 1000, 7)
+    df = spark.createDataFrame([piece] * 4001 + [(k, 0, 0, 90, 1) for k in range(400)], "id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    sizes = []
+    solver = packing._solver
+
+    def counted(*args):
+        solve = solver(*args)
+        return lambda key, rows: solve(key, rows).assign(ids_crc32=len(rows))
+
+    packing._solver = counted  # the checksum column tells how many rows the group had
+    try:
+        packed = packing.pack_pieces(df, group_rows=400).collect()
+    finally:
+        packing._solver = solver
+    sizes = [r["ids_crc32"] for r in packed]
+    assert len(packed) == 4401 and max(sizes) <= 800
+    total = sum(r["length"] for r in packed)
+    assert len({r["sequence_id"] for r in packed}) <= max(-(-total // 4096), -(-4001 // 4)) + 12
+
+
 def test_pack_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_pieces(packing.pieces(df, PATH)).collect() == []
