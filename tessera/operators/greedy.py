@@ -131,8 +131,8 @@ def paired(pairs: DataFrame, key: list[str], order: list[str], place: str, block
             ends = now.groupBy(*key, "p").agg((F.min("__block") < F.max("__block")).alias("__spans"), F.min(by).alias("__lead"))
             rows = now.join(ends, [*key, "p"]).withColumn("__waits", F.col("__spans") & (by != F.col("__lead"))).drop("__spans", "__lead")
         said = _walk(rows, key, order, ["p", "t", "__waits"], _pairer)
-        if not several:
-            return said.where(F.col("__state") == YES).select(*pairs.columns)
+        if not several:  # written, since both sides of a matching look it up
+            return settled(said.where(F.col("__state") == YES).select(*pairs.columns))
         said = settled(said)
         took = said.where(F.col("__state") == YES)
         out = took.select(*pairs.columns) if out is None else out.unionByName(took.select(*pairs.columns))
