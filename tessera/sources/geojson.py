@@ -127,7 +127,8 @@ def collections(rows: DataFrame, evaluation: bool = False) -> DataFrame:
     counts = [F.count_if((F.col("label") == k) & live).alias(k) for k in ("TP", "FP", "FN")]
     if evaluation:
         counts.append(F.count_if(~live).alias("deleted"))
-    g = rows.groupBy("image").agg(F.count("*").alias("total_features"), *counts, F.sort_array(F.collect_list(order)).alias("f"))
+    # rows meet as columns, which are smaller than their text, and become text where they are
+    g = rows.repartition("image").groupBy("image").agg(F.count("*").alias("total_features"), *counts, F.sort_array(F.collect_list(order)).alias("f"))
     meta = F.to_json(F.struct("total_features", *[c for c in ("TP", "FP", "FN", "deleted") if c != "deleted" or evaluation]))
     value = F.concat(F.lit('{"type":"FeatureCollection","metadata":'), meta, F.lit(',"features":['), F.array_join(F.col("f.json"), ","), F.lit("]}"))
     return g.select("image", value.alias("value"))
