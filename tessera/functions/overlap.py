@@ -179,12 +179,16 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return _masked(shared_area(Rings.of(a), Rings.of(b)), a, b)
 
 
-def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    p, q = Rings.of(a), Rings.of(b)
+def union_ratio(p: Rings, q: Rings) -> np.ndarray:
+    """Intersection over union of each pair; 0 where the union is empty."""
     both, one, two = shared_area(p, q), np.abs(p.signed_area()), np.abs(q.signed_area())
     union = one + two - both
     with np.errstate(divide="ignore", invalid="ignore"):
-        return _masked(np.where(union > 0, both / union, 0.0), a, b)
+        return np.where(union > 0, both / union, 0.0)
+
+
+def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _masked(union_ratio(Rings.of(a), Rings.of(b)), a, b)
 
 
 def _share(a: pa.Array, b: pa.Array, least: pa.Array) -> pa.Array:

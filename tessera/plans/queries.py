@@ -121,10 +121,8 @@ def box_area_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BOXES}, {sql_pairs('a.ordinal < b.ordinal')}
   SELECT image, class_id, a_ordinal, b_ordinal, {sql_micro('iou')} AS iou FROM pairs WHERE iou > 1e-9""")
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir)
-    p = detections.overlap_pairs(b, b, condition=F.col("a_ordinal") < F.col("b_ordinal"))
-    p = p.withColumn("v", detections.iou(F.col("a_ring"), F.col("b_ring"))).where("v > 1e-9")
-    return p.select("image", "class_id", "a_ordinal", "b_ordinal", micro(F.col("v")).alias("iou"))
+    p = detections.iou_pairs(boxes(spark, sf_dir), None, 1e-9)
+    return p.withColumn("iou", micro(F.col("iou")))
 
 
 @query(f"""WITH {BOXES}, {sql_pairs('a.ordinal < b.ordinal')}
@@ -133,9 +131,8 @@ def iou_pairs_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with coordinates in degrees: a pixel is 2^-17 of one, so nothing is rounded, and no cell size is given."""
     b = boxes(spark, sf_dir)
     b = b.withColumn("ring", F.transform("ring", lambda p: point(p["x"] / 131072.0, p["y"] / 131072.0)))
-    p = detections.overlap_pairs(b, b, condition=F.col("a_ordinal") < F.col("b_ordinal"))
-    p = p.withColumn("v", detections.iou(F.col("a_ring"), F.col("b_ring"))).where("v > 1e-4")
-    return p.select("image", "class_id", "a_ordinal", "b_ordinal", (F.floor(F.col("v") * 1e4 + 0.5) / 1e4).alias("iou"))
+    p = detections.iou_pairs(b, None, 1e-4)
+    return p.withColumn("iou", F.floor(F.col("iou") * 1e4 + 0.5) / 1e4)
 
 
 _NMS = f"""WITH RECURSIVE {BOXES}, {sql_pairs('a.ordinal <> b.ordinal AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.ordinal < b.ordinal))')},
