@@ -7,25 +7,82 @@ them cover counts once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.crs import reproject_between
-from tessera.functions.geometry import area, bounds
-from tessera.functions.overlap import overlap_area
-from tessera.operators.dissolve import dissolve
+from tessera.functions.geometry import RING, area, bounds
+from tessera.functions.overlap import Rings, overlap_area, shared_area
+from tessera.operators import keyed
+from tessera.operators.dissolve import CELL_EDGES, dissolve, pieces_of
 from tessera.operators.meeting import meeting
 
 TINY = 1e-12
 
 
-def covered(boxes: DataFrame, masks: DataFrame, cell: float | None = None) -> DataFrame:
+def covered(boxes: DataFrame, masks: DataFrame, cell: float | None = None, small: int | None = None) -> DataFrame:
     """Add ``fraction``, the share of each box inside its image's masks, and ``has_mask``.
 
     Masks are dissolved first, so what a box shares with their pieces adds up.
-    Boxes and pieces meet by grid cells, so a box is only clipped by pieces that
-    come near.
+    Images of few boxes and mask edges are worked out where one shuffle brings
+    them together.  For others, and with a ``cell``, boxes and pieces meet by
+    grid cells, so a box is only clipped by pieces that come near.
     """
+    if cell is not None:
+        return _covered_large(boxes, masks, cell)
+    rings = masks.select("image", F.col("kind").alias("__kind"), "ring_id", F.col("ring").cast(RING).alias("__ring"))
+    counts = boxes.select("image", F.lit(0).alias("n")).unionByName(masks.select("image", F.size("ring").alias("n")))
+    is_large = (F.count_if(F.col("n") == 0) > (keyed.SMALL_KEY if small is None else small)) | (F.sum("n") > CELL_EDGES)
+    large = keyed.large_keys(counts, ["image"], is_large)
+    (few, many), (few_rings, _) = (keyed.apart(df, large, ["image"]) for df in (boxes, rings))
+    few = few.withColumn("ring", F.col("ring").cast(RING))
+    rows = few.withColumn("__box", F.lit(True)).unionByName(few_rings.withColumnRenamed("ring_id", "__ring_id").withColumn("__box", F.lit(False)), allowMissingColumns=True)
+    columns = few.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in keyed.whole(batches, ["image"]):
+            box = keyed.flat(t.column("__box")).to_numpy(zero_copy_only=False).astype(bool)
+            b, m = t.filter(pa.array(box)), t.filter(pa.array(~box))
+            fraction, known = _shares(b, group[box], m, group[~box])
+            out = b.select(columns).append_column("fraction", fraction).append_column("has_mask", pa.array(known))
+            yield from out.combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema) + ", fraction double, has_mask boolean"
+    out = keyed.together(rows, ["image"]).mapInArrow(run, schema)
+    if many is None:
+        return out
+    return out.unionByName(_covered_large(many, masks.join(F.broadcast(large), "image", "left_semi"), None))
+
+
+def _shares(boxes: pa.Table, image: np.ndarray, masks: pa.Table, mask_image: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """``fraction`` and ``has_mask`` of the boxes of whole images."""
+    ring = keyed.flat(boxes.column("ring"))
+    own = np.zeros(len(boxes))
+    for k in range(0, len(own), keyed.PAIRS):
+        own[k : k + keyed.PAIRS] = np.abs(Rings.of(ring.slice(k, keyed.PAIRS)).signed_area())
+    inside = np.zeros(len(own))
+    # masks of an image are dissolved by kind, which has no null
+    kinds = np.unique(np.asarray(keyed.flat(masks.column("__kind")).to_pylist(), object).astype(str), return_inverse=True)[1] if len(masks) else np.zeros(0, int)
+    named = ~np.asarray(keyed.flat(masks.column("__kind")).is_null())
+    span = int(kinds.max(initial=0)) + 1
+    rings, ids = (keyed.flat(masks.column(c)).filter(pa.array(named)) for c in ("__ring", "__ring_id"))
+    bounds_ = keyed.ring_bounds(ring)
+    for mask, _, _, piece in pieces_of((mask_image * span + kinds)[named], rings, ids):
+        both = tuple(np.concatenate(v) for v in zip(bounds_, keyed.ring_bounds(piece), strict=True))
+        side = np.arange(len(both[0])) >= len(own)
+        i, j = keyed.gathered(keyed.touching(np.concatenate([image, mask // span]), both, side))
+        i, j = np.where(side[i], j, i), np.where(side[i], i, j) - len(own)
+        np.add.at(inside, i, keyed.measured(shared_area, ring, piece, i, j))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.minimum(1.0, inside / own)
+    return pa.array(share, mask=own < TINY), np.isin(image, mask_image)
+
+
+def _covered_large(boxes: DataFrame, masks: DataFrame, cell: float | None) -> DataFrame:
     b = boxes.select("image", "ordinal", "ring", bounds(F.col("ring")).alias("__b"))
     pieces = dissolve(masks, cell).select("image", F.col("ring").alias("__piece"), bounds(F.col("ring")).alias("__m"))
     met = meeting(b, pieces, ["image"], "__b", "__m").withColumn("__shared", overlap_area(F.col("ring"), F.col("__piece")))

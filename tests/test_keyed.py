@@ -1,13 +1,22 @@
+import importlib
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import detections, keyed
+from tessera.operators import detections, keyed, masks
+from tessera.operators.dissolve import dissolve
+from tests.test_geometry import RING, pts
 from tests.test_operators import frame, iou_of, match_of, nms_of, scene
 
 
-def exchanges(df, capfd=None):
+dissolve_module = importlib.import_module("tessera.operators.dissolve")
+MASKS = f"image string, kind string, polygon_id int, ring_id int, ring {RING}"
+
+
+def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
@@ -53,3 +62,47 @@ def test_slices_hold_whole_keys():
     assert np.array_equal(np.concatenate([k for k, _ in got]), keys)
     owner = [set(k.tolist()) for k, _ in got]
     assert sum(map(len, owner)) == 40 and all(len(set(g.tolist())) == len(set(k.tolist())) for k, g in got)
+
+
+def many_masks(seed, n):
+    """Masks of one to four overlapping polygons, some of several kinds, for images ``i0 ..``; every third image has none."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        for p in range(rng.randrange(1, 5) if k % 3 else 0):
+            x, y, w, h = (rng.randrange(-5, 12) for _ in range(4))
+            rows.append((f"i{k}", rng.choice(["coastline", "other"]), p, int(rng.random() < 0.2), pts((x, y), (x + abs(w) + 1, y), (x + abs(w) + 1, y + abs(h) + 1.5), (x - 0.5, y + abs(h) + 1))))
+    return rows
+
+
+def test_covered_of_small_images(spark):
+    """Images taken whole see what images that go by cells see, in one shuffle."""
+    m = spark.createDataFrame(many_masks(31, 12), MASKS)
+    b = frame(spark, [r for r in scene(32, 200, 12)] + [("i1", 900, 0, 0.5, [(0, 0)] * 4), ("i1", 901, 0, 0.5, []), (None, 902, 0, 0.5, [(0, 0), (1, 0), (1, 1)])])
+    whole = masks.covered(b, m)
+    assert exchanges(whole) == 1
+    got, want = ({r["ordinal"]: (r["fraction"], r["has_mask"]) for r in df.collect()} for df in (whole, masks.covered(b, m, small=0)))
+    assert len(want) == 203 and any(h for _, h in want.values()) and any(f and 0 < f < 1 for f, _ in want.values())
+    for k, (fraction, known) in want.items():
+        assert got[k][1] == known and (got[k][0] is None if fraction is None else got[k][0] == pytest.approx(fraction, abs=1e-12)), k
+
+
+@pytest.mark.parametrize("cell", [None, 2.0, 0.7])
+def test_small_masks_are_dissolved_alike(spark, cell):
+    """Whole masks and those that Spark cuts up cell by cell become the same pieces."""
+    m = spark.createDataFrame(many_masks(33, 12), MASKS)
+    one, two = dissolve(m, cell), dissolve_module._dissolve_large(m.select("image", "kind", "ring_id", "ring"), cell)
+    assert exchanges(one) == 1
+    pieces = lambda df: sorted((r["image"], r["kind"], r["row"], r["col"], tuple((round(p["x"], 9), round(p["y"], 9)) for p in r["ring"])) for r in df.collect())
+    assert pieces(one) == pieces(two) and pieces(one)
+
+
+def test_sweep_at_once_equals_cell_by_cell():
+    rng = np.random.default_rng(7)
+    of = np.sort(rng.integers(0, 60, 500))
+    p = {k: rng.integers(0, 5, 500) / 4.0 for k in ("xa", "ya", "xb", "yb")}
+    cells = {"base": rng.integers(-1, 3, 60), "left": np.zeros(60), "low": np.zeros(60), "side": np.ones(60)}
+    got_of, got = dissolve_module._swept_all(p, of, cells)
+    for c in range(60):
+        want = dissolve_module._swept(*(p[k][of == c] for k in ("xa", "ya", "xb", "yb")), int(cells["base"][c]), 0.0, 0.0, 1.0)
+        assert sorted(map(tuple, got[got_of == c].round(12).tolist())) == sorted(tuple(np.round(t, 12).tolist()) for t in want), c
