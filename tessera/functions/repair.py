@@ -177,19 +177,134 @@ def joined(rings: list[list[Point]]) -> list[Point]:
     return out
 
 
+#: Longer rings are worked out one by one.
+SMALL_RING = 16
+#: About so many pairs of edges are looked at at once.
+EDGE_PAIRS = 1 << 19
+
+
+def _without_ways_back(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rings ``(rings, corners)`` without points that repeat the one before and tips that are left the way they were reached.
+
+    Points move to the front of their row; the third result is how many there
+    are, the last whether a tip went.  A way there and back encloses nothing.
+    """
+    n, tips = np.full(len(x), x.shape[1]), np.zeros(len(x), bool)
+    extent = np.maximum(np.ptp(x, 1), np.ptp(y, 1))[:, None]
+    rows, at = np.arange(len(x))[:, None], np.arange(x.shape[1])
+    for _ in range(2 * x.shape[1]):
+        used = at < n[:, None]
+        before, after = np.where(at > 0, at - 1, np.maximum(n[:, None] - 1, 0)), np.where(at + 1 < n[:, None], at + 1, 0)
+        ax, ay, bx, by = x - x[rows, before], y - y[rows, before], x[rows, after] - x, y[rows, after] - y
+        one, two = np.hypot(ax, ay), np.hypot(bx, by)
+        same = used & (one == 0)
+        # a tip: the shorter of its two ways lies on the longer one
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = np.abs(ax * by - ay * bx) / np.maximum(one, two)
+        tip = used & (one > 0) & (two > 0) & (ax * bx + ay * by < 0) & (off <= NEAR * extent)
+        gone = np.where(same.any(1, keepdims=True), same, tip)
+        # one point of a ring at a time, since what is left of it depends on that
+        gone &= np.cumsum(gone, 1) == 1
+        if not gone.any():
+            break
+        tips |= (gone & ~same).any(1)
+        order = np.argsort(~(used & ~gone), 1, kind="stable")
+        x, y, n = x[rows, order], y[rows, order], n - gone.sum(1)
+    return x, y, n, tips
+
+
+def _states(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rings of one length: how many pairs of edges cross properly, a pair that does and the share of its first edge there; -1 where edges meet in another way."""
+    n = x.shape[1]
+    dx, dy = np.roll(x, -1, 1) - x, np.roll(y, -1, 1) - y
+    extent = np.maximum(np.ptp(x, 1), np.ptp(y, 1))
+    length = np.hypot(dx, dy)
+    cross = dx[:, :, None] * dy[:, None] - dy[:, :, None] * dx[:, None]
+    gx, gy = x[:, None] - x[:, :, None], y[:, None] - y[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gx * dy[:, None] - gy * dx[:, None]) / cross
+        u = np.transpose(t, (0, 2, 1))
+        slack = NEAR * extent[:, None] / length
+        one, two = slack[:, :, None], slack[:, None]
+        meets = (np.abs(cross) > 1e-14 * length[:, :, None] * length[:, None]) & (t >= -one) & (t <= 1 + one) & (u >= -two) & (u <= 1 + two)
+        inside = meets & (t > 4 * one) & (t < 1 - 4 * one) & (u > 4 * two) & (u < 1 - 4 * two)
+        off = np.abs(dx[:, :, None] * gy - dy[:, :, None] * gx) / length[:, :, None]
+        where = (gx * dx[:, :, None] + gy * dy[:, :, None]) / (length**2)[:, :, None]
+    i, j = np.arange(n)[:, None], np.arange(n)
+    follows, leads = j == (i + 1) % n, i == (j + 1) % n
+    corner = (follows & (t >= 1 - one) & (u <= two)) | (leads & (u >= 1 - two) & (t <= one))
+    touched = meets & ~inside & ~corner & (i != j)
+    on_edge = (off <= 4 * NEAR * extent[:, None, None]) & (where > -4 * one) & (where < 1 + 4 * one) & (j != i) & ~follows
+    pairs = inside & (i < j)
+    count = np.where((touched | on_edge | (inside & (follows | leads))).any((1, 2)) | ~(length > 0).all(1), -1, pairs.sum((1, 2)))
+    first = pairs.reshape(len(x), -1).argmax(1)
+    return count, first // n, first % n, t.reshape(len(x), -1)[np.arange(len(x)), first]
+
+
+def _mended_all(x: np.ndarray, y: np.ndarray) -> list[list[list[Point]] | None | bool]:
+    """``loops`` of rings of one length, False where a ring has to be worked out by itself.
+
+    At once go valid rings, those that only run along ways there and back, and
+    those of which just two edges cross: the crossing parts them into two
+    loops, and what is gone round in the ring's direction is the larger one,
+    whether they lie side by side or in each other.
+    """
+    out: list[list[list[Point]] | None | bool] = [False] * len(x)
+    px, py, n, tips = _without_ways_back(x, y)
+    for m in range(3, x.shape[1] + 1):
+        rows = np.flatnonzero(n == m)
+        if not len(rows):
+            continue
+        rx, ry = px[rows, :m], py[rows, :m]
+        count, i, j, t = _states(rx, ry)
+        nx, ny = np.roll(rx, -1, 1), np.roll(ry, -1, 1)
+        terms = rx * ny - nx * ry
+        whole = terms.sum(1)
+        size = np.maximum(np.ptp(rx, 1), np.ptp(ry, 1)) ** 2
+        sound = np.abs(whole) > 1e-9 * size
+        for k in np.flatnonzero((count == 0) & sound).tolist():
+            ring = list(zip(rx[k].tolist(), ry[k].tolist(), strict=True))
+            # a valid ring stays as it is, with points that it repeats
+            out[rows[k]] = [ring if whole[k] > 0 else ring[::-1]] if tips[rows[k]] else None
+        k = np.flatnonzero((count == 1) & sound)
+        k_, i, j, t = np.arange(len(k)), i[k], j[k], t[k]
+        mx, my = rx[k, i] + (nx[k, i] - rx[k, i]) * t, ry[k, i] + (ny[k, i] - ry[k, i]) * t
+        at = np.arange(m)
+        between = (at > i[:, None]) & (at < j[:, None])
+        cx, cy = rx[k], ry[k]
+        ends = (mx * cy[k_, (i + 1) % m] - cx[k_, (i + 1) % m] * my) + (cx[k_, j] * my - mx * cy[k_, j])
+        one = (terms[k] * between).sum(1) + ends
+        two = whole[k] - one
+        inner = (at > i[:, None]) & (at <= j[:, None])
+        for q in k_[np.abs(np.abs(one) - np.abs(two)) > 1e-9 * size[k]].tolist():
+            first = abs(one[q]) > abs(two[q])
+            keep = np.flatnonzero(inner[q]) if first else np.concatenate([np.arange(j[q] + 1, m), np.arange(i[q] + 1)])
+            ring = [(float(mx[q]), float(my[q])), *zip(cx[q, keep].tolist(), cy[q, keep].tolist(), strict=True)]
+            out[rows[k[q]]] = [ring if (one[q] if first else two[q]) > 0 else [ring[0], *ring[:0:-1]]]
+    return out
+
+
 def _each(column: pa.Array):
     """Each ring's loops, or itself where it is valid; null where it is null."""
     r = Rings.of(column)
-    fine = (r.n > 2) & r.counter_clockwise().convex() & (np.abs(r.signed_area()) > 0)
+    fine = (r.n > 2) & r.counter_clockwise().convex() & (np.abs(r.signed_area()) > 0) & (r.n <= 4)
     null = np.asarray(column.is_null())
+    found: list = [False] * len(r.n)
+    for n in range(3, min(SMALL_RING, r.x.shape[1]) + 1):
+        rows = np.flatnonzero(~fine & ~null & (r.n == n) & np.isfinite(r.x).all(1) & np.isfinite(r.y).all(1))
+        step = max(1, EDGE_PAIRS // (n * n))
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            for i, v in zip(some.tolist(), _mended_all(r.x[some, :n], r.y[some, :n]), strict=True):
+                found[i] = v
     for i in range(len(r.n)):
         ring = list(zip(r.x[i, : r.n[i]].tolist(), r.y[i, : r.n[i]].tolist(), strict=True))
         if null[i]:
             yield None
-        elif fine[i] and r.n[i] <= 4:
+        elif fine[i]:
             yield [ring]
         else:
-            new = loops(ring)
+            new = loops(ring) if found[i] is False else found[i]
             yield [ring] if new is None else new
 
 
@@ -198,7 +313,11 @@ _named = lambda ring: [{"x": x, "y": y} for x, y in ring]
 
 
 def _one_ring(column: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else _named(joined(v)) for v in _each(column)], _POINTS)
+    rings = [None if v is None else joined(v) if len(v) > 1 else v[0] if v else [] for v in _each(column)]
+    points = np.array([p for v in rings if v for p in v], float).reshape(-1, 2)
+    ends = np.append(0, np.cumsum([len(v) if v else 0 for v in rings])).astype(np.int32)
+    xy = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(ends), xy, mask=pa.array([v is None for v in rings], pa.bool_()))
 
 
 def _all_rings(column: pa.Array) -> pa.Array:

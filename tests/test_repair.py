@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from tessera.functions import overlap, repair
 from tests.test_geometry import RING, area_of, box, pts
 
 
+POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+
 def winding_area(ring):
     """Area of the places that a ring goes round in the direction of its whole area, by slabs."""
     total = area_of(ring)
@@ -86,3 +90,33 @@ def test_masks(spark):
         got[r["image"]] = got.get(r["image"], 0) + (-a if r["ring_id"] else a)
     assert got == {"a": pytest.approx(72), "b": pytest.approx(81 - abs(winding_area([(float(x), float(y)) for x, y in hole_bow])))}
     assert math.isfinite(sum(got.values()))
+
+
+def test_at_once_equals_one_by_one(monkeypatch):
+    """Rings mended as matrices equal those mended one by one, and the frequent faults need no step of their own."""
+    rng = random.Random(9)
+    rings = []
+    for k in range(600):
+        n = rng.randrange(3, 9)
+        ring = [(float(rng.randrange(6)), float(rng.randrange(6))) if k % 2 else (rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(n)]
+        if k % 3 == 0:  # out and back
+            i = rng.randrange(n)
+            ring[i + 1 : i + 1] = [(rng.uniform(0, 10), rng.uniform(0, 10)), ring[i]]
+        if abs(area_of(ring)) > 1e-6:
+            rings.append(ring)
+    got = list(repair._each(pa.array([pts(*r) for r in rings], POINTS)))
+    for ring, new in zip(rings, got, strict=True):
+        want = mended(ring)
+        key = lambda loops: sorted((round(abs(area_of(r)), 7), len(r)) for r in loops)
+        assert key(new) == key(want), ring
+        if repair.loops(ring) is not None:
+            assert sum(map(area_of, new)) == pytest.approx(sum(map(area_of, want)), abs=1e-7), ring
+
+    def alone(ring):
+        raise AssertionError(ring)
+
+    monkeypatch.setattr(repair, "loops", alone)
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    frequent = [[(0.0, 0.0), (6.0, 0.0), (0.0, 4.0), (2.0, 4.0)], [*square[:2], (6.0, 0.0), *square[1:]], [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]]
+    got = list(repair._each(pa.array([pts(*r) for r in frequent], POINTS)))
+    assert [len(r[0]) for r in got] == [3, 4, 6] and [abs(area_of(r[0])) for r in got] == [pytest.approx(9), 16, 7]
