@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -53,8 +54,11 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.starts = {s[:2] for s in self.special}
         self.pattern = regex.compile(splits[0])
+        # words of late, and those known before them, which go when the former are too many
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def _pieces(self, word: str) -> list[str] | None:
@@ -62,25 +66,44 @@ class WordEncoder:
         plain = word.isascii()
         if plain and word.isalpha():
             return [word.lower()]
-        if SPACE.search(word) or any(s in word for s in self.special):
+        if (not word.isalpha() and SPACE.search(word)) or self._has_special(word):
             return None
         if not plain:
             word = unicodedata.normalize("NFC", word)
         # letter by letter where the end of a word would count
-        return self.pattern.findall(word.lower() if "Σ" not in word else "".join(map(str.lower, word)))
+        word = word.lower() if "Σ" not in word else "".join(map(str.lower, word))
+        return [word] if word.isalpha() else self.pattern.findall(word)
+
+    def _has_special(self, word: str) -> bool:
+        return any(mark in word for mark in self.starts) and any(s in word for s in self.special)
+
+    def _recalled(self, words: Iterable[str]) -> list[str]:
+        """Words that aren't known; those known before are taken over."""
+        cache, old, new = self.cache, self.old, []
+        for w in words:
+            if w not in cache:
+                known = old.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    cache[w] = known
+        return new
 
     def _learn(self, words: list[str]) -> None:
         """Add new words to the cache; marks after letters are a pre-token of their own."""
         whole, parted = set(), []
         for w in words:
+            if w.isalpha():
+                whole.add(w)
+                continue
             base = w.rstrip(MARKS)
-            if len(base) < len(w) and base[-1:].lower().isalpha() and not any(s in w for s in self.special):
+            if len(base) < len(w) and base[-1:].lower().isalpha() and not self._has_special(w):
                 parted.append((w, base, w[len(base) :]))
                 whole.add(base)
                 whole.add(parted[-1][2])
             else:
                 whole.add(w)
-        self._encode_whole([w for w in whole if w not in self.cache])
+        self._encode_whole(self._recalled(whole))
         self.cache.update((w, self.cache[base] + self.cache[marks]) for w, base, marks in parted)
 
     def _encode_whole(self, words: list[str]) -> None:
@@ -117,14 +140,13 @@ class WordEncoder:
         at = at - at[0]
         coded = lists.flatten().dictionary_encode()
         vocab = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        cache = self.cache
-        new = [w for w in vocab if w not in cache]
+        new = self._recalled(vocab)
+        if len(self.cache) + len(new) > self.cache_words:
+            self.old, self.cache = self.cache, {"": b""}
+            new = self._recalled(vocab)
         if new:
-            if len(cache) + len(new) > self.cache_words:
-                cache.clear()
-                cache[""] = b""
-                new = vocab
             self._learn(new)
+        cache = self.cache
         got = [cache[w] for w in vocab]
         got.append(np.array([end_id], "<u4").tobytes())
         flat = np.frombuffer(b"".join(got), "<u4")

@@ -187,3 +187,16 @@ def test_many_equal_pieces(spark):
 def test_pack_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_pieces(packing.pieces(df, PATH)).collect() == []
+
+
+def test_frequent_words_stay_known(reference, monkeypatch):
+    """When the cache is full only words that were not met of late go: the library isn't asked again for those that return."""
+    enc, asked = WordEncoder(PATH, cache_words=150), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (asked.extend(words), learn(words)))
+    for k in range(40):
+        text = " ".join(["often", "again"] + [f"rare{k}x{i}" for i in range(60)])
+        ids, _ = enc.encode(pa.array([text]), 1)
+        assert ids.tolist() == ids_of(reference, text)
+        assert len(enc.cache) + len(enc.old) < 3 * 150
+    assert asked.count("often") == asked.count("again") == 1
