@@ -22,6 +22,10 @@ CACHE_WORDS = 300_000
 #: ASCII marks that the pre-tokenizers split from letters before them.
 SPACE = regex.compile(r"\s")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How a byte-level BPE spells bytes: printable ones stand for themselves, others for code points from 256; spaces part pre-tokens here.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+SPELT = "".join(" " if b == 0x20 else chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256))
 
 
 class WordEncoder:
@@ -32,19 +36,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        # the same model for pre-tokens that are normalised and split already
-        bare = {
-            **spec,
-            "normalizer": None,
-            "added_tokens": [],
-            "pre_tokenizer": {
-                "type": "Sequence",
-                "pretokenizers": [
-                    {"type": "WhitespaceSplit"},
-                    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-                ],
-            },
-        }
+        # the same model for pre-tokens that are normalised, split and spelt in the byte alphabet already
+        bare = {**spec, "normalizer": None, "added_tokens": [], "pre_tokenizer": None}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         suffix = spec["model"].get("end_of_word_suffix")
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
@@ -54,7 +47,6 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.starts = {s[:2] for s in self.special}
         self.pattern = regex.compile(splits[0])
         # words of late, and those known before them, which go when the former are too many
         self.cache: dict[str, bytes] = {"": b""}
@@ -75,7 +67,10 @@ class WordEncoder:
         return [word] if word.isalpha() else self.pattern.findall(word)
 
     def _has_special(self, word: str) -> bool:
-        return any(mark in word for mark in self.starts) and any(s in word for s in self.special)
+        for s in self.special:
+            if s in word:
+                return True
+        return False
 
     def _recalled(self, words: Iterable[str]) -> list[str]:
         """Words that aren't known; those known before are taken over."""
@@ -91,13 +86,12 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Add new words to the cache; marks after letters are a pre-token of their own."""
-        whole, parted = set(), []
-        for w in words:
-            if w.isalpha():
-                whole.add(w)
-                continue
-            base = w.rstrip(MARKS)
-            if len(base) < len(w) and base[-1:].lower().isalpha() and not self._has_special(w):
+        whole, parted = set(filter(str.isalpha, words)), []
+        others = [w for w in words if not w.isalpha()]
+        bases = pc.ascii_rtrim(pa.array(others, pa.string()), characters=MARKS).to_numpy(zero_copy_only=False).tolist()
+        for w, base in zip(others, bases, strict=True):
+            plain = base.isascii() and base.isalpha()
+            if len(base) < len(w) and (plain or base[-1:].lower().isalpha()) and not self._has_special(w):
                 parted.append((w, base, w[len(base) :]))
                 whole.add(base)
                 whole.add(parted[-1][2])
@@ -107,26 +101,35 @@ class WordEncoder:
         self.cache.update((w, self.cache[base] + self.cache[marks]) for w, base, marks in parted)
 
     def _encode_whole(self, words: list[str]) -> None:
-        together, counts, split = [], [], []
+        plain, odd, counts, split = [], [], [], []
         for w in words:
+            if w.isascii() and w.isalpha():
+                plain.append(w)
+                continue
             pieces = self._pieces(w)
             if pieces is None:
                 self.cache[w] = self._alone(w)
             else:
-                together.append(w)
+                odd.append(w)
                 counts.append(len(pieces))
                 split.append(" ".join(pieces))
-        for i in range(0, len(together), 4096):
-            part, n = together[i : i + 4096], np.array(counts[i : i + 4096])
-            text = " ".join(split[i : i + 4096])
-            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
-            if len(stops) - 1 != n.sum() or stops[-1] != len(ids):
-                self.cache.update((w, self._alone(w)) for w in part)
-                continue
-            at = stops[np.append(0, np.cumsum(n))] * 4
-            raw = ids.tobytes()
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            self._together(part, " ".join(part).lower().split(" "), np.ones(len(part), np.int64))
+        for i in range(0, len(odd), 4096):
+            spelt = " ".join(split[i : i + 4096]).encode().decode("latin-1").translate(SPELT)
+            self._together(odd[i : i + 4096], spelt.split(" "), np.array(counts[i : i + 4096]))
+
+    def _together(self, words: list[str], pieces: list[str], n: np.ndarray) -> None:
+        """Learn words of ``n`` pre-tokens each; a pre-token ends with the id of a word's end."""
+        ids = np.array(self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        stops = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) - 1 != n.sum() or stops[-1] != len(ids):
+            self.cache.update((w, self._alone(w)) for w in words)
+            return
+        at = (stops[np.append(0, np.cumsum(n))] * 4).tolist()
+        raw = ids.tobytes()
+        self.cache.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -149,22 +152,16 @@ class WordEncoder:
         cache = self.cache
         got = [cache[w] for w in vocab]
         got.append(np.array([end_id], "<u4").tobytes())
-        flat = np.frombuffer(b"".join(got), "<u4")
-        size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
-        start = np.cumsum(size, dtype=np.int32) - size
         # the words of all rows, each row closed by the end id as a word of its own
-        n_words = int(at[-1])
-        index = np.full(n_words + len(column), len(vocab), np.int32)
+        index = np.full(int(at[-1]) + len(column), len(vocab), np.int32)
         inner = np.ones(len(index), bool)
         row_end = at[1:] + np.arange(len(column))
         inner[row_end] = False
         index[inner] = np.asarray(coded.indices)
-        n = size[index]
-        before = np.cumsum(n, dtype=np.int64)
-        total = int(before[-1]) if len(before) else 0
-        source = np.repeat(start[index] - (before - n).astype(np.int32), n)
-        source += np.arange(total, dtype=np.int32)
-        return flat[source], np.append(0, before[row_end])
+        laid = pa.array(got, pa.large_binary()).take(pa.array(index))
+        before = np.frombuffer(laid.buffers()[1], np.int64)[: len(index) + 1] >> 2
+        ids = np.frombuffer(laid.buffers()[2], "<u4", int(before[-1])) if len(index) else np.zeros(0, "<u4")
+        return ids, np.append(0, before[row_end + 1])
 
 
 @lru_cache(maxsize=2)

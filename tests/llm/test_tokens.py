@@ -200,3 +200,14 @@ def test_frequent_words_stay_known(reference, monkeypatch):
         assert ids.tolist() == ids_of(reference, text)
         assert len(enc.cache) + len(enc.old) < 3 * 150
     assert asked.count("often") == asked.count("again") == 1
+
+
+def test_bytes_are_spelt_once(reference):
+    """The library is given pre-tokens in its byte alphabet and doesn't split or spell them again."""
+    enc = WordEncoder(PATH)
+    assert enc.bare.pre_tokenizer is None and enc.bare.normalizer is None
+    texts = [f"a{chr(i)}b {chr(i)}c {chr(i)}" for i in [*range(0x180), 0x3A3, 0x301, 0x20AC, 0x4E2D, 0x1F600] if not chr(i).isspace()]
+    ids, at = enc.encode(pa.array([*texts, "", "ab ab", "É''' é<|endoftext|>x"]), 1)
+    for i, text in enumerate([*texts, "", "ab ab", "É''' é<|endoftext|>x"]):
+        assert ids[at[i] : at[i + 1]].tolist() == ids_of(reference, text)
+    assert enc.encode(pa.array([], pa.string()), 1)[0].tolist() == []
