@@ -307,29 +307,33 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("id"))
 
 
-def _picked(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of ``ids`` and a few more: most of the others stay out of the shuffle."""
+def _picked(sets: DataFrame, ids: DataFrame, then=None, schema: str = "id long, set array<long>") -> DataFrame:
+    """The sets of ``ids`` and a few more: most of the others stay out of the shuffle.
+
+    ``then`` works on what is left in the same Python worker: a second function
+    in a row would take a worker of its own in every task, which lives on.
+    """
     wanted = IdFilter.of(ids.distinct(), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(wanted.may_hold(np.asarray(b.column("id")))))
+            b = b.filter(pa.array(wanted.may_hold(np.asarray(b.column("id")))))
+            yield b if then is None else then(b)
 
-    return sets.mapInArrow(released(run), "id long, set array<long>")
+    return sets.mapInArrow(released(run), schema)
 
 
-def _wide_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide_sketch(b: pa.RecordBatch) -> pa.RecordBatch:
     """``(id, n, wide)`` of each set: parities in at least four bits an element, a power of two."""
-    for b in batches:
-        at = np.asarray(b.column("set").offsets, np.int64)
-        h = np.asarray(b.column("set").flatten()).view(U64)
-        at, wide = at - at[0], []
-        for i in range(b.num_rows):
-            own = h[at[i] : at[i + 1]]
-            size = 4 << max(1, len(own)).bit_length()
-            odd = np.bincount((own >> U64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
-            wide.append(np.packbits(odd.astype(np.uint8)).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), pa.array(wide, pa.binary())], ["id", "n", "wide"])
+    at = np.asarray(b.column("set").offsets, np.int64)
+    h = np.asarray(b.column("set").flatten()).view(U64)
+    at, wide = at - at[0], []
+    for i in range(b.num_rows):
+        own = h[at[i] : at[i + 1]]
+        size = 4 << max(1, len(own)).bit_length()
+        odd = np.bincount((own >> U64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
+        wide.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), pa.array(wide, pa.binary())], ["id", "n", "wide"])
 
 
 def _near(percent: int):
@@ -354,7 +358,7 @@ def _narrowed(likely: DataFrame, facts: DataFrame, sets: DataFrame, percent: int
     large = facts.where(F.col("n") > WIDE).select(F.col("id").alias("u")).distinct()
     doubtful = cut(likely.join(large, "u", "left_semi"), "doubtful")
     ids = cut(_ends(doubtful).distinct(), "ends")
-    wide = cut(_picked(sets, ids).mapInArrow(released(_wide_sketch), "id long, n long, wide binary").join(ids, "id", "left_semi"), "wide")
+    wide = cut(_picked(sets, ids, _wide_sketch, "id long, n long, wide binary").join(ids, "id", "left_semi"), "wide")
     both = doubtful.join(_side(wide, "u"), "u").join(_side(wide, "v"), "v").select("u", "v", "u_n", "v_n", "u_wide", "v_wide")
     return likely.join(large, "u", "left_anti").unionByName(cut(both.mapInArrow(released(_near(percent)), "u long, v long"), "near"))
 

@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from tessera.llm import jaccard
 from tessera.llm.jaccard import jaccard_components
 
 
@@ -134,3 +136,19 @@ def test_rows_of_one_id_with_different_texts(spark):
     rows = [(1, a), (2, a), (2, b), (3, b + " more")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r["id"], r["component_id"]) for r in jaccard_components(df).collect()) == [(1, 1), (2, 1), (2, 1), (3, 1)]
+
+
+def test_sets_are_picked_and_sketched_in_one_python_worker(spark):
+    rows = [(i, sorted(hash((i, j)) for j in range(20 * i))) for i in range(5)]
+    sets = spark.createDataFrame(rows, "id long, set array<long>")
+    ids = sets.where("id <> 3").select("id")
+    wide = jaccard._picked(sets, ids, jaccard._wide_sketch, "id long, n long, wide binary")
+    assert wide._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["id"]: (r["n"], bytes(r["wide"])) for r in wide.collect()}
+    assert set(got) == {0, 1, 2, 4}
+    for i, own in rows:
+        size = 4 << max(1, len(own)).bit_length()
+        odd = np.zeros(size, np.uint8)
+        for h in own:
+            odd[((h % 2**64) >> 8) % size] ^= 1
+        assert i == 3 or got[i] == (len(own), np.packbits(odd).tobytes())
