@@ -1,16 +1,16 @@
 """Token ids of whole texts by a tokenizer file of the tokenizers library.
 
-White space always ends a token of these tokenizers, so a text's ids are those
-of its space-separated words.  Words repeat, so each is encoded once per worker
-and slice: new words go to the library together, joined by spaces, and are told
-apart by the tokens that end a pre-token.
+White space always ends a token of these tokenizers, and so do the borders of
+most runs of letters, digits and marks, so a text's ids are those of its runs.
+Runs repeat, so each is encoded once per worker and slice: new ones go to the
+library together, joined by spaces, and are told apart by the tokens that end
+a pre-token.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -18,16 +18,74 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from tessera.llm.textnum import text_bytes
+
 CACHE_WORDS = 300_000
-#: ASCII marks that the pre-tokenizers split from letters before them.
 SPACE = regex.compile(r"\s")
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: ASCII marks that the pre-tokenizers split from letters; an apostrophe may belong to those after it ('s).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Classes of bytes: letters and the first bytes of letters, digits, marks.  Others may be parts of any character.
+OTHER, BLANK, LETTER, DIGIT, MARK, APOSTROPHE, LEAD = range(7)
+
+
+def _classes() -> bytes:
+    out = bytearray(256)
+    for kind, members in (
+        (BLANK, b" \t\n\v\f\r"),
+        (LETTER, bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)])),
+        (DIGIT, b"0123456789"),
+        (MARK, MARKS.encode()),
+        (APOSTROPHE, b"'"),
+        (LEAD, bytes([*range(0xC3, 0xCA), 0xD0, 0xD1])),  # U+00C0 to U+027F and U+0400 to U+047F
+    ):
+        for x in members:
+            out[x] = kind
+    return bytes(out)
+
+
+def _starts() -> bytes:
+    """Whether a word starts at a byte, by the class before it times 8 and its own."""
+    out = bytearray(256)
+    for a in range(LEAD):
+        for b in range(LEAD):
+            parts = a == BLANK or DIGIT in (a, b) or (a == LETTER and b in (MARK, APOSTROPHE)) or (a == MARK and b == LETTER)
+            out[a * 8 + b] = b != BLANK and parts
+    return bytes(out)
+
+
+CLASSES, STARTS = _classes(), _starts()
 #: How a byte-level BPE spells bytes: printable ones stand for themselves, others for code points from 256; spaces part pre-tokens here.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 SPELT = "".join(" " if b == 0x20 else chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256))
 
 
+def parted(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all rows, cut where a pre-token must end, and the rows' offsets in them."""
+    raw, at = text_bytes(column)
+    kinds = np.frombuffer(bytearray(raw).translate(CLASSES), np.uint8)
+    lead = np.flatnonzero(kinds == LEAD)
+    two = raw[lead].astype(np.int32) << 8 | raw[lead + 1]
+    # all are letters but the two signs, and the letter that a mark comes out of in lower case
+    letter = np.where((two == 0xC397) | (two == 0xC3B7) | (two == 0xC4B0), OTHER, LETTER)
+    kinds[lead] = kinds[lead + 1] = letter
+    pairs = kinds.copy()
+    pairs[1:] |= kinds[:-1] << 3
+    first = at[:-1][at[:-1] < at[1:]]
+    pairs[first] = kinds[first] | BLANK << 3
+    start = np.frombuffer(pairs.tobytes().translate(STARTS), bool)
+    shown = kinds != BLANK
+    data, begin = [raw[:0]], [start[:0]]
+    for i in range(0, len(raw), 1 << 18):  # by indices, which are quicker than a mask, but few at a time
+        some = np.flatnonzero(shown[i : i + (1 << 18)]) + i
+        data.append(raw.take(some))
+        begin.append(start.take(some))
+    data, begin = np.concatenate(data), np.flatnonzero(np.concatenate(begin))
+    ends = np.append(begin, len(data)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(data))
+    return words, np.searchsorted(np.flatnonzero(start), at)
+
+
 class WordEncoder:
     """Encodes columns of text with a word-end BPE that drops white space."""
 
@@ -48,9 +106,11 @@ class WordEncoder:
         self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = regex.compile(splits[0])
-        # words of late, and those known before them, which go when the former are too many
-        self.cache: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        # all known words' ids in a row, and where each word's begin
+        self.ids, self.at = np.zeros(0, "<u4"), np.zeros(2, np.int64)
+        # the places there of words of late, and of those known before them, which go when the former are too many
+        self.cache: dict[str, int] = {"": 0}
+        self.old: dict[str, int] = {}
         self.cache_words = cache_words
 
     def _pieces(self, word: str) -> list[str] | None:
@@ -72,93 +132,108 @@ class WordEncoder:
                 return True
         return False
 
-    def _recalled(self, words: Iterable[str]) -> list[str]:
-        """Words that aren't known; those known before are taken over."""
+    def _recalled(self, words: list[str]) -> tuple[list[int | None], list[int]]:
+        """Places of words, None for new ones, and which are new; those known before are taken over."""
         cache, old, new = self.cache, self.old, []
-        for w in words:
-            if w not in cache:
-                known = old.get(w)
-                if known is None:
-                    new.append(w)
-                else:
-                    cache[w] = known
-        return new
-
-    def _learn(self, words: list[str]) -> None:
-        """Add new words to the cache; marks after letters are a pre-token of their own."""
-        whole, parted = set(filter(str.isalpha, words)), []
-        others = [w for w in words if not w.isalpha()]
-        bases = pc.ascii_rtrim(pa.array(others, pa.string()), characters=MARKS).to_numpy(zero_copy_only=False).tolist()
-        for w, base in zip(others, bases, strict=True):
-            plain = base.isascii() and base.isalpha()
-            if len(base) < len(w) and (plain or base[-1:].lower().isalpha()) and not self._has_special(w):
-                parted.append((w, base, w[len(base) :]))
-                whole.add(base)
-                whole.add(parted[-1][2])
+        places = list(map(cache.get, words))
+        for i in [i for i, p in enumerate(places) if p is None]:
+            known = old.get(words[i])
+            if known is None:
+                new.append(i)
             else:
-                whole.add(w)
-        self._encode_whole(self._recalled(whole))
-        self.cache.update((w, self.cache[base] + self.cache[marks]) for w, base, marks in parted)
+                cache[words[i]] = places[i] = known
+        return places, new
+
+    def _retire(self) -> None:
+        """Let go of the words that were not met of late."""
+        kept = np.fromiter(self.cache.values(), np.int64, len(self.cache))
+        laid = self._store().take(pa.array(kept))
+        self.at = np.frombuffer(laid.buffers()[1], np.int64)[: len(kept) + 1] >> 2
+        self.ids = np.frombuffer(laid.buffers()[2], "<u4", int(self.at[-1]))
+        self.old, self.cache = dict(zip(self.cache, range(len(kept)), strict=True)), {"": 0}
+
+    def _store(self) -> pa.Array:
+        """All known words' ids as an Arrow column without copies."""
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.at) - 1, [None, pa.py_buffer(self.at << 2), pa.py_buffer(self.ids)])
 
-    def _encode_whole(self, words: list[str]) -> None:
-        plain, odd, counts, split = [], [], [], []
+    def _learn(self, words: list[str]) -> None:
+        """Add new words to the cache."""
+        plain, alpha, odd = [], [], []
         for w in words:
-            if w.isascii() and w.isalpha():
-                plain.append(w)
-                continue
+            (odd if not w.isalpha() else plain if w.isascii() else alpha).append(w)
+        learnt: list[tuple[list[str], np.ndarray, np.ndarray]] = []
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            learnt.append(self._together(part, " ".join(part).lower().split(" "), np.ones(len(part), np.int64)))
+        for i in range(0, len(alpha), 4096):
+            part = alpha[i : i + 4096]
+            text = unicodedata.normalize("NFC", " ".join(part))
+            lower = text.lower().split(" ")
+            if "Σ" in text or len(lower) != len(part) or not all(map(str.isalpha, lower)):
+                odd += part
+            else:
+                learnt.append(self._together(part, self._spelt(lower), np.ones(len(part), np.int64)))
+        counts, split, cut = [], [], []
+        for w in odd:
             pieces = self._pieces(w)
             if pieces is None:
-                self.cache[w] = self._alone(w)
+                learnt.append(self._alone([w]))
             else:
-                odd.append(w)
+                cut.append(w)
                 counts.append(len(pieces))
                 split.append(" ".join(pieces))
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            self._together(part, " ".join(part).lower().split(" "), np.ones(len(part), np.int64))
-        for i in range(0, len(odd), 4096):
-            spelt = " ".join(split[i : i + 4096]).encode().decode("latin-1").translate(SPELT)
-            self._together(odd[i : i + 4096], spelt.split(" "), np.array(counts[i : i + 4096]))
-
-    def _together(self, words: list[str], pieces: list[str], n: np.ndarray) -> None:
-        """Learn words of ``n`` pre-tokens each; a pre-token ends with the id of a word's end."""
+        for i in range(0, len(cut), 4096):
+            learnt.append(self._together(cut[i : i + 4096], self._spelt(split[i : i + 4096]), np.array(counts[i : i + 4096])))
+        place = len(self.at) - 1
+        for part, _, _ in learnt:
+            self.cache.update(zip(part, range(place, place + len(part)), strict=True))
+            place += len(part)
+        self.ids = np.concatenate([self.ids, *(ids for _, ids, _ in learnt)])
+        self.at = np.append(self.at, self.at[-1] + np.cumsum(np.concatenate([n for _, _, n in learnt])))
+
+    @staticmethod
+    def _spelt(pieces: list[str]) -> list[str]:
+        return " ".join(pieces).encode().decode("latin-1").translate(SPELT).split(" ")
+
+    def _together(self, words: list[str], pieces: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The ids, and their number, of words of ``n`` pre-tokens each; a pre-token ends with the id of a word's end."""
         ids = np.array(self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         stops = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
         if len(stops) - 1 != n.sum() or stops[-1] != len(ids):
-            self.cache.update((w, self._alone(w)) for w in words)
-            return
-        at = (stops[np.append(0, np.cumsum(n))] * 4).tolist()
-        raw = ids.tobytes()
-        self.cache.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
+            return self._alone(words)
+        return words, ids, np.diff(stops[np.append(0, np.cumsum(n))])
 
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _alone(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        return words, np.array([x for ids in each for x in ids], "<u4"), np.array([len(ids) for ids in each])
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end_id``, and the rows' offsets in them."""
-        if not pc.any(pc.match_substring(column, "<|")).as_py():  # no special token, whose case counts
-            column = pc.ascii_lower(column)
-        lists = pc.ascii_split_whitespace(column)
-        at = np.asarray(lists.offsets, np.int64)
-        at = at - at[0]
-        coded = lists.flatten().dictionary_encode()
+        if pc.any(pc.match_substring(column, "<|")).as_py():  # maybe a special token, whose case counts
+            lists = pc.ascii_split_whitespace(column)
+            words, at = lists.flatten(), np.asarray(lists.offsets, np.int64)
+            at = at - at[0]
+        else:
+            words, at = parted(pc.ascii_lower(column))
+        coded = words.dictionary_encode()
         vocab = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = self._recalled(vocab)
+        places, new = self._recalled(vocab)
         if len(self.cache) + len(new) > self.cache_words:
-            self.old, self.cache = self.cache, {"": b""}
-            new = self._recalled(vocab)
+            self._retire()
+            places, new = self._recalled(vocab)
         if new:
-            self._learn(new)
-        cache = self.cache
-        got = [cache[w] for w in vocab]
-        got.append(np.array([end_id], "<u4").tobytes())
+            self._learn([vocab[i] for i in new])
+            for i in new:
+                places[i] = self.cache[vocab[i]]
+        end = pa.array([np.array([end_id], "<u4").tobytes()], pa.large_binary())
+        got = pa.concat_arrays([self._store().take(pa.array(places, pa.int64())), end])
         # the words of all rows, each row closed by the end id as a word of its own
         index = np.full(int(at[-1]) + len(column), len(vocab), np.int32)
         inner = np.ones(len(index), bool)
         row_end = at[1:] + np.arange(len(column))
         inner[row_end] = False
         index[inner] = np.asarray(coded.indices)
-        laid = pa.array(got, pa.large_binary()).take(pa.array(index))
+        laid = got.take(pa.array(index))
         before = np.frombuffer(laid.buffers()[1], np.int64)[: len(index) + 1] >> 2
         ids = np.frombuffer(laid.buffers()[2], "<u4", int(before[-1])) if len(index) else np.zeros(0, "<u4")
         return ids, np.append(0, before[row_end + 1])

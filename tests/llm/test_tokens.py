@@ -211,3 +211,27 @@ def test_bytes_are_spelt_once(reference):
     for i, text in enumerate([*texts, "", "ab ab", "É''' é<|endoftext|>x"]):
         assert ids[at[i] : at[i + 1]].tolist() == ids_of(reference, text)
     assert enc.encode(pa.array([], pa.string()), 1)[0].tolist() == []
+
+
+def test_runs_are_learnt_once(reference, monkeypatch):
+    """Words are cut where pre-tokens must end: the library isn't asked again for letters that stand beside other marks or digits."""
+    enc, asked = WordEncoder(PATH), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (asked.extend(words), learn(words)))
+    texts = ["stone. (stone-stone) 5stone7", "#stone\tstone... «stone» größe/größe, Жук", "", "7 stone's 'll stone'll", "жук?? Größe!"]
+    ids, at = enc.encode(pa.array(texts), 1)
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == ids_of(reference, text)
+    assert [w for w in asked if "stone" in w] == ["stone", "«stone»"] and [w for w in asked if "größe" in w] == ["größe"]
+
+
+def test_cut_words_equal_the_library(reference):
+    rng = random.Random(8)
+    bits = [*"aZéÉßİıŊЖёſ×÷…·ªº١²0 7 .,'-=#)<>|_", "'s", "'re", "'LL", "́", "̸", " ", "ͅ", "Ǆ", "ŉ", "Ⱥ", "ꙮ", " ", "\x1f", "가", "ẞ"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(6000)]
+    enc = WordEncoder(PATH, cache_words=500)
+    for i in range(0, len(texts), 100):
+        column = pa.array(["not in the slice", *texts[i : i + 100]]).slice(1)
+        ids, at = enc.encode(column, 1)
+        for k, t in enumerate(texts[i : i + 100]):
+            assert ids[at[k] : at[k + 1]].tolist() == ids_of(reference, t), repr(t)
