@@ -6,7 +6,7 @@ time, so that what a task holds does not grow with its partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,21 @@ def slices(batch: pa.RecordBatch, text: str, size: int = 2 << 20) -> Iterator[pa
         i = j
 
 
+def gathered(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut as by ``slices``, and joined while they have ``size`` bytes in all at most."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        for b in slices(batch, text, size):
+            if held and have + b.nbytes > size:
+                yield pa.concat_batches(held)
+                held, have = [], 0
+            held.append(b)
+            have += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import packing, tokenfile
 from tessera.llm.common import scratch_dir
+from tessera.llm.textnum import gathered
 from tessera.llm.tokens import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -235,3 +236,37 @@ def test_cut_words_equal_the_library(reference):
         ids, at = enc.encode(column, 1)
         for k, t in enumerate(texts[i : i + 100]):
             assert ids[at[k] : at[k + 1]].tolist() == ids_of(reference, t), repr(t)
+
+
+def test_small_batches_are_joined():
+    """Every slice has to look up its words, so batches of few bytes are encoded together; none of the rows is lost or moved."""
+    texts = ["a" * n for n in [5, 0, 3000, 1, 12000, 2, 2, 0, 700] * 40]
+    rows = pa.record_batch({"id": list(range(len(texts))), "text": texts})
+    batches = [rows.slice(i, 7) for i in range(0, len(texts), 7)]
+    got = list(gathered(iter(batches), "text", 10_000))
+    assert [x for b in got for x in b.to_pylist()] == rows.to_pylist()
+    assert all(b.nbytes <= 10_100 or b.num_rows == 1 for b in got)
+    assert all(a.nbytes + b.nbytes > 10_000 for a, b in zip(got, got[1:]))
+    assert len(list(gathered([rows.slice(k % 9, 1) for k in (1, 3) * 500], "text", 1 << 20))) == 1
+    assert list(gathered([rows.slice(0, 0)], "text", 10)) == []
+
+
+def test_places_and_points_agree():
+    """A point in the interval of a symbol finds that symbol, whatever both contexts predict."""
+    rng = np.random.default_rng(4)
+    counts = np.concatenate([np.full(3000, 1), rng.integers(1, 10**6, 50), [10**9]])
+    table = tokenfile.frequencies(rng.permutation(counts))
+    n = len(counts)
+    for seed in range(6):
+        model = tokenfile.Mixer(n, table)
+        for _ in range(4):
+            few = rng.integers(0, 3, n).astype(np.uint32)
+            model.predict()
+            model.place(few)
+            model.learn(few)
+        model.predict()
+        sym = rng.permutation(n).astype(np.uint32) if seed else few
+        low, width = model.place(sym)
+        assert width.min() > 0
+        for v in (low, low + width // 2, low + width - 1):
+            assert (model.find(v.astype(np.uint64)) == sym).all()
